@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from paceledger.session import materialize
 
-RATIO = 0.2
+RATIO = 0.1
 MIN_PAGES = 5
 BLANK = " \t\n\x0b\x0c\r"
 BLOCK_TAGS = "p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|article|nav|header|footer|section|title|head|body|html|main|aside|blockquote|pre"
