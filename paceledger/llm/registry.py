@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from paceledger.llm import lines, mixing, quality, urls
+from paceledger.llm import bpe, lines, mixing, neardup, quality, urls
 
 
 def queries() -> dict:
     return {
+        "op3_minhash": neardup.op3_minhash,
+        "op5_bpe": bpe.op5_bpe,
         "op6_url_filter": urls.op6_url_filter,
         "op7_mixing": mixing.op7_mixing,
         "op8_line_dedup": lines.op8_line_dedup,
