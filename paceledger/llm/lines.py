@@ -65,7 +65,7 @@ def drop_boilerplate(pages: DataFrame, *, text: str = "text", site: str = "sourc
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    pages = pages.select("page_id", host_of(F.col("url")).alias("host"), visible_lines(F.col("html")).alias("text"))
+    pages = materialize(pages.select("page_id", host_of(F.col("url")).alias("host"), visible_lines(F.col("html")).alias("text")), "visible")
     out = drop_boilerplate(pages, site="host")
     return out.select("page_id", "host", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("text_sha256"))
 

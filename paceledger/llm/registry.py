@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from paceledger.llm import bpe, lines, mixing, neardup, quality, urls
+from paceledger.llm import bpe, lines, mixing, neardup, quality, substring, urls
 
 
 def queries() -> dict:
     return {
+        "op1_substring": substring.op1_substring,
         "op3_minhash": neardup.op3_minhash,
         "op5_bpe": bpe.op5_bpe,
         "op6_url_filter": urls.op6_url_filter,
