@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
-from paceledger.llm import bpe, lines, mixing, neardup, quality, substring, urls
+import corpus_pipeline
+from paceledger.llm import bpe, chat, langid, lines, maxscore, mixing, neardup, quality, substring, urls
 
 
 def queries() -> dict:
     return {
         "op1_substring": substring.op1_substring,
+        "op2_chat_format": chat.op2_chat_format,
         "op3_minhash": neardup.op3_minhash,
+        "op4_language_id": langid.op4_language_id,
         "op5_bpe": bpe.op5_bpe,
         "op6_url_filter": urls.op6_url_filter,
         "op7_mixing": mixing.op7_mixing,
         "op8_line_dedup": lines.op8_line_dedup,
+        "op9_maxscore": maxscore.op9_maxscore,
         "op10_quality_rules": quality.op10_quality_rules,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": urls.OP6_SQL, "op8_line_dedup": lines.OP8_SQL, "op10_quality_rules": quality.OP10_SQL}
+    return {
+        "op2_chat_format": chat.OP2_SQL,
+        "op6_url_filter": urls.OP6_SQL,
+        "op8_line_dedup": lines.OP8_SQL,
+        "op9_maxscore": maxscore.OP9_SQL,
+        "op10_quality_rules": quality.OP10_SQL,
+    }
