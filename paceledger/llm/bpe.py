@@ -42,6 +42,8 @@ CHUNK_MEMO_BYTES = 32 << 20
 SLICE_BYTES = 1 << 19
 #: Short texts that share one call of the tokenizer.
 TOGETHER = 512
+#: Characters that end words.
+STOPS = (b",", b".")
 
 Piece = tuple[bytes, bytes]
 
@@ -68,6 +70,7 @@ class Encoder:
         self.tokenizer.no_padding()
         specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized}
         self.mark, self.mark_id = next(iter(specials.items()), (None, -1))
+        self.lower = self.encode([b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"]) == self.encode([b"abcdefghijklmnopqrstuvwxyz"])
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.names = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
@@ -103,9 +106,18 @@ class Encoder:
         return b" ".join([self.names[i] for i in ids])
 
     def learn(self, new: list[bytes]) -> None:
-        for word, ids in zip(new, self.encode(new), strict=True):
-            self.ids[word] = np.asarray(ids, dtype="<u4").tobytes() if len(ids) > 8 else b"".join([i.to_bytes(4, "little") for i in ids])
+        """Put words into the memo; a stop after a letter or digit is a token of its own, so the word before it is looked up or learned alone."""
+        stopped = [w for w in new if w[-1:] in STOPS and w[-2:-1].isalnum()]
+        bare = {w[:-1] for w in stopped}
+        bare.update(w for w in new if not (w[-1:] in STOPS and w[-2:-1].isalnum()))
+        bare.update(STOPS)
+        todo = [w for w in bare if w not in self.ids]
+        for word, ids in zip(todo, self.encode(todo), strict=True):
+            self.ids[word] = b"".join([i.to_bytes(4, "little") for i in ids])
             self.decoded[word] = self.decode(ids)
+        for w in stopped:
+            self.ids[w] = self.ids[w[:-1]] + self.ids[w[-1:]]
+            self.decoded[w] = self.decoded[w[:-1]] + b" " + self.decoded[w[-1:]]
 
     def join(self, ws: list[bytes]) -> Piece:
         return b"".join(map(self.ids.__getitem__, ws)), b" ".join(filter(None, map(self.decoded.__getitem__, ws)))
@@ -119,7 +131,8 @@ class Encoder:
         if self.core_bytes > CHUNK_MEMO_BYTES:
             self.cores = {p: self.cores[p] for p in cores if p in self.cores}
             self.core_bytes = sum(len(p) + len(i) + len(d) for p, (i, d) in self.cores.items())
-        split = {p: p.split() for p in cores if p not in self.cores}
+        # the tokenizer lower-cases everything but its special tokens
+        split = {p: (p if b"<|" in p or not self.lower else p.lower()).split() for p in cores if p not in self.cores}
         wanted = set(chain.from_iterable(split.values()))
         wanted.update(runs)
         missing = wanted.difference(self.ids)
