@@ -88,17 +88,18 @@ def _first_filled(df: DataFrame, names: tuple[str, ...], kind: str) -> Column:
 def normalize_ingest(records: DataFrame, source: str | Column, inserted_at: int | Column) -> DataFrame:
     """Loose records (user_id and alternative names) as daily rows; undated rows go, the original row stays as JSON."""
     src = F.lower(F.trim(F.lit(source) if isinstance(source, str) else source))
-    out = records.select(
+    times = ("duration_s", "duration", "duration_seconds")
+    raw = records.withColumns({"_raw": F.to_json(F.struct("*")), "_src": src})
+    raw = raw.withColumns({c: S.hms_to_seconds(F.col(c).cast("string")) for c in times if c in records.columns})
+    out = raw.select(
         F.col("user_id").cast("bigint").alias("user_id"),
-        S.norm_date(_first_filled(records, ("date", "day", "timestamp"), "string")).try_cast("date").alias("date"),
-        F.coalesce(F.nullif(src, F.lit("")), F.lit("unknown")).alias("source"),
-        _first_filled(records, ("steps", "step_count"), "bigint").alias("steps"),
-        _first_filled(records, ("distance_meters", "distance"), "double").alias("distance_meters"),
-        _first_filled(records.withColumns({c: S.hms_to_seconds(F.col(c).cast("string")) for c in ("duration", "duration_s", "duration_seconds") if c in records.columns}), ("duration_s", "duration", "duration_seconds"), "double").alias("duration_s")
-        if not {"duration", "duration_s", "duration_seconds"}.isdisjoint(records.columns)
-        else F.lit(0.0).alias("duration_s"),
-        _first_filled(records, ("kcalories", "calories"), "double").alias("kcalories"),
-        F.to_json(F.struct("*")).alias("raw_json"),
+        S.norm_date(_first_filled(raw, ("date", "day", "timestamp"), "string")).try_cast("date").alias("date"),
+        F.coalesce(F.nullif("_src", F.lit("")), F.lit("unknown")).alias("source"),
+        _first_filled(raw, ("steps", "step_count"), "bigint").alias("steps"),
+        _first_filled(raw, ("distance_meters", "distance"), "double").alias("distance_meters"),
+        _first_filled(raw, times, "double").alias("duration_s"),
+        _first_filled(raw, ("kcalories", "calories"), "double").alias("kcalories"),
+        F.col("_raw").alias("raw_json"),
         (F.lit(inserted_at) if isinstance(inserted_at, int) else inserted_at).cast("bigint").alias("inserted_at"),
     )
     return out.where("date IS NOT NULL")
