@@ -149,7 +149,7 @@ def union_sources(spark, d):
 
 @query(
     """SELECT user_id, CAST(CAST(ts AS DATE) AS STRING) AS date, CASE CAST(event_id % 3 AS INT) WHEN 0 THEN 'arena' WHEN 1 THEN 'unknown' ELSE 'stepcloud' END AS source,
- CASE WHEN event_id % 4 = 0 THEN CAST(floor(value) AS BIGINT) ELSE CAST(floor(value) AS BIGINT) + 1 END AS steps, CASE WHEN event_id % 2 = 0 THEN value ELSE 0.0 END AS distance_meters,
+ CASE WHEN event_id % 4 = 0 AND floor(value) <> 0 THEN CAST(floor(value) AS BIGINT) ELSE CAST(floor(value) AS BIGINT) + 1 END AS steps, CASE WHEN event_id % 2 = 0 THEN value ELSE 0.0 END AS distance_meters,
  CAST(event_id % 100 AS DOUBLE) AS duration_s FROM events WHERE event_id % 5 <> 0"""
 )
 def normalize_ingest(spark, d):
@@ -294,10 +294,10 @@ def resolve_policy(spark, d):
     return out.select("user_id", "client", "purpose", "tool", "allow", F.array_join("redact", ",").alias("redact"))
 
 
-@query(POLICY + " SELECT user_id, client, purpose, tool, allow, default_allow, client_allow, tool_allow FROM resolved")
+@query(POLICY + " SELECT user_id, client, purpose, tool, allow, CAST(default_allow AS STRING) AS default_allow, CAST(client_allow AS STRING) AS client_allow, CAST(tool_allow AS STRING) AS tool_allow FROM resolved")
 def explain_policy(spark, d):
     out = policy.explain_policy(view(spark, d, "requests"), view(spark, d, "rules"))
-    layers = [F.col(f"{k}_rule.allow").alias(f"{k}_allow") for k in ("default", "client", "tool")]
+    layers = [F.col(f"{k}_rule.allow").cast("string").alias(f"{k}_allow") for k in ("default", "client", "tool")]
     return out.select("user_id", "client", "purpose", "tool", "allow", *layers)
 
 
@@ -563,7 +563,7 @@ def trivia_rates(spark, d):
     ctes("game_turns") + """, s AS (SELECT user_id, date, pos, minutes, row_number() OVER (PARTITION BY user_id, date ORDER BY pos) AS k, count(*) OVER (PARTITION BY user_id, date) AS n FROM game_turns),
  e AS (SELECT user_id, date, k * 2 AS ord, n, minutes AS v FROM s WHERE k = 1 UNION ALL SELECT user_id, date, k * 2 + 1, n, minutes * 2 FROM s WHERE k > 1 OR minutes <> 0),
  l AS (SELECT *, row_number() OVER (PARTITION BY user_id, date ORDER BY ord DESC) AS back FROM e)
- SELECT user_id, CAST(date AS STRING) AS date, string_agg(CASE WHEN NOT (back = 1 AND v = 0) THEN CAST(v AS STRING) END, ',' ORDER BY ord) AS series FROM l GROUP BY user_id, date"""
+ SELECT user_id, CAST(date AS STRING) AS date, coalesce(string_agg(CASE WHEN NOT (back = 1 AND v = 0) THEN CAST(v AS STRING) END, ',' ORDER BY ord), '') AS series FROM l GROUP BY user_id, date"""
 )
 def turn_series(spark, d):
     t = view(spark, d, "game_turns").groupBy("user_id", "date").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("minutes").alias("a"), (F.col("minutes") * 2).alias("b")))).alias("turns"))
@@ -676,14 +676,14 @@ def fetch_walk_batch(spark, d):
 
 @query(
     JOB + """, ask AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN purpose <> 'modeling' THEN 'not_supported' END AS error_code FROM pick)
- SELECT p.user_id, p.client, p.purpose, p.tool, p.error_code, CASE WHEN error_code IS NULL THEN count(a.steps) END AS days, CASE WHEN error_code IS NULL THEN coalesce(CAST(sum(a.steps) AS BIGINT), 0) END AS total_steps
+ SELECT p.user_id, p.client, p.purpose, p.tool, p.error_code, count(a.steps) AS days, coalesce(CAST(sum(a.steps) AS BIGINT), 0) AS total_steps
  FROM ask AS p LEFT JOIN day AS a ON p.user_id = a.user_id AND p.pick = a.source AND p.error_code IS NULL GROUP BY 1, 2, 3, 4, 5"""
 )
 def walk_features_batch(spark, d):
     r, c = _job_requests(spark, d)
     out = jobs.walk_features_batch(r, view(spark, d, "rules"), c, _job_records(spark, d), live=LIVE)
     parts = F.split("request_id", "/")
-    return out.select("user_id", "client", parts[2].alias("purpose"), "tool", F.col("error.code").alias("error_code"), "days", "total_steps")
+    return out.select("user_id", "client", parts[2].alias("purpose"), "tool", F.col("error.code").alias("error_code"), F.coalesce("days", F.lit(0)).alias("days"), F.coalesce("total_steps", F.lit(0)).alias("total_steps"))
 
 
 @query(
