@@ -3,20 +3,24 @@
 1. Every document's set of word shingles is hashed once; the K lowest values
    are its sketch. Documents with equal sets (size and a 128-bit sum) form a
    class and go on as their smallest document.
-2. The LISTED lowest values go to inverted lists. Values that only one
-   document retains are void; of the others a document enters the lists of its
-   rarest ones only, as many as two sketches that share LEAST_SHARED values
-   cannot both miss (prefix filtering, rarest first). Values that very many
-   documents retain are thus hardly ever used. Two sets with similarity 0.8
-   share fewer than LEAST_SHARED of 32 values with probability below 2e-11.
-3. In each list all documents are first compared with one pivot, drawn per
+2. The retained values go to inverted lists. Values that only one document
+   retains are void; of the others a document enters the lists of its rarest
+   ones only, as many as two sketches that share LEAST_SHARED values cannot
+   both miss (prefix filtering, rarest first). Values that very many documents
+   retain are thus hardly ever used. Two sets with similarity 0.8 share fewer
+   than LEAST_SHARED of 64 values with probability below 1e-11.
+3. Of the documents in any list, the shingles that no other of them has are
+   counted. A pair with similarity 0.8 can't have more than a ninth of both
+   sizes of them together, which rules most of a family's distant pairs out
+   before they are formed, without loss.
+4. In each list all documents are first compared with one pivot, drawn per
    list, and the confirmed links are contracted to components. Only documents
    of one list that are then in different components are compared with each
    other, so a large family of copies is not expanded into pairs.
-4. Compared pairs are filtered by the similarity that the bottom-k sketch of
+5. Compared pairs are filtered by the similarity that the bottom-k sketch of
    their union shows (cut at CUT, 7 standard deviations below 0.8), and
    confirmed on the full shingle sets.
-5. Components of the confirmed links give the result.
+6. Components of the confirmed links give the result.
 
 Nulls, empties, ties: a null document id takes no part (its rows are returned
 with null component, kept); null or blank text has no shingles and no links;
@@ -39,8 +43,7 @@ from paceledger.session import materialize
 SHINGLE = 5
 PERCENT = 80
 K = 64
-LISTED = 32
-LEAST_SHARED = 7
+LEAST_SHARED = 26
 CUT = 0.39
 
 
@@ -88,25 +91,38 @@ def sketches(docs: DataFrame, shingle: int, k: int = K) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, members): the whole shingle set as packed ascending 64-bit integers."""
+    """(doc_id, members): the whole shingle set, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for sl in words.slices(batch.column(1)):
                 values, offsets = shingle_sets(sl, shingle)
-                sets = [values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(sl.first, len(sets)), pa.array(sets, pa.binary())], names=["doc_id", "members"])
+                sets = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(sl.first, len(sets)), sets], names=["doc_id", "members"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, members binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, members array<bigint>")
+
+
+def own_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n, own): set size and how many of the shingles no other document of ``sets`` has; documents that can't link go."""
+    single = sets.select("doc_id", F.explode("members").alias("v")).groupBy("v").agg(F.count("*").alias("times"), F.min("doc_id").alias("doc_id")).where("times = 1")
+    own = single.groupBy("doc_id").agg(F.count("*").alias("own"))
+    sized = sets.select("doc_id", F.size("members").alias("n")).join(own, "doc_id", "left").select("doc_id", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    return sized.where(F.col("own") * percent <= F.col("n") * (100 - percent))
+
+
+def possible(n1, own1, n2, own2, percent: int):
+    """Sizes near enough, and own shingles few enough, for the similarity: own + own <= (1 - s) * union, union <= sizes / (1 + s)."""
+    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & ((own1 + own2) * (100 + percent) <= (n1 + n2) * (100 - percent))
 
 
 def lists(reps: DataFrame) -> DataFrame:
     """Inverted lists (v, doc_id) of the rarest retained values each document needs, from (doc_id, n, sketch)."""
-    listed = reps.select("doc_id", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
+    listed = reps.select("doc_id", "n", F.explode("sketch").alias("v"))
     shared = materialize(listed.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "values")
     ranked = listed.join(shared, "v").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     # sets whose partners fit into the lists whole must share 80 % of the set itself
-    need = F.when(F.col("n") * 100 <= (LISTED - 1) * PERCENT, F.ceil(F.col("n") * PERCENT / 100)).otherwise(LEAST_SHARED)
+    need = F.when(F.col("n") * 100 <= (K - 1) * PERCENT, F.ceil(F.col("n") * PERCENT / 100)).otherwise(LEAST_SHARED)
     enter = F.greatest(F.lit(0), F.size("vs") - F.greatest(F.lit(1), need) + 1).cast("int")
     return ranked.where(enter > 0).select("doc_id", F.explode(F.slice("vs", F.lit(1), enter)).alias("e")).select(F.col("e.v").alias("v"), "doc_id")
 
@@ -126,10 +142,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, ma, mb = (batch.column(i) for i in range(4))
+            a, b = batch.column(0), batch.column(1)
+            (xs, xo), (ys, yo) = (_flat(batch.column(i)) for i in (2, 3))
             keep = []
-            for x, y in zip(ma, mb, strict=True):
-                u, v = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+            for i in range(batch.num_rows):
+                u, v = xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]]
                 both = len(u) + len(v) - len(np.union1d(u, v)) if min(len(u), len(v)) * 100 >= percent * max(len(u), len(v)) else 0
                 keep.append(both > 0 and 100 * both >= percent * (len(u) + len(v) - both))
             mask = pa.array(keep, pa.bool_())
@@ -140,6 +157,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return both.select("a", "b", "ma", "mb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    offsets = lists.offsets.to_numpy()
+    return lists.values.to_numpy(), offsets
+
+
 def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(sketch table, component table (node, component) of documents that link with a different one)."""
     known = materialize(sketches(docs.where("doc_id IS NOT NULL"), shingle), "sketches")
@@ -150,28 +172,30 @@ def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tu
     involved = materialize(entries.select("doc_id").distinct(), "involved")
     texts = docs.select("doc_id", "text").join(involved, "doc_id", "left_semi")
     sets = materialize(full_sets(texts, shingle), "sets")
-    sketched = materialize(reps.join(involved, "doc_id", "left_semi"), "involved-sketches")
+    fit = materialize(own_shingles(sets, percent), "own-shingles")
+    sketched = materialize(reps.join(fit, "doc_id", "left_semi"), "involved-sketches")
+    entries = materialize(entries.join(fit, "doc_id"), "entries")
+    near = lambda x, y: possible(F.col(f"{x}n"), F.col(f"{x}own"), F.col(f"{y}n"), F.col(f"{y}own"), percent)
 
     def check(pairs: DataFrame) -> DataFrame:
         pairs = materialize(likely(pairs, sketched), "likely")
         return materialize(confirmed(pairs, sets, percent), "confirmed")
 
     # each list's documents against its pivot
-    pivots = entries.groupBy("v").agg(F.min(F.struct(F.xxhash64("doc_id", "v").alias("h"), "doc_id")).alias("p")).select("v", F.col("p.doc_id").alias("p"))
-    pivots = materialize(pivots, "pivots")
-    star = entries.join(pivots, "v").where("doc_id <> p").select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct()
-    star = materialize(star, "star")
+    pivots = entries.groupBy("v").agg(F.min(F.struct(F.xxhash64("doc_id", "v").alias("h"), "doc_id", "n", "own")).alias("p"))
+    pivots = materialize(pivots.select("v", F.col("p.doc_id").alias("p"), F.col("p.n").alias("p_n"), F.col("p.own").alias("p_own")), "pivots")
+    star = entries.join(pivots, "v").where((F.col("doc_id") != F.col("p")) & near("", "p_"))
+    star = materialize(star.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct(), "star")
     found = check(star)
     # then those of a list that are still apart
     parts = components(found).withColumnsRenamed({"node": "_n", "component": "_c"})
-    placed = entries.join(parts, F.col("doc_id") == F.col("_n"), "left").select("v", "doc_id", F.coalesce("_c", "doc_id").alias("c"))
+    placed = entries.join(parts, F.col("doc_id") == F.col("_n"), "left").select("v", "doc_id", "n", "own", F.coalesce("_c", "doc_id").alias("c"))
     placed = materialize(placed, "placed")
     apart = materialize(placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("v"), "apart")
     left = materialize(placed.join(apart, "v", "left_semi"), "left")
-    right = left.withColumnsRenamed({"doc_id": "b", "c": "d"})
-    pairs = left.withColumnRenamed("doc_id", "a").join(right, "v").where("a < b AND c <> d").select("a", "b").distinct()
-    pairs = pairs.join(star, ["a", "b"], "left_anti")
-    more = check(pairs)
+    right = left.withColumnsRenamed({"doc_id": "b", "c": "d", "n": "b_n", "own": "b_own"})
+    pairs = left.withColumnRenamed("doc_id", "a").join(right, "v").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & near("", "b_"))
+    more = check(pairs.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
     return known, components(found.union(more))
 
 
