@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import gc
+import os
+import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,13 +27,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage in a way that survives lost executors, and it gives
     the planner the table's true size, so that a later join is broadcast only
     if the side is really small. The shuffle files of the finished step are
-    released at once instead of at the driver's next full collection.
+    released at once instead of at some later collection in the driver: the
+    first collection frees the plan, the second the shuffle it held.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/paceledger-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     schema = df.schema
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return spark.read.schema(schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for sessions whose workers can't import it; once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        root = os.path.dirname(os.path.abspath(__file__))
+        base = os.path.join(tempfile.mkdtemp(prefix="paceledger-"), "paceledger-package")
+        spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(root), os.path.basename(root)))
