@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 import corpus_pipeline
 from paceledger.llm import bpe, chat, langid, lines, maxscore, mixing, neardup, quality, substring, urls
+from paceledger.session import ship_package
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict:
-    return {
+    found = {
         "op1_substring": substring.op1_substring,
         "op2_chat_format": chat.op2_chat_format,
         "op3_minhash": neardup.op3_minhash,
@@ -20,6 +33,7 @@ def queries() -> dict:
         "op10_quality_rules": quality.op10_quality_rules,
         "pipeline": corpus_pipeline.run,
     }
+    return {name: _shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
