@@ -126,8 +126,8 @@ def takes(sized: DataFrame, seed: int = SEED, depth: int = TREE_DEPTH) -> DataFr
     docs = with_block(sized, sources.join(goal, sources["source"].eqNullSafe(goal["source"]), "left_semi"))
     docs = docs.join(blocks, docs["source"].eqNullSafe(blocks["_source"]) & (docs["block"] == blocks["_block"])).drop("_source", "_block")
     inside = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed), F.lit("in"), F.col("key")), "key").rowsBetween(Window.unboundedPreceding, -1)
-    is_part = F.exists(F.coalesce("draws", F.array().cast("array<struct<copy:bigint,shard:int,words:bigint>>")), lambda d: d["words"].isNotNull())
-    docs = docs.withColumn("_part", is_part)
+    docs = docs.withColumn("draws", F.coalesce("draws", F.array().cast("array<struct<copy:bigint,shard:int,words:bigint>>")))
+    docs = docs.withColumn("_part", F.exists("draws", lambda d: d["words"].isNotNull()))
     cut = docs.where("_part").withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     docs = docs.where(~F.col("_part")).withColumn("_before", F.lit(0).cast("bigint")).unionByName(cut)
     taken = F.transform(
@@ -158,5 +158,5 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("doc_id").alias("key"))
     sized = materialize(sized, "sizes")
-    taken = F.aggregate(F.coalesce("draws", F.array().cast("array<struct<copy:bigint,shard:int,words:bigint>>")), F.lit(0).cast("bigint"), lambda a, d: a + d["words"])
+    taken = F.aggregate("draws", F.lit(0).cast("bigint"), lambda a, d: a + d["words"])
     return takes(sized).select("doc_id", "size", "source_size", "target", taken.alias("taken"))

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paceledger.llm import bpe, chat, graph, langid, lines, maxscore, mixing, neardup, quality, substring, urls
+from paceledger.session import materialize
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string"
@@ -223,7 +224,7 @@ def test_bpe_equals_the_library(docs, spark, tiny):
     from tokenizers import Tokenizer
 
     odd = ["a<|endoftext|>b <|ENDOFTEXT|> <|startoftext|>", "don't THEY'LL we've 12,34.", "É é   x", "日本語 テスト。 한국어", "x" * 3000, "a." * 700 + " ,. .,", "İstanbul ΑΣ ς ﬁn"]
-    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id bigint, text string")).unionByName(spark.read.parquet(f"{tiny}/documents.parquet").select(F.col("doc_id") + 2000, "text"))
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id bigint, text string")).unionByName(spark.read.parquet(f"{tiny}/documents.parquet").select((F.col("doc_id") + 2000).alias("doc_id"), "text"))
     texts = {(r.doc_id, r.text) for r in rows.collect()}
     tokenizer = Tokenizer.from_file(bpe.tokenizer_path(bpe.TOKENIZER))
     want = {}
@@ -382,7 +383,7 @@ def test_quality_fences_adapt(spark):
 
 
 def test_sketches_merge_in_any_order(spark, docs):
-    m = quality.add_measures(docs)
+    m = materialize(quality.add_measures(docs), "measures")
     parts = quality.sketch(m.where("doc_id < 8")).union(quality.sketch(m.where("doc_id >= 8 OR doc_id IS NULL")))
     a, b = quality.merge(parts, "lang"), quality.merge(quality.sketch(m), "lang")
     assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
