@@ -636,6 +636,56 @@ def player_types(spark, d):
     return games.player_types(_overview(spark, d)).select("user_id", *[F.round(c, 6).alias(c) for c in S.PLAYER_TYPES])
 
 
+@query(
+    """SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN CAST(floor(value) AS BIGINT) ELSE -1 END AS score, CAST(event_id % 9 AS BIGINT) AS days, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS home,
+ CASE WHEN event_id % 3 = 1 THEN 1 ELSE 0 END AS outdoors, CASE WHEN event_id % 3 = 2 THEN 1 ELSE 0 END AS work FROM events"""
+)
+def playthrough_metrics(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    prop = lambda key, value: F.struct(F.struct(F.lit(key).alias("translationKey"), F.lit(None).cast("string").alias("baseUnit")).alias("property"), value.cast("string").alias("value"))
+    turn = lambda kind: F.struct(kind.cast("int").alias("DestinationPathType"))
+    turns = F.to_json(F.struct(F.array(turn(F.lit(1)), turn(F.col("event_id") % 3 + 1)).alias("Turns")))
+    score = F.when(F.col("event_id") % 10 == 0, "bad").otherwise(F.floor("value").cast("string"))
+    raw = e.select(F.col("event_id").alias("user_id"), F.array(prop("SCORE", score), prop("DAYS_PLAYED", F.col("event_id") % 9), prop("PLAYTHROUGH_DATA", turns)).alias("propertyInstances"))
+    return games.playthrough_metrics(raw).select(F.col("user_id").alias("event_id"), F.coalesce("score", F.lit(-1)).alias("score"), "days", "home", "outdoors", "work")
+
+
+@query(
+    """SELECT event_id, CAST(floor(value) AS BIGINT) AS first_score, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS hospital_turns, '1.0,5.0' AS glucose, '0.0,10.0,30.0' AS minutes FROM events
+ WHERE event_id % 4 <> 0 AND floor(value) <> 0"""
+)
+def engagement_sessions(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    k = F.col("event_id")
+
+    def turn(score, hospital, glucose, minutes):
+        names = ("Score", "IsHospitalised", "GlucoseValueStart", "GlucoseValueEnd", "MinutesStart", "MinutesEnd")
+        return F.struct(*[v.alias(n) for n, v in zip(names, (score.cast("double"), hospital, F.lit(glucose[0]), F.lit(glucose[1]), F.lit(minutes[0]), F.lit(minutes[1])))])
+
+    turns = F.array(turn(F.floor("value"), k % 2 == 0, (1.0, 0.0), (0.0, 10.0)), turn(F.lit(0), F.lit(True), (0.0, 5.0), (10.0, 30.0)))
+    play = F.to_json(F.struct((k % 4 == 0).alias("Aborted"), turns.alias("Turns")))
+    log = F.to_json(F.struct(F.array(F.struct(F.array(play).alias("Values"))).alias("GameplayData")))
+    prop = F.struct(F.struct(F.lit("ENGAGEMENT_DATA").alias("translationKey"), F.lit(None).cast("string").alias("baseUnit")).alias("property"), log.alias("value"))
+    out = games.engagement_sessions(e.select(k.alias("user_id"), k.alias("id"), F.array(prop).alias("propertyInstances")))
+    return out.select(F.col("id").alias("event_id"), F.col("scores")[0].cast("bigint").alias("first_score"), "hospital_turns", F.array_join("glucose", ",").alias("glucose"), F.array_join("minutes", ",").alias("minutes"))
+
+
+@query(
+    ctes("game_turns") + """ SELECT pos, CASE WHEN glucose BETWEEN 0 AND 2.6 OR glucose BETWEEN 15 AND 20 THEN 'red' WHEN glucose BETWEEN 4.5 AND 8 THEN 'green' ELSE 'other' END AS colour FROM game_turns"""
+)
+def glucose_colour(spark, d):
+    return view(spark, d, "game_turns").select("pos", S.glucose_colour(F.col("glucose")).alias("colour"))
+
+
+@query(
+    ctes("connectors") + """ SELECT o_orderkey AS request_id, coalesce(connected_application, 'Unknown') AS connected_application, player_id FROM orders
+ LEFT JOIN (SELECT * FROM connectors WHERE user_id % 3 = 0) AS c ON o_custkey = c.user_id"""
+)
+def primary_app_info(spark, d):
+    req = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("user_id"), F.lit("walk").alias("domain"))
+    return connectors.primary_app_info(req, view(spark, d, "connectors").where("user_id % 3 = 0")).select("request_id", "connected_application", "player_id")
+
+
 # ---- jobs ---------------------------------------------------------------------------------------------------
 def _job_requests(spark, d) -> tuple[DataFrame, DataFrame]:
     """Each access-log request as one row, and what the sources hold for it."""
