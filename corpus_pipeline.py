@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are boilerplate of their source go from the texts; a source is a site here."""
-    out = lines.drop_boilerplate(docs.select(*COLUMNS), text="text", site="source")
+    """Lines that are boilerplate of their source go from the texts; a source is a site here, and copies of a text count once."""
+    out = lines.drop_boilerplate(docs.select(*COLUMNS), text="text", site="source", copies=False)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.lit(0).cast("bigint"))).select(*COLUMNS)
 
 

@@ -6,7 +6,9 @@ dropped from all of the site's pages. A page counts a line once, however often
 it holds it, and rows are counted (line, site) by partial aggregation, so a hot
 site or line is one row per task before the shuffle. The lines that exceed the
 ratio number at most (mean distinct lines per page / ratio) per site, which
-bounds the array joined back to the site's pages.
+bounds the array joined back to the site's pages. With ``copies=False`` pages
+of a site that hold the same text count as one page, so a text that was copied
+often isn't boilerplate of its site for that alone.
 
 Nulls, empties, ties: null text counts as empty and stays null; null sites are
 one site; blank lines are neither counted nor dropped; repeated rows are pages
@@ -43,18 +45,24 @@ def _filled(line: Column) -> Column:
     return F.length(F.translate(line, BLANK, "")) > 0
 
 
-def boilerplate(pages: DataFrame, text: str, site: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(site, lines): hashes of the lines above the ratio, per site that has any."""
+def boilerplate(pages: DataFrame, text: str, site: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
+    """(site, lines): hashes of the lines above the ratio, per site that has any; without ``copies`` equal texts of a site are one page."""
     held = F.array_distinct(F.transform(F.filter(F.split(F.col(text), "\n"), _filled), lambda x: F.xxhash64(x)))
-    counts = pages.select(F.col(site).alias("site"), F.explode(held).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    totals = pages.groupBy(F.col(site).alias("_site")).agg(F.count("*").alias("pages"))
+    lines = pages.select(F.col(site).alias("site"), F.explode(held).alias("line"))
+    texts = pages.select(F.col(site).alias("_site"))
+    if not copies:
+        whole = F.xxhash64(F.col(text)).alias("_text")
+        lines = pages.select(F.col(site).alias("site"), whole, F.explode(held).alias("line")).distinct()
+        texts = pages.select(F.col(site).alias("_site"), whole).distinct()
+    counts = lines.groupBy("site", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    totals = texts.groupBy("_site").agg(F.count("*").alias("pages"))
     over = counts.join(totals, counts["site"].eqNullSafe(totals["_site"])).where(F.col("n") > F.lit(ratio) * F.col("pages"))
     return over.groupBy("site").agg(F.collect_set("line").alias("lines"))
 
 
-def drop_boilerplate(pages: DataFrame, *, text: str = "text", site: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, *, text: str = "text", site: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """``pages`` with boilerplate lines gone from ``text``; adds ``_n_lines`` and ``_n_dropped`` (lines that aren't blank)."""
-    drop = materialize(boilerplate(pages, text, site, ratio, min_pages), "boilerplate").withColumnsRenamed({"site": "_site", "lines": "_drop"})
+    drop = materialize(boilerplate(pages, text, site, ratio, min_pages, copies), "boilerplate").withColumnsRenamed({"site": "_site", "lines": "_drop"})
     lines = F.split(F.col(text), "\n")
     kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_drop"), F.xxhash64(x)) | ~_filled(x)))
     filled = lambda a: F.coalesce(F.size(F.filter(a, _filled)), F.lit(0)).cast("bigint")

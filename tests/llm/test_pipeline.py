@@ -56,6 +56,20 @@ def test_run(spark, tiny):
     assert out.count() > 0 and out.where(F.col("n_tokens") <= 0).count() == 0
 
 
+def test_copied_text_survives(spark, tiny):
+    """A third of a source is one text: line dedup keeps its lines, and one copy comes out of the pipeline's stages."""
+    body = lambda k: "\n".join(" ".join(f"{k}x{i}y{j}" for j in range(6)) for i in range(4))
+    texts = [body("copied")] * 30 + ["a single line that is a document of its own with more than ten words in it"] * 30 + [f"menu of the site\n{body(i)}" for i in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = corpus_pipeline.line_dedup(spark, docs, tiny)
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert all(got[i] == texts[i] for i in range(60)) and all(got[60 + i] == body(i) for i in range(30))
+    left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, out, tiny).collect()}
+    assert left == {0, 30, *range(60, 90)}
+    mixed = corpus_pipeline.mix_sources(spark, corpus_pipeline.near_dedup(spark, out, tiny), tiny)
+    assert {0, 30} <= {r.doc_id for r in mixed.collect()}
+
+
 def test_language_query_covers_all(spark, tiny):
     out = registry.queries()["op4_language_id"](spark, tiny)
     assert out.count() == spark.read.parquet(f"{tiny}/documents.parquet").count()
