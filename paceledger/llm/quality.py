@@ -1,10 +1,12 @@
 """Quality rules with adaptive thresholds [native].
 
 Each document gets a few integer measures. A quantile sketch of every measure
-is kept per language and source: integer bins with a fixed absolute width and
-their row counts. Such sketches merge by adding counts, in any order, so runs
-agree, hot groups shrink to one row per bin before the shuffle, and a quantile
-is off by less than one bin. Thresholds are outlier fences read off the
+is kept per language and source: integer bins and their row counts. Bins have
+width 1 up to 2**BIN_BITS and then as many in each further doubling as half
+of that, so no value lies above the last bin and a sketch stays bounded. Such
+sketches merge by adding counts, in any order, so runs agree, hot groups shrink
+to one row per bin before the shuffle, and a quantile is off by less than one
+bin. Documents are compared with their fences by bin, too. Thresholds are outlier fences read off the
 sketch; a (language, source) group with few rows borrows the sketch of its
 language, and a language with few rows that of all documents. Documents are
 then joined with the thresholds of their group and filtered.
@@ -34,7 +36,8 @@ MEASURES = {
     "dup_line_rate": (False, 300),  # repeated lines per 1000 lines
     "word_length": (True, 300),  # mean word length in hundredths of a character
 }
-TOP_BIN = 5000
+#: Measures of at most this many binary digits are bins of their own; of longer ones this many leading digits are kept.
+BIN_BITS = 13
 #: Fences lie this many interquartile ranges outside the quartiles.
 FENCE = 6
 MIN_GROUP_ROWS = 200
@@ -83,9 +86,14 @@ def add_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def bin_of(measure: str) -> Column:
+    """The least value of the bin that holds a measure's value."""
+    return F.expr(f"shiftleft(shiftright({measure}, greatest(length(bin({measure})) - {BIN_BITS}, 0)), greatest(length(bin({measure})) - {BIN_BITS}, 0))")
+
+
 def sketch(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """Quantile sketches: (lang, source, measure, bin, n), over documents that pass the base rules."""
-    measures = F.array(*[F.struct(F.lit(m).alias("measure"), F.least(F.col(m), F.lit(TOP_BIN)).alias("bin")) for m in MEASURES])
+    measures = F.array(*[F.struct(F.lit(m).alias("measure"), bin_of(m).alias("bin")) for m in MEASURES])
     rows = measured.where(~F.col("base_failed")).select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(measures).alias("m"))
     return rows.groupBy("lang", "source", "m.measure", "m.bin").agg(F.count("*").alias("n"))
 
@@ -122,10 +130,10 @@ def thresholds(sketches: DataFrame, min_rows: int = MIN_GROUP_ROWS) -> DataFrame
 
 
 def within() -> Column:
-    """True where every measure lies within its group's fences; a side without a fence holds."""
+    """True where the bin of every measure lies within its group's fences; a side without a fence holds."""
     ok = F.lit(True)
     for m in MEASURES:
-        ok = ok & F.coalesce(F.col(m) <= F.col(f"{m}_high"), F.lit(True)) & F.coalesce(F.col(m) >= F.col(f"{m}_low"), F.lit(True))
+        ok = ok & F.coalesce(bin_of(m) <= F.col(f"{m}_high"), F.lit(True)) & F.coalesce(bin_of(m) >= F.col(f"{m}_low"), F.lit(True))
     return ok
 
 

@@ -382,6 +382,18 @@ def test_quality_fences_adapt(spark):
     assert dropped == [5000]
 
 
+def test_quality_fences_of_long_words(spark):
+    """A group written without spaces has fences of its own, also where its word length lies far above 5000."""
+    rng = np.random.default_rng(4)
+    line = lambda n: "\n".join("".join(chr(0x4E00 + c) for c in rng.integers(0, 3000, n + int(rng.integers(0, 9)))) for _ in range(12))
+    rows = [(i, line(80), "zh", "a") for i in range(250)] + [(1000 + i, line(400), "ja", "a") for i in range(250)] + [(5000, line(800), "zh", "a"), (5001, line(20), "ja", "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert sorted(r.doc_id for r in quality.score(df).where("NOT kept").collect()) == [5000, 5001]
+    values = [0, 1, 4999, 5000, 8191, 8192, 8193, 10**6, 2**38 - 1, 2**38]
+    got = [r.b for r in spark.createDataFrame([(v,) for v in values], "v bigint").select(quality.bin_of("v").alias("b")).collect()]
+    assert got[:6] == values[:6] and all(b <= v < b + max(1, b / 2**12 + 1) for v, b in zip(values, got))
+
+
 def test_sketches_merge_in_any_order(spark, docs):
     m = materialize(quality.add_measures(docs), "measures")
     parts = quality.sketch(m.where("doc_id < 8")).union(quality.sketch(m.where("doc_id >= 8 OR doc_id IS NULL")))
