@@ -8,9 +8,15 @@ wins. The automata become dense transition tables, in which a failing step
 ends the phrase and starts the next, and all texts of a slice are parsed side
 by side, one vector operation a step.
 
+The MAX_LETTERS most frequent letters of the samples are a symbol each; every
+other letter of the samples is written as two symbols, the digits of its rank,
+so the tables' width grows with the square root of the number of letters.
+
 The sample is bounded: per language the SAMPLE_DOCS documents that come first
 by a hash of their id, of 100 to SAMPLE_DOC_CHARS characters, up to SAMPLE_CHARS
-characters together. Prediction covers every whole text: texts are parsed in
+characters together. A language that these leave short is filled up from the
+beginnings of longer documents, then from shorter ones. Languages with less than
+SAMPLE_MIN_CHARS characters of labelled text aren't learned. Prediction covers every whole text: texts are parsed in
 segments of SEGMENT characters, a phrase ending at a segment's end at the latest.
 
 Nulls, empties, ties: null text or text without a letter is ``und`` with score
@@ -33,6 +39,7 @@ from paceledger.llm import words
 SAMPLE_DOCS = 64
 SAMPLE_DOC_CHARS = 4000
 SAMPLE_CHARS = 24_000
+SAMPLE_MIN_CHARS = 100
 SEGMENT = 1024
 SLICE_BYTES = 4 << 20
 MAX_LETTERS = 120
@@ -44,11 +51,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame) -> pd.DataFrame:
-    """The bounded sample: (lang, text), at most SAMPLE_DOCS rows a language, in the order of the ids' hashes."""
-    fit = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")) & F.length("text").between(100, SAMPLE_DOC_CHARS))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = fit.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS)
-    return rows.select("lang", "n", "text").toPandas().sort_values(["lang", "n"])
+    """The bounded sample: (lang, n, text), at most 2 * SAMPLE_DOCS rows a language, in the order of the ids' hashes."""
+    fit = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
+    usual = F.length("text").between(100, SAMPLE_DOC_CHARS)
+
+    def first(rows: DataFrame, *order: str) -> pd.DataFrame:
+        window = Window.partitionBy("lang").orderBy(*order, F.xxhash64("doc_id"), "doc_id", "text")
+        return rows.withColumn("n", F.row_number().over(window)).where(F.col("n") <= SAMPLE_DOCS).select("lang", "n", "text").toPandas()
+
+    rows = first(fit.where(usual))
+    chars = rows["text"].str.len().groupby(rows["lang"]).sum()
+    short = [r.lang for r in fit.select("lang").distinct().collect() if chars.get(r.lang, 0) < SAMPLE_CHARS]
+    if short:
+        others = fit.where(F.col("lang").isin(short) & ~usual).select("lang", "doc_id", (F.length("text") < 100).alias("_short"), F.substring("text", 1, SAMPLE_DOC_CHARS).alias("text"))
+        more = first(others, "_short")
+        rows = pd.concat([rows, more.assign(n=more["n"] + SAMPLE_DOCS)])
+        chars = rows["text"].str.len().groupby(rows["lang"]).sum()
+        rows = rows[rows["lang"].map(chars) >= SAMPLE_MIN_CHARS]
+    return rows.sort_values(["lang", "n"])
 
 
 def automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
@@ -96,40 +116,52 @@ def learn(docs: DataFrame) -> dict | None:
         texts[lang] = " ".join(own["text"][(upto <= SAMPLE_CHARS) | (own["n"] == own["n"].min())])
     langs = sorted(texts)
     chars = pd.Series(list("".join(texts.values()).lower()))
-    letters = [c for c in chars[chars.str.isalpha()].value_counts().index if len(c) == 1][:MAX_LETTERS]
-    number = {c: i + 2 for i, c in enumerate(letters)}
+    seen = list(chars[chars.str.isalpha()].value_counts().index)
+    number = {c: (i + 2, 0) for i, c in enumerate(seen[:MAX_LETTERS])}
+    rare, digits = seen[MAX_LETTERS:], len(number) + 2
+    base = int(np.ceil(np.sqrt(len(rare))))
+    number |= {c: (digits + i // base, digits + base + i % base) for i, c in enumerate(rare)}
     # symbol 0: a letter that no sample has; 1: anything that is no letter
-    symbol_of = np.fromiter((number.get(c.lower(), 0) if (c := chr(i)).isalpha() else 1 for i in range(0x110000)), dtype=np.uint8, count=0x110000)
-    width = len(letters) + 2
+    codes = [number.get(c.lower()[0], (0, 0)) if (c := chr(i)).isalpha() else (1, 0) for i in range(0x110000)]
+    symbols, seconds = (np.fromiter((c[k] for c in codes), dtype=np.uint16, count=0x110000) for k in (0, 1))
+    width = digits + 2 * base
     tables, roots, weights, states = [], [], [], 0
     for lang in langs:
-        own = squeezed(np.frombuffer(texts[lang].encode("utf-32-le"), np.uint32), symbol_of)
+        own, _ = coded(np.frombuffer(texts[lang].encode("utf-32-le", "surrogatepass"), np.uint32), symbols, seconds)
+        keep = np.ones(len(own), dtype=bool)
+        keep[1:] = (own[1:] != 1) | (own[:-1] != 1)
+        own = own[keep]
         own = np.append(own[own > 0], 1)
         table = automaton(own, width)
         failed = table < 0
         again = np.where(table[0] < 0, 0, table[0])
         table = np.where(failed, again, table)
-        tables.append(((table + states) * width * 2 + failed).astype(np.int32))
+        fits = (states + len(table)) * width * 2 < 2**31
+        tables.append(((table + states) * width * 2 + failed).astype(np.int32 if fits else np.int64))
         roots.append(states * width)
         weights.append(np.log2(len(own) + 1))
         states += len(table)
-    return {"langs": langs, "symbols": symbol_of, "table": np.concatenate(tables).ravel(), "roots": np.array(roots, np.int32), "weights": np.array(weights)}
+    flat = np.concatenate(tables).ravel()
+    return {"langs": langs, "symbols": symbols, "seconds": seconds, "table": flat, "roots": np.array(roots, flat.dtype), "weights": np.array(weights)}
 
 
-def squeezed(codes: np.ndarray, symbol_of: np.ndarray) -> np.ndarray:
-    """Symbols of code points; runs of non-letters become one."""
-    s = symbol_of[codes]
-    keep = np.ones(len(s), dtype=bool)
-    keep[1:] = (s[1:] != 1) | (s[:-1] != 1)
-    return s[keep]
+def coded(codes: np.ndarray, symbols: np.ndarray, seconds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of code points, and the number of symbols of each."""
+    s, second = symbols[codes], seconds[codes]
+    two = second > 0
+    sizes = 1 + two.astype(np.int64)
+    if two.any():
+        s = np.repeat(s, sizes)
+        s[(np.cumsum(sizes) - 1)[two]] = second[two]
+    return s, sizes
 
 
 def entropies(texts: list[str], model: dict) -> np.ndarray:
     """Phrases * log2(sample) / length of each text (rows) against each language (columns)."""
     lens = np.array([len(t) for t in texts])
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = model["symbols"][codes]
-    doc = np.repeat(np.arange(len(texts)), lens)
+    s, sizes = coded(codes, model["symbols"], model["seconds"])
+    doc = np.repeat(np.repeat(np.arange(len(texts)), lens), sizes)
     keep = np.ones(len(s), dtype=bool)
     keep[1:] = (s[1:] != 1) | (s[:-1] != 1) | (doc[1:] != doc[:-1])
     s, doc = s[keep], doc[keep]

@@ -205,6 +205,18 @@ def test_language(spark, small):
     assert langid.learn(odd.limit(0)) is None and {r.lang_pred for r in langid.predict(odd, None).collect()} == {"und"}
 
 
+def test_language_of_many_letters_and_any_length(spark):
+    """Scripts of thousands of letters, and languages whose documents are all long or all short."""
+    rng = np.random.default_rng(6)
+    blocks = {"en": (0x61, 26), "zh": (0x4E00, 1500), "ko": (0xAC00, 1500), "el": (0x3B1, 17), "ru": (0x430, 32)}
+    words = {k: ["".join(chr(at + c) for c in rng.integers(0, n, 2)) for _ in range(500)] for k, (at, n) in blocks.items()}
+    length = {"el": (2000, 2001), "ru": (10, 25)}
+    rows = [(i, " ".join(rng.choice(words[k], int(rng.integers(*length.get(k, (60, 200)))))), k) for i, k in enumerate(list(blocks) * 60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df.select("doc_id", "text"), langid.learn(df)).collect()}
+    assert got == {i: k for i, _, k in rows}
+
+
 def test_cross_parse_counts_longest_matches():
     table = langid.automaton(np.array([2, 3, 2, 2, 3]), 4)
     text, sample, at, phrases = [2, 3, 3, 2, 2, 3, 2], "23223", 0, 0
