@@ -9,20 +9,27 @@ expression. The canonical turns are rendered with a template that marks turns
 and escapes its control strings inside roles and texts, so the output can be
 read back exactly, and the loss mask spans the assistant texts.
 
+Tables of turns become struct records, whose layout is chosen once from their
+schema; they are formatted without a JSON text between, so no size limit of the
+JSON parser applies.
+
 Only DataFrame functions are used; each record is formatted where it lies.
 
 Nulls, empties, ties: null roles and texts are empty; a record of no known
-layout, invalid JSON or null has null layout and no turns; a conversation is
+layout, invalid JSON or null has null layout and no turns; JSON that the parser
+may have refused for its length raises an error; a conversation is
 one record, so its rows meet in one task; rows with equal turn numbers are
 ordered by role and text; fields besides a layout's own make another layout.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 TURN = "struct<role:string,text:string>"
 
@@ -53,6 +60,10 @@ MAPPINGS = (
 )
 
 
+#: A text above this length makes the JSON parser give NULL, and so does a record above 128 MiB.
+JSON_CHARS = 20_000_000
+
+
 def fingerprint(record: Column) -> Column:
     """A hash of a JSON record's nested field paths; types of values don't count. NULL for invalid JSON."""
     shape = F.schema_of_variant(F.try_parse_json(record))
@@ -65,11 +76,28 @@ def layouts(spark: SparkSession, mappings: tuple[Mapping, ...] = MAPPINGS) -> Da
     return spark.createDataFrame(rows, "layout string, example string").select(fingerprint(F.col("example")).alias("_print"), "layout")
 
 
-def _turns(m: Mapping, record: Column) -> Column:
+def typed_mapping(schema: StructType, mappings: tuple[Mapping, ...] = MAPPINGS) -> Mapping | None:
+    """The mapping of struct records of this schema, by the same nested field paths; types of values don't count."""
+    for m in mappings:
+        if m.paths and set(schema.names) == {path.removeprefix("$.") for _, path in m.paths}:
+            return m
+        if m.turns and schema.names == [m.turns.removeprefix("$.")] and isinstance(inner := schema[0].dataType, ArrayType):
+            if isinstance(inner.elementType, StructType) and set(inner.elementType.names) == {m.role, m.text}:
+                return m
+    return None
+
+
+def _turns(m: Mapping, record: Column, typed: bool = False) -> Column:
+    if typed:
+        return _canonical(m, lambda p: record[p.removeprefix("$.")].cast("string"), record[m.turns.removeprefix("$.")] if m.turns else None)
     v = F.try_parse_json(record)
+    rows = F.try_variant_get(v, m.turns, f"array<struct<`{m.role}`:string,`{m.text}`:string>>") if m.turns else None
+    return _canonical(m, lambda p: F.try_variant_get(v, p, "string"), rows)
+
+
+def _canonical(m: Mapping, at: Callable[[str], Column], rows: Column | None) -> Column:
     if m.paths:
-        return F.array(*[F.struct(F.lit(r).alias("role"), F.coalesce(F.try_variant_get(v, p, "string"), F.lit("")).alias("text")) for r, p in m.paths])
-    rows = F.try_variant_get(v, m.turns, f"array<struct<`{m.role}`:string,`{m.text}`:string>>")
+        return F.array(*[F.struct(F.lit(r).alias("role"), F.coalesce(at(p), F.lit("")).alias("text")) for r, p in m.paths])
 
     def turn(x: Column) -> Column:
         role = F.coalesce(x[m.role], F.lit(""))
@@ -81,8 +109,15 @@ def _turns(m: Mapping, record: Column) -> Column:
 
 
 def canonical(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """``records`` with layout and turns, an array of (role, text)."""
-    found = records.withColumn("_fp", fingerprint(F.col(record))).join(F.broadcast(layouts(records.sparkSession, mappings)), F.col("_fp") == F.col("_print"), "left")
+    """``records``, of JSON texts or structs, with layout and turns, an array of (role, text)."""
+    if isinstance(schema := records.schema[record].dataType, StructType):
+        m = typed_mapping(schema, mappings)
+        turns = _turns(m, F.col(record), True) if m else F.array().cast(f"array<{TURN}>")
+        held = F.col(record).isNotNull()
+        return records.withColumn("layout", F.when(held, F.lit(m.name if m else None).cast("string"))).withColumn("turns", F.when(held, turns).otherwise(F.array().cast(f"array<{TURN}>")))
+    refused = F.col(record).isNotNull() & (F.length(record) > JSON_CHARS) & F.try_parse_json(record).isNull()
+    parsed = F.when(refused, F.raise_error(F.concat(F.lit("a JSON record doesn't parse, maybe for its length, of characters: "), F.length(record)))).otherwise(fingerprint(F.col(record)))
+    found = records.withColumn("_fp", parsed).join(F.broadcast(layouts(records.sparkSession, mappings)), F.col("_fp") == F.col("_print"), "left")
     turns = F.array().cast(f"array<{TURN}>")
     for m in mappings:
         turns = F.when(F.col("layout") == m.name, _turns(m, F.col(record))).otherwise(turns)
@@ -146,11 +181,11 @@ def masked(formatted: Column, spans: Column) -> Column:
 
 
 def from_rows(rows: DataFrame) -> DataFrame:
-    """(conv_id, record): conversations given by turn (conv_id, turn, role, text) as records of layout ``turns``."""
+    """(conv_id, record): conversations given by turn (conv_id, turn, role, text) as struct records of layout ``turns``."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = F.sort_array(F.collect_list(turn))
     turns = F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return rows.groupBy("conv_id").agg(F.to_json(F.struct(turns.alias("turns"))).alias("record"))
+    return rows.groupBy("conv_id").agg(F.struct(turns.alias("turns")).alias("record"))
 
 
 PLANTED = (-7, "\\### Assistant: </turn> ok")

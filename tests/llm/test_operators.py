@@ -129,6 +129,22 @@ def test_chat_layouts(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_rows_have_no_size_limit(spark):
+    """A text above the JSON parser's limit is formatted; a JSON record above it fails loudly."""
+    rows = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit("x"), 20_000_001).alias("text"))
+    got = chat.format_chats(chat.from_rows(rows)).select("layout", F.size("turns").alias("n"), F.col("loss_mask")[0]["length"].alias("loss")).first()
+    assert tuple(got) == ("turns", 1, 20_000_001)
+    record = rows.select(F.concat(F.lit('{"prompt":"p","completion":"'), "text", F.lit('"}')).alias("record"))
+    with pytest.raises(Exception, match="doesn't parse"):
+        chat.format_chats(record).select("layout").collect()
+
+
+def test_chat_struct_records(spark):
+    df = spark.sql("SELECT struct('p' AS prompt, CAST(NULL AS STRING) AS completion) AS record, 1 AS id UNION ALL SELECT NULL, 2")
+    got = {r.id: (r.layout, [tuple(t) for t in r.turns]) for r in chat.format_chats(df).collect()}
+    assert got == {1: ("prompt_completion", [("user", "p"), ("assistant", "")]), 2: (None, [])}
+
+
 # ---- 3 ------------------------------------------------------------------------------------------------------
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
