@@ -66,17 +66,16 @@ def stream_upsert_daily(rows: DataFrame, path: str, checkpoint: str):
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all that is there now and return what it wrote.
 
-    Complete mode goes to the memory sink, whose table the aggregate bounds;
-    append mode to Parquet in the shared folder.
+    Executors write the rows to Parquet in the shared folder: append mode by the
+    file sink, complete mode as one table that each micro-batch replaces.
     """
     spark = stream.sparkSession
-    name = f"paceledger_{uuid.uuid4().hex}"
-    state = f"{shared_dir(spark)}/{name}"
+    state = f"{shared_dir(spark)}/paceledger_{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", f"{state}/rows").start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{state}/rows")
-    writer.format("memory").queryName(name).start().awaitTermination()
-    return spark.table(name)
-
-
+    # a source without data makes no micro-batch
+    spark.createDataFrame([], stream.schema).write.parquet(f"{state}/rows")
+    writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{state}/rows")).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{state}/rows")

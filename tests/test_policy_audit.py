@@ -82,6 +82,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted((r.client_id, r.calls) for r in got) == [("COACH", 1), ("OTHER", 1)]
 
 
+def test_complete_results_are_files(spark, tmp_path):
+    """Complete mode leaves its table in the shared folder, not in the driver; a source without rows gives none."""
+    path = events(spark, tmp_path)
+    stream = streams.stream_audit(spark, f"{path}/gateway")
+    got = streams.run_to_end(streams.stream_latest(stream, "client_id", "ts", "corr_id"), "complete")
+    assert got.inputFiles() and got.count() == 2
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("paceledger_")]
+    (tmp_path / "none").mkdir()
+    empty = streams.run_to_end(streams.stream_access_counts(streams.stream_audit(spark, str(tmp_path / "none"))), "complete")
+    assert empty.columns == streams.stream_access_counts(stream).columns and empty.count() == 0
+
+
 def test_payload_stats(spark):
     df = spark.sql("SELECT array(1, 2) AS records, array('a') AS attempts, map('s', named_struct('records', array(1, 2, 3))) AS streams, CAST(NULL AS struct<code:string>) AS error")
     got = audit.payload_stats(df).first()
