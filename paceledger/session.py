@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import shutil
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Removes a query's shuffle files once it has ended; a stage that is run again makes them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (tests) gets a folder of its own; on a
+    cluster there is no folder to fall back to, so that is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="paceledger-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -26,20 +34,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage in a way that survives lost executors, and it gives
     the planner the table's true size, so that a later join is broadcast only
-    if the side is really small. The shuffle files of the finished step are
-    released at once instead of at some later collection in the driver: the
-    first collection frees the plan, the second the shuffle it held.
+    if the side is really small. Spark removes the step's shuffle files when it
+    has ended. ``discard`` deletes the table once nothing reads it any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/paceledger-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    schema = df.schema
-    del df
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned; no DataFrame that reads them may be run afterwards."""
+    for table in tables:
+        spark = table.sparkSession
+        root = shared_dir(spark).split(":", 1)[-1].lstrip("/")
+        for folder in {os.path.dirname(f) for f in table.inputFiles()}:
+            if f"/{root}/paceledger-" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _shipped: set[str] = set()
