@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceledger.session import materialize
+from paceledger.session import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -30,7 +30,10 @@ def components(links: DataFrame) -> DataFrame:
         pa, pb = points.withColumnsRenamed({"a": "_a", "to": "_ta"}), points.withColumnsRenamed({"a": "_b", "to": "_tb"})
         moved = links.join(pa, F.col("a") == F.col("_a")).join(pb, F.col("b") == F.col("_b"))
         moved = moved.where("_ta <> _tb").select(F.least("_ta", "_tb").alias("a"), F.greatest("_ta", "_tb").alias("b")).distinct()
+        old = (links, nodes, points)
         links = materialize(moved, "links")
         nodes = materialize(nodes.join(pa, F.col("at") == F.col("_a"), "left").select("node", F.coalesce("_ta", "at").alias("at")), "nodes")
+        discard(*old)
+    discard(links)
     least = nodes.groupBy("at").agg(F.min("node").alias("component")).withColumnRenamed("at", "_at")
     return nodes.join(least, F.col("at") == F.col("_at")).select("node", "component")

@@ -198,6 +198,34 @@ def test_near_duplicates_family(spark):
     assert sorted(r.doc_id for r in neardup.dedup(df).collect()) == sorted(i for i, v in got.items() if v[2])
 
 
+def test_near_duplicates_large_family(spark):
+    """300 texts around the threshold that share edits, two bases a fifth apart, and a passage that unrelated texts hold."""
+    rng = np.random.default_rng(8)
+    base = prose(rng, 140, 10**6)
+    other = [w if i % 19 else f"other{i}" for i, w in enumerate(base)]
+    rows = []
+    for i in range(300):
+        w = list(base if i % 2 else other)
+        for at in rng.choice(140, int(rng.integers(1, 10)), replace=False):
+            w[at] = f"edit{at}_{rng.integers(0, 4)}"
+        rows.append((1000 - i, " ".join(w)))
+    rows += [(2000 + i, " ".join(prose(rng, 30) + base[20:60] + prose(rng, 30))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()}
+    want = brute_components(rows, 5)
+    assert got == want and 20 < sum(v[2] for v in want.values()) < 320
+
+
+def test_dedup_of_repeated_rows(spark):
+    """Equal rows leave one; rows of one id are one document; null ids stay; other columns may have any name."""
+    text = " ".join(f"a{i}" for i in range(30))
+    rows = [(1, text, 1), (1, text, 1), (2, text, 2), (3, "x y z u v w", 3), (3, text, 4), (4, "only here but of a good length", 5), (4, "and another text of this very id", 6), (None, text, 7), (None, text, 7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n bigint").withColumns({c: F.lit("clash") for c in ("component", "kept", "_n", "node")})
+    out = neardup.dedup(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or 0, r.n) for r in out.collect()) == [(0, 7), (0, 7), (1, 1), (4, 5), (4, 6)]
+
+
 def test_near_duplicates_empty(docs):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
