@@ -1,13 +1,14 @@
 """Chat formatting by schema fingerprints.
 
 Records come as JSON in any of several layouts (rows of messages, prompt and
-completion, instruction and output, ...). A record's nested field paths, without
-the values' types, are hashed to its fingerprint; the fingerprint selects a
-declarative mapping, which says where turns, roles and texts lie. Mappings are
-data: each gives example records, whose fingerprints are computed by the same
-expression. The canonical turns are rendered with a template that marks turns
-and escapes its control strings inside roles and texts, so the output can be
-read back exactly, and the loss mask spans the assistant texts.
+completion, instruction and output, ...). Of a record's nested field paths those
+that any mapping refers to are hashed to its fingerprint, whatever the values'
+types and the other fields are; the fingerprint selects a declarative mapping,
+which says where turns, roles and texts lie. Mappings are data: a mapping's own
+paths give its fingerprint by the same expression. The canonical turns are
+rendered with a template that marks turns and escapes its control strings inside
+roles and texts, so the output can be read back exactly, and the loss mask spans
+the assistant texts.
 
 Tables of turns become struct records, whose layout is chosen once from their
 schema; they are formatted without a JSON text between, so no size limit of the
@@ -15,11 +16,13 @@ JSON parser applies.
 
 Only DataFrame functions are used; each record is formatted where it lies.
 
-Nulls, empties, ties: null roles and texts are empty; a record of no known
-layout, invalid JSON or null has null layout and no turns; JSON that the parser
-may have refused for its length raises an error; a conversation is
-one record, so its rows meet in one task; rows with equal turn numbers are
-ordered by role and text; fields besides a layout's own make another layout.
+Nulls, empties, ties: null roles and texts are empty; an empty array of turns
+has no turns; invalid JSON, null, and a record that lacks a path of every mapping
+or has those of two have null layout and no turns, and ``quarantined`` returns
+them; JSON that the parser may have refused for its length raises an error; a
+conversation is one record, so its rows meet in one task; rows with equal turn
+numbers are ordered by role and text. Input columns named layout, turns,
+formatted or loss_mask are replaced by the results.
 """
 
 from __future__ import annotations
@@ -36,27 +39,31 @@ TURN = "struct<role:string,text:string>"
 
 @dataclass(frozen=True)
 class Mapping:
-    """Where a layout keeps its turns: an array at ``turns`` with ``role`` and ``text`` fields, or one path per turn in ``paths``."""
+    """Where a layout keeps its turns: an array at ``turns`` with ``role`` and ``text`` fields, or one field per turn in ``fields``."""
 
     name: str
-    examples: tuple[str, ...]
     turns: str = ""
     role: str = ""
     text: str = ""
-    paths: tuple[tuple[str, str], ...] = ()
+    fields: tuple[tuple[str, str], ...] = ()
     roles: dict[str, str] = field(default_factory=dict)
 
+    @property
+    def paths(self) -> list[str]:
+        return [f for _, f in self.fields] or [f"{self.turns}[]", f"{self.turns}[].{self.role}", f"{self.turns}[].{self.text}"]
+
 
 MAPPINGS = (
-    Mapping("turns", ('{"turns":[{"role":"a","text":"b"}]}', '{"turns":[]}'), "$.turns", "role", "text"),
-    Mapping("messages", ('{"messages":[{"role":"a","content":"b"}]}',), "$.messages", "role", "content"),
-    Mapping("from_value", ('{"conversations":[{"from":"a","value":"b"}]}',), "$.conversations", "from", "value", roles={"human": "user", "gpt": "assistant"}),
-    Mapping("prompt_completion", ('{"prompt":"a","completion":"b"}',), paths=(("user", "$.prompt"), ("assistant", "$.completion"))),
-    Mapping("prompt_response", ('{"prompt":"a","response":"b"}',), paths=(("user", "$.prompt"), ("assistant", "$.response"))),
-    Mapping("system_prompt_response", ('{"system":"s","prompt":"a","response":"b"}',), paths=(("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response"))),
-    Mapping("instruction_output", ('{"instruction":"a","output":"b"}',), paths=(("user", "$.instruction"), ("assistant", "$.output"))),
-    Mapping("instruction_input_output", ('{"instruction":"a","input":"i","output":"b"}',), paths=(("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
-    Mapping("question_answer", ('{"question":"a","answer":"b"}',), paths=(("user", "$.question"), ("assistant", "$.answer"))),
+    Mapping("turns", "turns", "role", "text"),
+    Mapping("messages", "messages", "role", "content"),
+    Mapping("from_value", "conversations", "from", "value", roles={"human": "user", "gpt": "assistant"}),
+    Mapping("dialogue", "dialogue", "speaker", "utterance"),
+    Mapping("prompt_completion", fields=(("user", "prompt"), ("assistant", "completion"))),
+    Mapping("prompt_response", fields=(("user", "prompt"), ("assistant", "response"))),
+    Mapping("system_prompt_response", fields=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
+    Mapping("instruction_output", fields=(("user", "instruction"), ("assistant", "output"))),
+    Mapping("instruction_input_output", fields=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
+    Mapping("question_answer", fields=(("user", "question"), ("assistant", "answer"))),
 )
 
 
@@ -64,40 +71,62 @@ MAPPINGS = (
 JSON_CHARS = 20_000_000
 
 
-def fingerprint(record: Column) -> Column:
-    """A hash of a JSON record's nested field paths; types of values don't count. NULL for invalid JSON."""
-    shape = F.schema_of_variant(F.try_parse_json(record))
-    return F.xxhash64(F.regexp_replace(shape, "\\b(STRING|BIGINT|BOOLEAN|DOUBLE|FLOAT|VOID|VARIANT|DATE|DECIMAL\\([0-9]+, ?[0-9]+\\))(?=[,>]|$)", "_"))
+def _names(shape: Column) -> Column:
+    """The field names of an OBJECT<...> (or ARRAY<OBJECT<...>>) shape, without those further inside."""
+    flat = F.regexp_replace(shape, "^(ARRAY<)?OBJECT<|>+$", "")
+    for _ in range(8):
+        flat = F.regexp_replace(flat, "<[^<>]*>?", "")
+    return F.transform(F.regexp_extract_all(flat, F.lit("(^|, )`?([^,:`]+)`?: "), 2), F.trim)
+
+
+def known_paths(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    """Those nested field paths of a JSON record that a mapping refers to; NULL for invalid JSON."""
+    v = F.try_parse_json(record)
+    top = _names(F.schema_of_variant(v))
+    parts = [F.array_intersect(top, F.array(*[F.lit(f) for f in dict.fromkeys(f for m in mappings for _, f in m.fields)]))] if any(m.fields for m in mappings) else []
+    for name in dict.fromkeys(m.turns for m in mappings if m.turns):
+        inner = F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+        wanted = dict.fromkeys(f for m in mappings if m.turns == name for f in (m.role, m.text))
+        held = F.array_intersect(F.when(inner.startswith("ARRAY<OBJECT<"), _names(inner)).otherwise(F.array().cast("array<string>")), F.array(*[F.lit(w) for w in wanted]))
+        found = F.concat(F.array(F.lit(f"{name}[]")), F.transform(held, lambda f: F.concat(F.lit(f"{name}[]."), f)))  # noqa: B023
+        parts.append(F.when(F.array_contains(top, name) & inner.startswith("ARRAY<"), found).otherwise(F.array().cast("array<string>")))
+    return F.array_sort(F.concat(*parts))
+
+
+def fingerprint(paths: Column) -> Column:
+    return F.xxhash64(F.array_join(F.array_sort(paths), "\n"))
 
 
 def layouts(spark: SparkSession, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """(fingerprint, layout): one row per example of each mapping; bounded by the mappings."""
-    rows = [(m.name, e) for m in mappings for e in m.examples]
-    return spark.createDataFrame(rows, "layout string, example string").select(fingerprint(F.col("example")).alias("_print"), "layout")
+    """(_print, _layout): a row per mapping, and one more for an empty array of turns; bounded by the mappings."""
+    rows = [(m.name, m.paths) for m in mappings] + [(m.name, [f"{m.turns}[]"]) for m in mappings if m.turns]
+    return spark.createDataFrame(rows, "_layout string, paths array<string>").select(fingerprint(F.col("paths")).alias("_print"), "_layout")
 
 
 def typed_mapping(schema: StructType, mappings: tuple[Mapping, ...] = MAPPINGS) -> Mapping | None:
-    """The mapping of struct records of this schema, by the same nested field paths; types of values don't count."""
-    for m in mappings:
-        if m.paths and set(schema.names) == {path.removeprefix("$.") for _, path in m.paths}:
-            return m
-        if m.turns and schema.names == [m.turns.removeprefix("$.")] and isinstance(inner := schema[0].dataType, ArrayType):
-            if isinstance(inner.elementType, StructType) and set(inner.elementType.names) == {m.role, m.text}:
-                return m
-    return None
+    """The mapping of struct records of this schema, by the same nested field paths."""
+    found = set()
+    for f in schema.fields:
+        if isinstance(f.dataType, ArrayType):
+            inner = f.dataType.elementType
+            found |= {f"{f.name}[]", *(f"{f.name}[].{x}" for x in (inner.names if isinstance(inner, StructType) else ()))}
+        else:
+            found.add(f.name)
+    known = {p for m in mappings for p in m.paths}
+    return next((m for m in mappings if found & known == set(m.paths)), None)
 
 
 def _turns(m: Mapping, record: Column, typed: bool = False) -> Column:
     if typed:
-        return _canonical(m, lambda p: record[p.removeprefix("$.")].cast("string"), record[m.turns.removeprefix("$.")] if m.turns else None)
+        return _canonical(m, lambda f: record[f].cast("string"), record[m.turns] if m.turns else None)
     v = F.try_parse_json(record)
-    rows = F.try_variant_get(v, m.turns, f"array<struct<`{m.role}`:string,`{m.text}`:string>>") if m.turns else None
-    return _canonical(m, lambda p: F.try_variant_get(v, p, "string"), rows)
+    rows = F.try_variant_get(v, f"$.{m.turns}", f"array<struct<`{m.role}`:string,`{m.text}`:string>>") if m.turns else None
+    return _canonical(m, lambda f: F.try_variant_get(v, f"$.{f}", "string"), rows)
 
 
 def _canonical(m: Mapping, at: Callable[[str], Column], rows: Column | None) -> Column:
-    if m.paths:
-        return F.array(*[F.struct(F.lit(r).alias("role"), F.coalesce(at(p), F.lit("")).alias("text")) for r, p in m.paths])
+    if m.fields:
+        return F.array(*[F.struct(F.lit(r).alias("role"), F.coalesce(at(f), F.lit("")).alias("text")) for r, f in m.fields])
 
     def turn(x: Column) -> Column:
         role = F.coalesce(x[m.role], F.lit(""))
@@ -110,18 +139,21 @@ def _canonical(m: Mapping, at: Callable[[str], Column], rows: Column | None) ->
 
 def canonical(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """``records``, of JSON texts or structs, with layout and turns, an array of (role, text)."""
+    none = F.array().cast(f"array<{TURN}>")
+    others = [c for c in records.columns if c not in ("layout", "turns")]
     if isinstance(schema := records.schema[record].dataType, StructType):
         m = typed_mapping(schema, mappings)
-        turns = _turns(m, F.col(record), True) if m else F.array().cast(f"array<{TURN}>")
         held = F.col(record).isNotNull()
-        return records.withColumn("layout", F.when(held, F.lit(m.name if m else None).cast("string"))).withColumn("turns", F.when(held, turns).otherwise(F.array().cast(f"array<{TURN}>")))
+        turns = F.when(held, _turns(m, F.col(record), True) if m else none).otherwise(none)
+        return records.select(*others, F.when(held, F.lit(m.name if m else None).cast("string")).alias("layout"), turns.alias("turns"))
     refused = F.col(record).isNotNull() & (F.length(record) > JSON_CHARS) & F.try_parse_json(record).isNull()
-    parsed = F.when(refused, F.raise_error(F.concat(F.lit("a JSON record doesn't parse, maybe for its length, of characters: "), F.length(record)))).otherwise(fingerprint(F.col(record)))
-    found = records.withColumn("_fp", parsed).join(F.broadcast(layouts(records.sparkSession, mappings)), F.col("_fp") == F.col("_print"), "left")
-    turns = F.array().cast(f"array<{TURN}>")
+    why = F.concat(F.lit("a JSON record doesn't parse, maybe for its length, of characters: "), F.length(record))
+    parsed = F.when(refused, F.raise_error(why)).otherwise(fingerprint(known_paths(F.col(record), mappings)))
+    found = records.select(*others, parsed.alias("_fp")).join(F.broadcast(layouts(records.sparkSession, mappings)), F.col("_fp") == F.col("_print"), "left")
+    turns = none
     for m in mappings:
-        turns = F.when(F.col("layout") == m.name, _turns(m, F.col(record))).otherwise(turns)
-    return found.withColumn("turns", turns).drop("_fp", "_print")
+        turns = F.when(F.col("_layout") == m.name, _turns(m, F.col(record))).otherwise(turns)
+    return found.select(*others, F.col("_layout").alias("layout"), turns.alias("turns"))
 
 
 OPEN, MIDDLE, CLOSE = "### ", ": ", " </turn>\n"
@@ -151,7 +183,17 @@ def render(turns: Column) -> Column:
 
 def format_chats(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS, trained: str = "assistant") -> DataFrame:
     """``records`` with layout, turns, formatted and loss_mask: spans (start, length), in code points of formatted, of the trained role's texts."""
-    out = canonical(records, record, mappings).withColumn("formatted", render(F.col("turns")))
+    return rendered(canonical(records, record, mappings), trained)
+
+
+def quarantined(formatted: DataFrame) -> DataFrame:
+    """The records that no mapping fits, of what ``format_chats`` returned."""
+    return formatted.where("layout IS NULL")
+
+
+def rendered(canonical_chats: DataFrame, trained: str = "assistant") -> DataFrame:
+    """Canonical chats (turns, ...) with formatted and loss_mask."""
+    out = canonical_chats.withColumn("formatted", render(F.col("turns")))
     sizes = F.transform("turns", lambda t: F.struct((t["role"] == trained).alias("on"), (F.length(escape(t["role"])) + len(OPEN) + len(MIDDLE)).alias("head"), F.length(escape(t["text"])).alias("body")))
     out = out.withColumn("_sizes", sizes)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
@@ -188,13 +230,38 @@ def from_rows(rows: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.struct(turns.alias("turns")).alias("record"))
 
 
+def mixed_layouts(chats: DataFrame) -> DataFrame:
+    """(conv_id, record, json): struct records of layout ``turns``, those of most conversations as JSON of a layout that their id picks.
+
+    Conversations of a user's and an assistant's turn may be one prompt with its
+    response; fields that no mapping knows come along. What is too long for the
+    JSON parser stays a struct. Just one of record and json isn't null.
+    """
+    turns = F.col("record.turns")
+    named = lambda role, text: F.transform(turns, lambda t: F.struct(t["role"].alias(role), t["text"].alias(text), F.lit(1).alias("weight")))
+    pick = F.pmod(F.xxhash64("conv_id"), F.lit(4))
+    asked = (F.size(turns) == 2) & (turns[0]["role"] == "user") & (turns[1]["role"] == "assistant")
+    made = (
+        F.when(asked & (pick < 2), F.to_json(F.struct(F.col("conv_id").alias("id"), turns[0]["text"].alias("prompt"), turns[1]["text"].alias("response"))))
+        .when(pick == 0, F.to_json(F.struct(F.col("conv_id").alias("id"), named("role", "content").alias("messages"))))
+        .when(pick == 1, F.to_json(F.struct(named("speaker", "utterance").alias("dialogue"), F.struct(F.lit("chat").alias("kind")).alias("meta"))))
+        .when(pick == 2, F.to_json(F.struct(named("role", "text").alias("turns"))))
+    )
+    long = F.aggregate(turns, F.lit(0).cast("bigint"), lambda a, t: a + F.length(t["text"]) + F.length(t["role"])) > JSON_CHARS // 4
+    return chats.withColumn("json", F.when(~long, made)).select("conv_id", F.when(F.col("json").isNull(), F.col("record")).alias("record"), "json")
+
+
 PLANTED = (-7, "\\### Assistant: </turn> ok")
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as records of several layouts, which their fingerprints tell apart, formatted and read back."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(PLANTED[0], i, role, PLANTED[1]) for i, role in enumerate(("user", "assistant"))], "conv_id bigint, turn bigint, role string, text string")
-    out = format_chats(from_rows(rows.unionByName(extra)))
+    records = mixed_layouts(from_rows(rows.unionByName(extra)))
+    typed = canonical(records, "record").withColumnsRenamed({"layout": "_typed_layout", "turns": "_typed"})
+    chats = canonical(typed, "json").withColumn("turns", F.when(F.col("json").isNull(), F.col("_typed")).otherwise(F.col("turns")))
+    out = rendered(chats.select("conv_id", "turns"))
     out = out.select("conv_id", "formatted", "loss_mask").withColumn("back", read_back(F.col("formatted"))).withColumn("loss", masked(F.col("formatted"), F.col("loss_mask")))
     said = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(

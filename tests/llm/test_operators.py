@@ -118,6 +118,14 @@ def test_chat_layouts(spark):
         ('{"conversations":[{"from":"human","value":"x"},{"from":"gpt","value":"y"}]}', "from_value", ["x", "y"]),
         ('{"instruction":"i","input":"n","output":"o"}', "instruction_input_output", ["i", "n", "o"]),
         ('{"unknown":1}', None, []),
+        ('{"id":7,"messages":[{"role":"user","content":"x","name":"n","meta":{"text":[1,{"role":2}]}}],"turn":{"prompt":"no"}}', "messages", ["x"]),
+        ('{"messages":[]}', "messages", []),
+        ('{"response":"r","meta":{"completion":"no"},"prompt":"p","score":1.5}', "prompt_response", ["p", "r"]),
+        ('{"dialogue":[{"speaker":"user","utterance":"x"},{"speaker":null,"utterance":3}]}', "dialogue", ["x", "3"]),
+        ('{"prompt":"p"}', None, []),
+        ('{"prompt":"p","completion":"c","messages":[{"role":"user","content":"x"}]}', None, []),
+        ('{"messages":[{"role":"user"}]}', None, []),
+        ("[1,2]", None, []),
         ("not json", None, []),
         (None, None, []),
     ]
@@ -127,6 +135,21 @@ def test_chat_layouts(spark):
         assert got[i].layout == layout and [t.text for t in got[i].turns] == texts
     assert [t.role for t in got[3].turns] == ["user", "assistant"]
     assert chat.format_chats(df.limit(0)).count() == 0
+    assert sorted(r.id for r in chat.quarantined(chat.format_chats(df)).collect()) == [i for i, r in enumerate(records) if r[1] is None]
+
+
+def test_chat_clashing_columns(spark):
+    df = spark.createDataFrame([('{"prompt":"p","completion":"c"}', "a", "b", "c", "d")], "record string, layout string, turns string, formatted string, loss_mask string")
+    got = chat.format_chats(df)
+    assert sorted(got.columns) == sorted(df.columns) and got.first().layout == "prompt_completion"
+
+
+def test_chat_query_uses_mappings(spark, tiny):
+    """The query's conversations come in several layouts, and each record's fingerprint finds its mapping."""
+    rows = spark.read.parquet(f"{tiny}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    records = chat.mixed_layouts(chat.from_rows(rows))
+    found = {r.layout: r["count"] for r in chat.canonical(records.where("json IS NOT NULL"), "json").groupBy("layout").count().collect()}
+    assert None not in found and {"messages", "dialogue", "turns"} <= set(found) and records.where("record IS NOT NULL").count() > 0
 
 
 def test_chat_rows_have_no_size_limit(spark):
@@ -279,7 +302,7 @@ def test_cross_parse_counts_longest_matches():
 def test_bpe_equals_the_library(docs, spark, tiny):
     from tokenizers import Tokenizer
 
-    odd = ["a<|endoftext|>b <|ENDOFTEXT|> <|startoftext|>", "don't THEY'LL we've 12,34.", "É é   x", "日本語 テスト。 한국어", "x" * 3000, "a." * 700 + " ,. .,", "İstanbul ΑΣ ς ﬁn"]
+    odd = ["a<|endoftext|>b <|ENDOFTEXT|> <|startoftext|>", "don't THEY'LL we've 12,34.", "É é   x", "日本語 テスト。 한국어", "x" * 3000, "a." * 700 + " ,. .,", "İstanbul ΑΣ ς ﬁn", "word&&& it's## 'tis' x!? (a) a_b __ __a a'&& é!! \u0301x a\u0301. 3) ½% <|a|> a<|endoftext|>.", "a\u00a0 \u00a0b \u2003.c\u200d, ª² ǅa ʰ. \u1e9e"]
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id bigint, text string")).unionByName(spark.read.parquet(f"{tiny}/documents.parquet").select((F.col("doc_id") + 2000).alias("doc_id"), "text"))
     texts = {(r.doc_id, r.text) for r in rows.collect()}
     tokenizer = Tokenizer.from_file(bpe.tokenizer_path(bpe.TOKENIZER))
@@ -293,18 +316,64 @@ def test_bpe_equals_the_library(docs, spark, tiny):
         assert (list(r.ids), r.decoded, r.n_tokens, r.ids_sha256, r.decoded_sha256) == want[r.doc_id]
 
 
-def test_bpe_repairs_a_join_that_disagrees():
-    """Where a neighbour changes a run's tokens, the whole document is encoded."""
+def test_bpe_widens_a_join_that_disagrees():
+    """Where a neighbour changes a run's tokens, the window around it grows until it agrees, to the whole document at last."""
     import pyarrow as pa
 
     from paceledger.llm import words
 
-    encoder = bpe.Encoder(bpe.TOKENIZER)
-    encoder.disagreeing = lambda raw, sl, runs: set(runs)
-    text = "one two three " * 100
+    text = " ".join(f"word{i % 7} and Other{i}." for i in range(300))
+    coder = bpe.Encoder(bpe.TOKENIZER)
+    want = coder.tokenizer.encode(text, add_special_tokens=False).ids
     (sl,) = words.slices(pa.array([text]))
-    (pieces,) = encoder.slice(bpe.chunked(sl))
-    assert len(pieces) == 1 and np.frombuffer(pieces[0][0], "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    coder.disagreeing = lambda raw, sl, runs: set(runs)
+    (pieces,) = coder.slice(bpe.chunked(sl))
+    assert len(pieces) > 5 and np.frombuffer(b"".join(p for p, _ in pieces), "<u4").tolist() == want
+    whole, calls = coder.whole, []
+    coder.whole = lambda t: calls.append(len(t.split())) or (whole(t) if len(t.split()) >= 900 else (b"bad" + whole(t)[0], b""))
+    (pieces,) = coder.slice(bpe.chunked(sl))
+    assert len(pieces) == 1 and np.frombuffer(pieces[0][0], "<u4").tolist() == want
+    assert sorted(set(calls[::2]))[:4] == sorted(calls[::2])[:4] and max(calls) == 900
+
+
+def test_bpe_encodes_a_shared_chunk_once_per_worker(spark):
+    """Two documents in two tasks of one Python worker: the second finds every core of the first."""
+    text = " ".join(f"shared{i} words{i * 7}" for i in range(400))
+
+    def run(batches):
+        import pandas as pd
+        import pyarrow as pa
+
+        from paceledger.llm import words
+
+        coder = bpe.encoder(bpe.TOKENIZER)
+        for pdf in batches:
+            before = coder.new_cores
+            for t in pdf["text"]:
+                for sl in words.slices(pa.array([t])):
+                    list(coder.slice(bpe.chunked(sl)))
+            yield pd.DataFrame({"pid": [__import__("os").getpid()], "new": [coder.new_cores - before]})
+
+    df = spark.createDataFrame([(f"start{k} {text} end{k}",) for k in range(40)], "text string").repartition(40)
+    by_worker = {}
+    for r in df.mapInPandas(run, "pid bigint, new bigint").collect():
+        by_worker.setdefault(r.pid, []).append(r.new)
+    assert len(by_worker) < 40
+    for new in by_worker.values():
+        most, *others = sorted(new, reverse=True)
+        assert most > 10 and all(n <= 2 for n in others)
+
+
+def test_bpe_of_another_tokenizer(spark):
+    """A tokenizer that keeps white space is left to the library."""
+    from tokenizers import Tokenizer
+
+    texts = ["Hello  world, it's\n fine", "", None, " leading and trailing  ", "\u00e9\u65e5 \U0001f600"]
+    t = Tokenizer.from_file(bpe.tokenizer_path("byte_bpe_50k.json"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in bpe.encode_decode(df, tokenizer="byte_bpe_50k.json", outputs=("ids", "decoded")).collect():
+        ids = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert (list(r.ids), r.decoded) == (ids, t.decode(ids, skip_special_tokens=False))
 
 
 # ---- 6 ------------------------------------------------------------------------------------------------------
@@ -315,9 +384,27 @@ def test_url_filter(spark):
     assert got == {1: (False, None), 2: (True, "bad.example"), 3: (False, None), 4: (True, "x.bad.example"), 5: (False, None), 6: (False, None), 7: (False, None), 8: (False, None), 9: (False, None)}
     kept = urls.filter_urls(captures, feed)
     assert kept.columns == captures.columns and kept.count() == 7
+    clash = captures.withColumns({c: F.lit("x") for c in ("host", "entry", "hit", "_row", "_day", "_host")})
+    assert sorted((r.id, r.blocked) for r in urls.evaluate(clash, feed).collect()) == sorted((r.id, r.blocked) for r in urls.evaluate(captures, feed).collect())
     assert urls.evaluate(captures.limit(0), feed).count() == 0 and urls.filter_urls(captures, feed.limit(0)).count() == 10
 
 
+@pytest.mark.parametrize(
+    ("url", "host"),
+    [
+        ("http://user:pw@Bad.Example/", "bad.example"), ("https://u@bad.example:8080?x", "bad.example"), ("http://a@b@bad.example#f", "bad.example"), ("http://bad.example./p", "bad.example"),
+        ("http://bad.example..", "bad.example"), ("http://[2001:DB8::1]:80/", "[2001:db8::1]"), ("http://u:p@[::1]", "[::1]"), (" \t http://bad.example", "bad.example"),
+        ("http://good.example\\@bad.example/", "good.example"), ("http://ok.example/@bad.example", "ok.example"), ("http:///path", None), ("http://.", None), ("no url", None), ("", None), (None, None),
+        ("http://" + "x" * 100_000 + ".example/", "x" * 100_000 + ".example"),
+    ],
+)
+def test_host(spark, url, host):
+    import duckdb
+
+    assert spark.createDataFrame([(url,)], "u string").select(lines.host_of(F.col("u")).alias("h")).first().h == host
+    assert duckdb.execute(f"SELECT nullif(rtrim(lower(regexp_extract(?, '{lines.HOST}', 1)), '.'), '')", [url]).fetchone()[0] == host
+
+
 # ---- 7 ------------------------------------------------------------------------------------------------------
 def brute_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -359,6 +446,29 @@ def test_mixing_tree_splits_exactly(spark):
     assert total == {"a": 7, None: 4, "b": 0} and sum(r.quota for r in one if r.node == 2) == 5
 
 
+def test_mixing_shards(spark):
+    """Every block draw goes to one shard, shards get equally many, and each shard's rows are neighbours in keyed order."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(prose(rng, int(rng.integers(5, 60)))), str(rng.choice(["a", "b", "c"], p=[0.6, 0.3, 0.1]))) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumns({c: F.lit("clash") for c in ("size", "draws", "key", "block", "target", "_row", "_n", "d")})
+    sized = docs.select("source", mixing.size_of(F.col("text")).alias("size"), F.xxhash64("doc_id").alias("key"))
+    draws = [(r.source, r.block, d.copy, d.shard) for r in mixing.plan(sized, depth=3).collect() for d in r.draws]
+    assert len({x[:3] for x in draws}) == len(draws)
+    shards = Counter(x[3] for x in draws)
+    assert sum(shards.values()) == len(draws) and max(shards.values()) - min(shards.values()) <= 1
+    mixed = mixing.mix(docs, depth=3)
+    assert mixed.columns == [*docs.columns, "_shard", "_order"]
+    parts = mixing.sharded(mixed).rdd.glom().map(lambda p: [(r["_shard"], r["_order"]) for r in p]).collect()
+    assert all(p == sorted(p) for p in parts) and sum(map(len, parts)) == mixed.count()
+    where = [s for p in parts for s in {r[0] for r in p}]
+    assert len(where) == len(set(where))
+    got = Counter()
+    for r in mixed.collect():
+        got[r.source] += len(words_of(r.text))
+    assert all(abs(got[s] - n) <= 1 for s, n in brute_targets({k: sum(len(w.split()) for _, w, s in rows if s == k) for k in "abc"}).items())
+    assert mixing.depth_for(spark.sql("SELECT 100 * 1048576D AS target")) == 7 and mixing.depth_for(spark.sql("SELECT CAST(NULL AS DOUBLE) AS target")) == 1
+
+
 def test_mix_rows(spark, docs):
     out = mixing.mix(docs).collect()
     size = {}
@@ -374,12 +484,18 @@ def test_mix_rows(spark, docs):
 
 # ---- 8 ------------------------------------------------------------------------------------------------------
 def test_line_dedup(spark):
-    rows = [(i, f"menu\nbody {i}\n\n  \nmenu" + ("\nrare" if i < 4 else ""), "h1") for i in range(40)] + [(100 + i, f"menu\ntext {i}", "h2") for i in range(4)] + [(200, None, "h1"), (201, "", None), (202, "menu", None)]
+    rows = [(i, f"menu\nbody {i}\n\n  \nmenu" + ("\nrare" if i < 4 else ""), "h1") for i in range(40)] + [(100 + i, f"menu\ntext {i}", "h2") for i in range(4)] + [(300, "alone\nhere", "h3")] + [(200, None, "h1"), (201, "", None), (202, "menu", None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     got = {r.doc_id: r for r in lines.drop_boilerplate(df).collect()}
     assert len(got) == len(rows)
     assert got[0].text == "body 0\n\n  \nrare" and (got[0]["_n_lines"], got[0]["_n_dropped"]) == (4, 2)
-    assert got[100].text == "menu\ntext 0" and got[200].text is None and got[202].text == "menu"
+    assert got[100].text == "text 0" and got[200].text is None and got[202].text == "menu" and got[300].text == "alone\nhere"
+    assert {r.doc_id: r.text for r in lines.drop_boilerplate(df, min_pages=5).collect()}[100] == "menu\ntext 0"
+    clash = df.withColumns({c: F.lit("x") for c in ("_n_lines", "_drop", "_site", "site", "lines", "_row")})
+    out = lines.drop_boilerplate(clash)
+    assert {r.doc_id: (r.text, r["_n_lines"]) for r in out.collect()} == {i: (r.text, r["_n_lines"]) for i, r in got.items()}
+    long = df.unionByName(spark.createDataFrame([(400, "menu\n" + "word " * 2_000_000 + "\n" + "line\n" * 200_000, "h1")], df.schema))
+    assert next(r for r in lines.drop_boilerplate(long).where("doc_id = 400").collect())["_n_dropped"] == 1
     assert lines.drop_boilerplate(df.limit(0)).count() == 0
 
 
@@ -409,6 +525,20 @@ def test_top_k(spark, dim, monkeypatch):
     assert maxscore.top_k(maxscore.whole_numbers(df.limit(0)), F.col("id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Scores beyond 2^53 are whole numbers still; what doesn't fit raises."""
+    big = 2.0**20
+    data = [(0, [big, big, 1.0]), (1, [big, big, 3.0]), (2, [big, big, 2.0]), (3, [-big, big, 5.0]), (4, [])]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in maxscore.top_k(maxscore.whole_numbers(df), F.col("id") == 0).orderBy("rank").collect()]
+    value = lambda a, b: sum(int(x * 256) * int(y * 256) for x, y in zip(a, b))
+    assert got == sorted(((i, value(data[0][1], v)) for i, v in data[1:4]), key=lambda p: (-p[1], p[0])) and got[0][1] > 2**53
+    for x in (2.0**30, 2.0**46, 1e300):
+        wild = spark.createDataFrame([(0, [x, x]), (1, [x, x])], "vec_id bigint, embedding array<double>")
+        with pytest.raises(Exception, match="2\\^45|64 bits"):
+            maxscore.top_k(maxscore.whole_numbers(wild), F.col("id") == 0).collect()
+
+
 # ---- 10 -----------------------------------------------------------------------------------------------------
 def brute_base(text):
     w = words_of(text)
@@ -426,6 +556,18 @@ def test_quality(docs, local):
     kept = quality.filter_quality(docs)
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
     assert quality.score(docs.limit(0)).count() == 0
+    clash = docs.withColumns({c: F.lit("x") for c in ("_row", "_text", "_lang", "kept_lang", "_w", "_all", "symbol_rate")}).withColumnRenamed("lang", "language")
+    again = quality.filter_quality(clash, lang="language")
+    assert again.columns == clash.columns and again.count() == kept.count()
+
+
+def test_quality_groups_may_borrow(spark):
+    """With min_rows a small group takes its language's thresholds; by default it has its own."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(prose(rng, 60)), "en", "a") for i in range(300)] + [(1000 + i, " ".join(w + "##" for w in prose(rng, 60)), "en", "b") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert quality.score(df).where("NOT kept").count() == 0
+    assert sorted(r.doc_id for r in quality.score(df, min_rows=10).where("NOT kept").collect()) == [1000, 1001, 1002]
 
 
 def test_quality_fences_adapt(spark):
