@@ -12,8 +12,9 @@ often isn't boilerplate of its site for that alone.
 
 Nulls, empties, ties: null text counts as empty and stays null; null sites are
 one site; blank lines are neither counted nor dropped; repeated rows are pages
-of their own; a line found on fewer than ``min_pages`` pages always stays.
-Lines are compared by a 64-bit hash within their site.
+of their own; a line found on fewer than ``min_pages`` pages always stays, and
+by default these are lines of one page only. Input columns named _n_lines or
+_n_dropped are replaced. Lines are compared by a 64-bit hash within their site.
 """
 
 from __future__ import annotations
@@ -24,14 +25,17 @@ from pyspark.sql import functions as F
 from paceledger.session import materialize
 
 RATIO = 0.1
-MIN_PAGES = 5
+#: A line that only one page holds is no boilerplate, however few pages its site has.
+MIN_PAGES = 2
+#: Scheme, user (up to the last @ of the authority), host and port; a backslash ends the authority as a slash does.
+HOST = r"^[\x00-\x20]*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#\\]*@)?(\[[^\]/?#\\@]*\]|[^/?#\\@:\[\]]*)(?::[0-9]*)?(?:[/?#\\]|$)"
 BLANK = " \t\n\x0b\x0c\r"
 BLOCK_TAGS = "p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|article|nav|header|footer|section|title|head|body|html|main|aside|blockquote|pre"
 
 
 def host_of(url: Column) -> Column:
-    """The lower-case host of a URL; NULL where there is none."""
-    return F.nullif(F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1)), F.lit(""))
+    """The lower-case host of a URL, without user, port and final dots; an IPv6 address keeps its brackets. NULL where there is none."""
+    return F.nullif(F.rtrim(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(".")), F.lit(""))
 
 
 def visible_lines(html: Column) -> Column:
@@ -63,12 +67,14 @@ def boilerplate(pages: DataFrame, text: str, site: str, ratio: float = RATIO, mi
 def drop_boilerplate(pages: DataFrame, *, text: str = "text", site: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """``pages`` with boilerplate lines gone from ``text``; adds ``_n_lines`` and ``_n_dropped`` (lines that aren't blank)."""
     drop = materialize(boilerplate(pages, text, site, ratio, min_pages, copies), "boilerplate").withColumnsRenamed({"site": "_site", "lines": "_drop"})
-    lines = F.split(F.col(text), "\n")
+    lines = F.split(F.col("_text"), "\n")
     kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_drop"), F.xxhash64(x)) | ~_filled(x)))
     filled = lambda a: F.coalesce(F.size(F.filter(a, _filled)), F.lit(0)).cast("bigint")
-    out = pages.join(drop, pages[site].eqNullSafe(drop["_site"]), "left").withColumn("_kept", kept)
-    out = out.withColumn("_n_lines", filled(lines)).withColumn("_n_dropped", F.col("_n_lines") - filled(F.col("_kept")))
-    return out.withColumn(text, F.array_join("_kept", "\n")).drop("_site", "_drop", "_kept")
+    names = [c for c in pages.columns if c not in ("_n_lines", "_n_dropped")]
+    work = pages.select(F.struct(*names).alias("_row"), F.col(text).alias("_text"), F.col(site).alias("_host"))
+    out = work.join(drop, F.col("_host").eqNullSafe(F.col("_site")), "left").select("_row", kept.alias("_kept"), filled(lines).alias("_n_lines"))
+    columns = [F.array_join("_kept", "\n").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in names]
+    return out.select(*columns, "_n_lines", (F.col("_n_lines") - filled(F.col("_kept"))).alias("_n_dropped"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +86,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = rf"""
 WITH p AS (
-  SELECT row_number() OVER () AS r, page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '') AS host,
+  SELECT row_number() OVER () AS r, page_id, nullif(rtrim(lower(regexp_extract(url, '{HOST}', 1)), '.'), '') AS host,
     regexp_replace(regexp_replace(translate(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), chr(13) || chr(10), '  '),
       '(?i)</?({BLOCK_TAGS})([\s/][^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t
   FROM pages

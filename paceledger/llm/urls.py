@@ -12,6 +12,8 @@ third of all captures meets the list once a day, and the verdicts return on
 Nulls, empties, ties: a null or unparsable URL or null day is never blocked and
 has null entry; of several feed rows of one entry and date, "delisted" holds;
 repeated captures are each returned; feed rows with null entry or date are void.
+Feed entries are compared in lower case without final dots. Input columns named
+host, blocked, entry or since are replaced by the results.
 """
 
 from __future__ import annotations
@@ -19,29 +21,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paceledger.llm.lines import host_of
+from paceledger.llm.lines import HOST, host_of
 
 
 def intervals(feed: DataFrame) -> DataFrame:
     """Turn a feed (entry string, day date, listed boolean) into (entry, since, until) of listed spells; until is exclusive, null if open."""
-    days = feed.where("entry IS NOT NULL AND day IS NOT NULL").groupBy(F.lower("entry").alias("entry"), "day").agg(F.bool_and(F.coalesce("listed", F.lit(False))).alias("listed"))
+    days = feed.where("entry IS NOT NULL AND day IS NOT NULL").groupBy(F.rtrim(F.lower("entry"), F.lit(".")).alias("entry"), "day").agg(F.bool_and(F.coalesce("listed", F.lit(False))).alias("listed"))
     spell = Window.partitionBy("entry").orderBy("day")
     return days.withColumn("until", F.lead("day").over(spell)).where("listed").select("entry", F.col("day").alias("since"), "until")
 
 
 def evaluate(captures: DataFrame, feed: DataFrame, *, url: str = "url", day: str = "day") -> DataFrame:
     """``captures`` with host, blocked, entry (the most specific active one) and since (its listing day)."""
-    hosted = captures.withColumn("host", host_of(F.col(url)))
+    names = [c for c in captures.columns if c not in ("host", "blocked", "entry", "since")]
+    hosted = captures.select(F.struct(*names).alias("_row"), host_of(F.col(url)).alias("host"), F.col(day).alias("day"))
     spells = intervals(feed)
-    seen = hosted.where(F.col("host").isNotNull() & F.col(day).isNotNull()).select("host", F.col(day).alias("day")).distinct()
+    seen = hosted.where(F.col("host").isNotNull() & F.col("day").isNotNull()).select("host", "day").distinct()
     labels = F.split("host", "\\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
     candidates = seen.select("host", "day", F.explode(parents).alias("entry"))
     active = candidates.join(spells, "entry").where((F.col("since") <= F.col("day")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))
     verdicts = active.groupBy("host", "day").agg(F.max(F.struct(F.length("entry").alias("n"), "entry", "since")).alias("hit"))
-    verdicts = verdicts.select(F.col("host").alias("_host"), F.col("day").alias("_day"), "hit")
-    joined = hosted.join(verdicts, (F.col("host") == F.col("_host")) & (F.col(day) == F.col("_day")), "left")
-    return joined.withColumn("blocked", F.col("hit").isNotNull()).withColumn("entry", F.col("hit.entry")).withColumn("since", F.col("hit.since")).drop("_host", "_day", "hit")
+    joined = hosted.join(verdicts, ["host", "day"], "left")
+    return joined.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], "host", F.col("hit").isNotNull().alias("blocked"), F.col("hit.entry").alias("entry"), F.col("hit.since").alias("since"))
 
 
 def filter_urls(captures: DataFrame, feed: DataFrame, *, url: str = "url", day: str = "day") -> DataFrame:
@@ -72,9 +74,9 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate(captures, derived_feed(pages)).select("page_id", "host", F.col("day").cast("string").alias("day"), "blocked", "entry", F.col("since").cast("string").alias("since"))
 
 
-OP6_SQL = r"""
+OP6_SQL = rf"""
 WITH p AS (
-  SELECT row_number() OVER () AS r, page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '') AS host,
+  SELECT row_number() OVER () AS r, page_id, nullif(rtrim(lower(regexp_extract(url, '{HOST}', 1)), '.'), '') AS host,
          CAST(DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS DATE) AS day FROM pages
 ),
 e AS (SELECT regexp_replace(host, '^(www|m|blog)\.', '') AS entry, min(page_id) AS k, count(*) AS n FROM p WHERE host IS NOT NULL GROUP BY 1 HAVING min(page_id) % 3 = 0),
