@@ -13,29 +13,36 @@
 4. Each source's drawn blocks, permuted again, go to the shards in disjoint
    runs of those lengths; inside a shard rows are ordered by a keyed hash.
 
-Only block and source tables (bounded by MAX_BLOCKS per source) meet in groups;
-documents are joined to their block's draws and never gathered. All draws are
+The tree is as deep as shards of about SHARD_WORDS words ask for, so it grows
+with the corpus. Only block and source tables (bounded by MAX_BLOCKS per source)
+meet in groups; documents find their block's draws by a join and are never
+gathered, and no text is shuffled before rows go to their shards. All draws are
 seeded, so reruns agree.
 
 Nulls, empties, ties: null text has size 0 and takes 0; the null source sorts
-last; empty tables give no rows; repeated rows are documents of their own.
+last; empty tables give no rows; repeated rows are documents of their own; other
+columns may have any name, but ``_shard`` and ``_order`` are the result's.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paceledger.session import materialize
+from paceledger.session import discard, materialize
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCK_WORDS = 4096
 MAX_BLOCKS = 1024
-TREE_DEPTH = 4
+SHARD_WORDS = 1 << 20
+#: Tables of blocks and sources of at most so many rows are broadcast.
+BROADCAST_ROWS = 100_000
 SEED = 20240611
 
 
@@ -82,13 +89,20 @@ def split_level(nodes: DataFrame, level: int, seed: int) -> DataFrame:
     return nodes.groupBy("node").applyInPandas(split, "node bigint, source string, quota bigint")
 
 
-def plan(sized: DataFrame, seed: int = SEED, depth: int = TREE_DEPTH) -> DataFrame:
-    """(source, block, source_size, target, draws): every block's draws, an array of (copy, shard, words); words is null for a whole block.
+def depth_for(goal: DataFrame) -> int:
+    """Levels of the tree for shards of about SHARD_WORDS words, from (target)."""
+    words = goal.agg(F.sum("target")).first()[0] or 0
+    return max(1, math.ceil(math.log2(max(1.0, words / SHARD_WORDS))))
+
+
+def plan(sized: DataFrame, seed: int = SEED, depth: int | None = None) -> DataFrame:
+    """(source, block, n_blocks, source_size, target, draws): every block's draws, an array of (copy, shard, words); words is null for a whole block.
 
     ``sized`` has source, size and key, a document hash.
     """
     goal = materialize(targets(sized), "targets")
-    blocks = with_block(sized, goal).groupBy("source", "block", "source_size", "target").agg(F.sum("size").alias("words"))
+    depth = depth_for(goal) if depth is None else depth
+    blocks = with_block(sized, goal).groupBy("source", "block", "n_blocks", "source_size", "target").agg(F.sum("size").alias("words"))
     order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), F.lit("order"), F.col("source"), F.col("block")), "block")
     blocks = blocks.withColumn("upto", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
@@ -97,8 +111,8 @@ def plan(sized: DataFrame, seed: int = SEED, depth: int = TREE_DEPTH) -> DataFra
     last = F.when((part > 0) & (F.col("words") > 0), F.struct(F.col("passes").alias("copy"), F.when(part < F.col("words"), part).alias("words")))
     whole = F.transform(F.sequence(F.lit(1), F.col("passes")), lambda i: F.struct((i - 1).alias("copy"), F.lit(None).cast("bigint").alias("words")))
     whole = F.when(F.col("passes") > 0, whole).otherwise(F.array().cast("array<struct<copy:bigint,words:bigint>>"))
-    draws = blocks.select("source", "block", "source_size", "target", F.explode_outer(F.concat(whole, F.when(last.isNotNull(), F.array(last)).otherwise(F.array().cast("array<struct<copy:bigint,words:bigint>>")))).alias("d"))
-    draws = materialize(draws.select("source", "block", "source_size", "target", "d.copy", "d.words"), "draws")
+    draws = blocks.select("source", "block", "n_blocks", "source_size", "target", F.explode_outer(F.concat(whole, F.when(last.isNotNull(), F.array(last)).otherwise(F.array().cast("array<struct<copy:bigint,words:bigint>>")))).alias("d"))
+    draws = materialize(draws.select("source", "block", "n_blocks", "source_size", "target", "d.copy", "d.words"), "draws")
     nodes = draws.where("copy IS NOT NULL").groupBy("source").agg(F.count("*").alias("quota")).select(F.lit(1).cast("bigint").alias("node"), "source", "quota")
     for level in range(depth):
         nodes = split_level(nodes, level, seed)
@@ -109,8 +123,16 @@ def plan(sized: DataFrame, seed: int = SEED, depth: int = TREE_DEPTH) -> DataFra
     dealt = draws.where("copy IS NOT NULL").withColumn("k", F.row_number().over(again))
     dealt = dealt.join(places, dealt["source"].eqNullSafe(places["_source"]) & (dealt["k"] == places["_k"]))
     dealt = dealt.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard", "words"))).alias("draws")).withColumnsRenamed({"source": "_source", "block": "_block"})
-    every = draws.select("source", "block", "source_size", "target").distinct()
-    return every.join(dealt, every["source"].eqNullSafe(dealt["_source"]) & (every["block"] == dealt["_block"]), "left").drop("_source", "_block")
+    every = draws.select("source", "block", "n_blocks", "source_size", "target").distinct()
+    out = every.join(dealt, every["source"].eqNullSafe(dealt["_source"]) & (every["block"] == dealt["_block"]), "left").drop("_source", "_block")
+    out = materialize(out.withColumn("draws", F.coalesce("draws", F.array().cast("array<struct<copy:bigint,shard:int,words:bigint>>"))), "blocks")
+    discard(goal, draws)
+    return out
+
+
+def small(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it is counted to be small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def with_block(sized: DataFrame, goal: DataFrame) -> DataFrame:
@@ -118,40 +140,58 @@ def with_block(sized: DataFrame, goal: DataFrame) -> DataFrame:
     return sized.join(goal, sized["source"].eqNullSafe(goal["_source"])).drop("_source").withColumn("block", F.pmod("key", "n_blocks").cast("int"))
 
 
-def takes(sized: DataFrame, seed: int = SEED, depth: int = TREE_DEPTH) -> DataFrame:
-    """``sized`` with source_size, target and draws: an array of (copy, shard, words) with the words each draw takes of this document."""
-    blocks = materialize(plan(sized, seed, depth), "blocks").withColumnsRenamed({"source": "_source", "block": "_block"})
-    goal = blocks.groupBy(F.col("_source").alias("source")).agg(F.max(F.col("_block")).alias("top")).select("source")
-    sources = materialize(targets(sized), "targets").select("source", "n_blocks")
-    docs = with_block(sized, sources.join(goal, sources["source"].eqNullSafe(goal["source"]), "left_semi"))
-    docs = docs.join(blocks, docs["source"].eqNullSafe(blocks["_source"]) & (docs["block"] == blocks["_block"])).drop("_source", "_block")
+def placed(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``rows`` (source, key, ...) with block, source_size, target, draws and whether a draw takes the block in part."""
+    sources = blocks.select("source", "n_blocks").distinct()
+    rows = with_block(rows, small(sources)).drop("n_blocks").withColumnsRenamed({"source": "_source", "block": "_block"})
+    blocks = small(blocks.drop("n_blocks"))
+    out = rows.join(blocks, rows["_source"].eqNullSafe(blocks["source"]) & (rows["_block"] == blocks["block"])).drop("_source", "_block")
+    return out.withColumn("_part", F.exists("draws", lambda d: d["words"].isNotNull()))
+
+
+def cut(part: DataFrame, seed: int) -> DataFrame:
+    """Rows (source, block, key, size, draws) of blocks that a draw takes in part, with each draw's words of the document."""
     inside = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed), F.lit("in"), F.col("key")), "key").rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.withColumn("draws", F.coalesce("draws", F.array().cast("array<struct<copy:bigint,shard:int,words:bigint>>")))
-    docs = docs.withColumn("_part", F.exists("draws", lambda d: d["words"].isNotNull()))
-    cut = docs.where("_part").withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    docs = docs.where(~F.col("_part")).withColumn("_before", F.lit(0).cast("bigint")).unionByName(cut)
-    taken = F.transform(
-        "draws",
-        lambda d: F.struct(d["copy"].alias("copy"), d["shard"].alias("shard"), F.when(d["words"].isNull(), F.col("size")).otherwise(F.greatest(F.lit(0), F.least(F.col("size"), d["words"] - F.col("_before")))).alias("words")),
-    )
-    return docs.withColumn("draws", F.filter(taken, lambda d: d["words"] > 0)).drop("_part", "_before", "n_blocks", "block")
-
-
-def mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = SEED, depth: int = TREE_DEPTH) -> DataFrame:
+    before = part.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    words = lambda d: F.when(d["words"].isNull(), F.col("size")).otherwise(F.greatest(F.lit(0), F.least(F.col("size"), d["words"] - F.col("_before"))))
+    return before.withColumn("draws", F.transform("draws", lambda d: F.struct(d["copy"].alias("copy"), d["shard"].alias("shard"), words(d).alias("words")))).drop("_before")
+
+
+def takes(sized: DataFrame, seed: int = SEED, depth: int | None = None) -> DataFrame:
+    """``sized`` with source_size, target and draws: an array of (copy, shard, words) with the words each draw takes of this document."""
+    docs = placed(sized, plan(sized, seed, depth))
+    full = F.transform("draws", lambda d: F.struct(d["copy"].alias("copy"), d["shard"].alias("shard"), F.col("size").alias("words")))
+    docs = docs.where(~F.col("_part")).withColumn("draws", full).unionByName(cut(docs.where("_part"), seed))
+    return docs.withColumn("draws", F.filter("draws", lambda d: d["words"] > 0)).drop("_part", "block")
+
+
+def mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = SEED, depth: int | None = None) -> DataFrame:
     """The mixed rows: ``docs`` repeated as drawn, the last draw's text cut to the words it takes; adds _shard and _order (a keyed shuffle inside the shard)."""
     key = F.xxhash64(F.col(doc_id), F.col(text))
-    slim = docs.select(F.col(source).alias("source"), size_of(F.col(text)).alias("size"), key.alias("key"))
-    drawn = materialize(takes(slim, seed, depth).where("size(draws) > 0").select("key", "size", "draws"), "takes")
-    # equal rows have equal keys: each takes its own draws, in any order
-    number = Window.partitionBy("key").orderBy(F.size("draws"))
-    drawn = drawn.withColumn("_n", F.row_number().over(number)).withColumnRenamed("key", "_key")
-    keyed = docs.withColumn("_key", key)
-    keyed = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    rows = keyed.join(drawn, ["_key", "_n"]).withColumn("_d", F.explode("draws"))
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), 0), F.lit(1), F.col("_d.words").cast("int")), " ")
-    rows = rows.withColumn(text, F.when(F.col("_d.words") < F.col("size"), first).otherwise(F.col(text)))
-    rows = rows.withColumn("_shard", F.col("_d.shard")).withColumn("_order", F.xxhash64(F.lit(seed), F.col("_d.copy"), F.col("_key")))
-    return rows.select(*docs.columns, "_shard", "_order")
+    work = docs.select(F.struct("*").alias("_row"), F.col(source).alias("source"), key.alias("key"))
+    sized = materialize(docs.select(F.col(source).alias("source"), size_of(F.col(text)).alias("size"), key.alias("key")), "sizes")
+    blocks = plan(sized, seed, depth)
+    rows = placed(work, blocks)
+    whole = rows.where(~F.col("_part")).select("_row", "key", F.explode("draws").alias("d"))
+    # of the blocks taken in part, equal rows have equal keys: each takes its own draws, in any order
+    number = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    words = cut(placed(sized, blocks).where("_part"), seed).select(F.col("key").alias("_key"), number.alias("_n"), "draws", "size")
+    part = rows.where("_part").select("_row", "key", number.alias("n"))
+    part = part.join(words, (F.col("key") == F.col("_key")) & (F.col("n") == F.col("_n"))).select("_row", "key", "size", F.explode("draws").alias("d")).where("d.words > 0")
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col(f"_row.{text}"), F.lit(WORD), 0), F.lit(1), F.col("d.words").cast("int")), " ")
+    shorter = F.when(F.col("d.words") < F.col("size"), first).otherwise(F.col(f"_row.{text}"))
+    part = part.select(F.col("_row").withField(text, shorter).alias("_row"), "key", "d")
+    # documents without words take nothing
+    whole = whole.where(F.col(f"_row.{text}").rlike(WORD))
+    out = whole.unionByName(part)
+    order = F.xxhash64(F.lit(seed), F.col("d.copy"), F.col("key"))
+    names = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("_shard", "_order")]
+    return out.select(*names, F.col("d.shard").alias("_shard"), order.alias("_order"))
+
+
+def sharded(mixed: DataFrame) -> DataFrame:
+    """Mixed rows dealt by shard and shuffled inside it: rows of a shard are neighbours, in the order of _order."""
+    return mixed.repartition("_shard").sortWithinPartitions("_shard", "_order")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,4 +199,5 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("doc_id").alias("key"))
     sized = materialize(sized, "sizes")
     taken = F.aggregate("draws", F.lit(0).cast("bigint"), lambda a, d: a + d["words"])
-    return takes(sized).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    shards = F.transform(F.array_sort("draws"), lambda d: d["shard"])
+    return takes(sized).select("doc_id", "size", "source_size", "target", taken.alias("taken"), shards.alias("shards"))
