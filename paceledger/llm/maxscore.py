@@ -15,11 +15,13 @@ shard. In a shard each query runs MaxScore:
 
 The first threshold comes from the rows with the highest impacts on the
 query's strongest terms. Shards return their k best, ties to smaller ids, and
-the shards' results are merged. Nothing is approximate; sums are exact below 2^53.
+the shards' results are merged. Nothing is approximate: a query whose sums may
+reach 2^53 is scored in whole numbers against all rows of the shard, and sums
+that may leave 64 bits, or components of 2^53 and more, raise an error.
 
-Nulls, empties, ties: vectors that are null or hold null or non-finite values,
-and rows with null id, take no part; a query meets vectors of its own length
-only and no row with its own id; of repeated ids each row is a candidate.
+Nulls, empties, ties: vectors that are null or empty or hold null or non-finite
+values, and rows with null id, take no part; a query meets vectors of its own
+length only and no row with its own id; of repeated ids each row is a candidate.
 """
 
 from __future__ import annotations
@@ -65,6 +67,9 @@ class Shard:
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows, higher score first, then smaller id."""
+        largest = float(np.abs(query) @ np.maximum(np.abs(self.high), np.abs(self.low)))
+        if largest >= 2**53:
+            return self.exact(query, own, k, largest)
         bound = np.maximum(0.0, np.maximum(query * self.high, query * self.low))
         by_bound = np.argsort(bound, kind="stable")
         strongest = by_bound[-4:]
@@ -104,6 +109,16 @@ class Shard:
         return self.ids[rows[best]], partial[best]
 
 
+    def exact(self, query: np.ndarray, own: int, k: int, largest: float) -> tuple[np.ndarray, np.ndarray]:
+        """All rows' scores in 64-bit whole numbers."""
+        if largest >= 2**62:
+            raise OverflowError(f"a score of query {own} may not fit into 64 bits")
+        rows = np.flatnonzero(self.ids != own)
+        scores = self.rows[rows].astype(np.int64) @ query.astype(np.int64)
+        best = np.lexsort((self.ids[rows], -scores))[:k]
+        return self.ids[rows[best]], scores[best]
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) from (id bigint, v array<double> of whole numbers)."""
     rows = materialize(vectors.withColumn("q", is_query).withColumn("dim", F.size("v")), "vectors")
@@ -128,8 +143,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                 found = [shard.search(q, int(own), k) for own, q in zip(qids, queries, strict=True)]
                 counts = [len(ids) for ids, _ in found]
                 ids = np.concatenate([f for f, _ in found]) if found else np.zeros(0, np.int64)
-                scores = np.concatenate([s for _, s in found]) if found else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, counts)), pa.array(ids), pa.array(scores.astype(np.int64))], names=["query_id", "vec_id", "score"])
+                scores = np.concatenate([s.astype(np.int64) for _, s in found]) if found else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, counts)), pa.array(ids), pa.array(scores, pa.int64())], names=["query_id", "vec_id", "score"])
 
     hits = met.where("dim > 0").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     merged = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
@@ -137,10 +152,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
 
 def whole_numbers(embeddings: DataFrame) -> DataFrame:
-    """(id, v): floor(256 * x) of each component x as double; unfit vectors and null ids go."""
+    """(id, v): floor(256 * x) of each component x as double; unfit vectors and null ids go; components too large for whole doubles raise an error."""
     x = embeddings.select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("e")).where("id IS NOT NULL AND e IS NOT NULL")
+    whole = lambda c: F.when(F.abs(c) * 256 < 2.0**53, F.floor(c * 256).cast("double")).otherwise(F.raise_error(F.lit("a vector's component is 2^45 or more")).cast("double"))
     fit = x.where(F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))))
-    return fit.select("id", F.transform("e", lambda c: F.floor(c * 256).cast("double")).alias("v"))
+    return fit.select("id", F.transform("e", whole).alias("v"))
 
 
 def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
