@@ -112,7 +112,7 @@ def _settled(block: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]])
     stands = np.concatenate([np.zeros(len(w), bool), np.ones(len(repeats), bool)])
     pad = lambda a, kind: pa.array(np.concatenate([a, np.zeros(len(repeats), a.dtype)]), kind, mask=stands)
     return pa.RecordBatch.from_arrays(
-        [pa.array(key), pad(doc, pa.int64()), pad(k, pa.int32()), pad(pos, pa.int32()), pa.array(np.concatenate([known, void]))], names=["w", "doc_id", "k", "pos", "known"]
+        [pa.array(key), pad(doc, pa.int64()), pad(k, pa.int64()), pad(pos, pa.int32()), pa.array(np.concatenate([known, void]))], names=["w", "doc_id", "k", "pos", "known"]
     )
 
 
@@ -128,7 +128,7 @@ def repeated(docs: DataFrame, length: int, earlier: DataFrame | None, earlier_le
         block, size = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            keys = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32)
+            keys = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for sl in words.slices(batch.column(2)):
                 if first:
                     at, hashes = winnowed(sl, length, full)
@@ -144,7 +144,7 @@ def repeated(docs: DataFrame, length: int, earlier: DataFrame | None, earlier_le
         if block:
             yield _settled(block)
 
-    found = rows.mapInArrow(run, "w bigint, doc_id bigint, k int, pos int, known boolean")
+    found = rows.mapInArrow(run, "w bigint, doc_id bigint, k bigint, pos int, known boolean")
     times = F.count("*").over(Window.partitionBy("w"))
     found = found.withColumn("times", times).where("doc_id IS NOT NULL AND (known OR times > 1)")
     return found.groupBy("doc_id", "k").agg(F.collect_list("pos").alias("places"))
@@ -152,7 +152,7 @@ def repeated(docs: DataFrame, length: int, earlier: DataFrame | None, earlier_le
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, k, text) for the levels: k tells rows with one id apart, a null id becomes a number of its own."""
-    return docs.select(row_id(F.col(doc_id)).alias("doc_id"), F.hash(F.col(text)).alias("k"), F.col(text).alias("text"))
+    return docs.select(row_id(F.col(doc_id)).alias("doc_id"), F.xxhash64(F.col(text)).alias("k"), F.col(text).alias("text"))
 
 
 def row_id(doc_id: Column) -> Column:
@@ -179,9 +179,9 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     ``text`` holds the kept words, one space between; n_words, n_removed and
     kept_sha256 (of that text) are added, in place of input columns so named.
     """
-    found = repeats(docs, doc_id=doc_id, text=text, min_words=min_words)[0][1].withColumnsRenamed({"doc_id": "_id", "k": "_k", "places": "_places"})
+    found = repeats(docs, doc_id=doc_id, text=text, min_words=min_words)[0][1].withColumnsRenamed({"doc_id": "_repeats_id", "k": "_repeats_k", "places": "_repeats_places"})
     others = [c for c in docs.columns if c not in (text, "n_words", "n_removed", "kept_sha256")]
-    rows = docs.join(found, (row_id(F.col(doc_id)) == F.col("_id")) & (F.hash(F.col(text)) == F.col("_k")), "left").select(*others, "_places", text)
+    rows = docs.join(found, (row_id(F.col(doc_id)) == F.col("_repeats_id")) & (F.xxhash64(F.col(text)) == F.col("_repeats_k")), "left").select(*others, "_repeats_places", text)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema] + [f"`{text}` string", "n_words bigint", "n_removed bigint", "kept_sha256 string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
