@@ -1,18 +1,25 @@
 """Quality rules with adaptive thresholds [native].
 
-Each document gets a few integer measures. A quantile sketch of every measure
-is kept per language and source: integer bins and their row counts. Bins have
-width 1 up to 2**BIN_BITS and then as many in each further doubling as half
+Each document gets a few rates: a count over a whole. A quantile sketch of every
+rate is kept per language and source: integer bins and their row counts. Bins
+have width 1 up to 2**BIN_BITS and then as many in each further doubling as half
 of that, so no value lies above the last bin and a sketch stays bounded. Such
 sketches merge by adding counts, in any order, so runs agree, hot groups shrink
 to one row per bin before the shuffle, and a quantile is off by less than one
-bin. Documents are compared with their fences by bin, too. Thresholds are outlier fences read off the
-sketch; a (language, source) group with few rows borrows the sketch of its
-language, and a language with few rows that of all documents. Documents are
-then joined with the thresholds of their group and filtered.
+bin.
+
+The thresholds are read off each group's own sketch: its ninth decile plus FENCE
+times the way there from the median (and, where a rate may also be too low, the
+same below the first decile). No fixed rate enters. A short text's rate is
+coarse, so a document is only rejected if its count lies further beyond what
+the threshold gives for its length than DEVIATIONS Poisson deviations.
+Documents are joined with the thresholds of their group and filtered. A caller
+may let groups of fewer than ``min_rows`` rows borrow the merged sketch of their
+language, and languages of fewer that of all documents; by default none does.
 
 Nulls, empties, ties: null text counts as no words (fails the base rules);
-null language or source is a group of its own; repeated rows are judged alike.
+null language or source is a group of its own; repeated rows are judged alike;
+a group without any document that passes the base rules has no thresholds.
 Input columns that clash with the measures' names are replaced in the output
 of ``score``; ``filter_quality`` returns exactly its input's columns.
 """
@@ -30,17 +37,19 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-#: measure -> (lower fence too, least distance of a fence from the quartile, in the measure's units)
+#: measure -> (count, whole, units of the rate, lower fence too)
 MEASURES = {
-    "symbol_rate": (False, 100),  # symbols per 1000 word characters
-    "dup_line_rate": (False, 300),  # repeated lines per 1000 lines
-    "word_length": (True, 300),  # mean word length in hundredths of a character
+    "symbol_rate": ("n_symbols", "word_chars", 1000, False),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 1000, False),
+    "word_length": ("word_chars", "n_words", 100, True),
 }
-#: Measures of at most this many binary digits are bins of their own; of longer ones this many leading digits are kept.
+#: Rates of at most this many binary digits are bins of their own; of longer ones this many leading digits are kept.
 BIN_BITS = 13
-#: Fences lie this many interquartile ranges outside the quartiles.
-FENCE = 6
-MIN_GROUP_ROWS = 200
+#: Fences lie this many times the way from the median to the outer decile beyond that decile.
+FENCE = 4
+#: Counts may lie this many Poisson deviations beyond what a fence gives for the document's length.
+DEVIATIONS = 3
+MIN_GROUP_ROWS = 1
 
 
 def add_measures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -76,14 +85,9 @@ def add_measures(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda a, x: a + x,
     )
     out = out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("bigint")))
-    rate = lambda part, whole, k: F.when(whole > 0, F.floor(part * k / whole)).otherwise(0).cast("bigint")
-    return (
-        out.withColumn("symbol_rate", rate(F.col("n_symbols"), F.col("word_chars"), 1000))
-        .withColumn("dup_line_rate", rate(F.col("n_dup_lines"), F.col("n_lines"), 1000))
-        .withColumn("word_length", rate(F.col("word_chars"), F.col("n_words"), 100))
-        .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
-        .drop("_w", "_l", "_g", "_p", "_r")
-    )
+    rate = lambda part, whole, units: F.when(F.col(whole) > 0, F.floor(F.col(part) * units / F.col(whole))).otherwise(0).cast("bigint")
+    out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
+    return out.withColumns({m: rate(part, whole, units) for m, (part, whole, units, _) in MEASURES.items()}).drop("_w", "_l", "_g", "_p", "_r")
 
 
 def bin_of(measure: str) -> Column:
@@ -104,55 +108,59 @@ def merge(sketches: DataFrame, *keys: str) -> DataFrame:
 
 
 def fences(sketches: DataFrame, *keys: str) -> DataFrame:
-    """Rows and outlier fences (low, high) of each measure per ``keys``, from the sketches' quartiles."""
+    """Rows and outlier fences (low, high) of each measure per ``keys``, from the sketches' outer deciles and median."""
     group = Window.partitionBy(*keys, "measure")
     ranked = sketches.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("total", F.sum("n").over(group))
-    quartile = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bin")))
-    per = ranked.groupBy(*keys, "measure").agg(F.max("total").alias("total"), quartile(1).alias("q1"), quartile(3).alias("q3"))
-    slack = F.create_map(*[F.lit(x) for m, (_, least) in MEASURES.items() for x in (m, least)])[F.col("measure")]
-    both = F.create_map(*[F.lit(x) for m, (two, _) in MEASURES.items() for x in (m, two)])[F.col("measure")]
-    wide = F.greatest(FENCE * (F.col("q3") - F.col("q1")), slack)
-    return per.select(*keys, "measure", "total", F.when(both, F.col("q1") - wide).alias("low"), (F.col("q3") + wide).alias("high"))
+    decile = lambda d: F.min(F.when(F.col("upto") * 10 >= F.col("total") * d, F.col("bin")))
+    per = ranked.groupBy(*keys, "measure").agg(F.max("total").alias("total"), decile(1).alias("d1"), decile(5).alias("d5"), decile(9).alias("d9"))
+    both = F.create_map(*[F.lit(x) for m, (*_, two) in MEASURES.items() for x in (m, two)])[F.col("measure")]
+    low, high = F.col("d1") - FENCE * (F.col("d5") - F.col("d1")), F.col("d9") + FENCE * (F.col("d9") - F.col("d5"))
+    return per.select(*keys, "measure", "total", F.when(both, low).alias("low"), high.alias("high"))
 
 
 def thresholds(sketches: DataFrame, min_rows: int = MIN_GROUP_ROWS) -> DataFrame:
-    """One row per (lang, source): a map from measure to its fences, from the group, else its language, else all rows."""
-    own = fences(sketches, "lang", "source")
-    by_lang = fences(merge(sketches, "lang"), "lang").select(F.col("lang").alias("l"), F.col("measure").alias("lm"), F.struct("total", "low", "high").alias("by_lang"))
-    overall = fences(merge(sketches)).select(F.col("measure").alias("am"), F.struct("low", "high").alias("overall"))
-    joined = own.join(by_lang, own["lang"].eqNullSafe(by_lang["l"]) & (own["measure"] == by_lang["lm"])).join(overall, own["measure"] == overall["am"])
-    pick = lambda side: (
-        F.when(F.col("total") >= min_rows, F.col(side)).when(F.col("by_lang.total") >= min_rows, F.col(f"by_lang.{side}")).otherwise(F.col(f"overall.{side}"))
-    )
-    rows = joined.select("lang", "source", "measure", pick("low").alias("low"), pick("high").alias("high"))
+    """One row per (lang, source): each measure's fences, from the group, or (where it has less than ``min_rows`` rows) its language, or all rows."""
+    rows = fences(sketches, "lang", "source")
+    if min_rows > 1:
+        by_lang = fences(merge(sketches, "lang"), "lang").select(F.col("lang").alias("l"), F.col("measure").alias("lm"), F.struct("total", "low", "high").alias("by_lang"))
+        overall = fences(merge(sketches)).select(F.col("measure").alias("am"), F.struct("low", "high").alias("overall"))
+        joined = rows.join(by_lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("lm"))).join(overall, F.col("measure") == F.col("am"))
+        pick = lambda side: (
+            F.when(F.col("total") >= min_rows, F.col(side)).when(F.col("by_lang.total") >= min_rows, F.col(f"by_lang.{side}")).otherwise(F.col(f"overall.{side}"))
+        )
+        rows = joined.select("lang", "source", "measure", pick("low").alias("low"), pick("high").alias("high"))
     column = lambda m, side: F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}")
     return rows.groupBy("lang", "source").agg(*[column(m, side) for m in MEASURES for side in ("low", "high")])
 
 
 def within() -> Column:
-    """True where the bin of every measure lies within its group's fences; a side without a fence holds."""
+    """True where no count lies beyond what its group's fences give for the document's length by more than chance; a side without a fence holds."""
     ok = F.lit(True)
-    for m in MEASURES:
-        ok = ok & F.coalesce(bin_of(m) <= F.col(f"{m}_high"), F.lit(True)) & F.coalesce(bin_of(m) >= F.col(f"{m}_low"), F.lit(True))
+    for m, (part, whole, units, _) in MEASURES.items():
+        count = F.col(part).cast("double")
+        for side, sign in (("high", 1), ("low", -1)):
+            given = F.greatest(F.col(f"{m}_{side}"), F.lit(0)).cast("double") * F.col(whole) / F.lit(float(units))
+            ok = ok & F.coalesce((count - given) * sign <= DEVIATIONS * F.sqrt(given + F.lit(1.0)), F.lit(True))
     return ok
 
 
 def score(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", min_rows: int = MIN_GROUP_ROWS, keep: list[str] | None = None) -> DataFrame:
-    """All rows of ``docs`` (columns ``keep``, or all) with measures, fences, ``base_failed`` and ``kept``."""
+    """All rows of ``docs`` (columns ``keep``, or all) with counts, rates, fences, ``base_failed`` and ``kept``."""
     keep = docs.columns if keep is None else keep
-    own = [c for c in keep if c not in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", *MEASURES)]
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *MEASURES]
-    needed = list(dict.fromkeys([*own, lang, source]))
-    measured = materialize(add_measures(docs.select(*dict.fromkeys([*needed, text])), text).select(*needed, *counts), "measures")
-    limits = materialize(thresholds(sketch(measured, lang, source), min_rows), "thresholds").withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    joined = measured.join(limits, measured[lang].eqNullSafe(limits["_lang"]) & measured[source].eqNullSafe(limits["_source"]), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & within()).drop("_lang", "_source")
+    counts = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", *MEASURES]
+    own = [c for c in keep if c not in counts]
+    work = docs.select(F.struct(*own).alias("_row") if own else F.lit(None).alias("_row"), F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.col(source).alias("_source"))
+    measured = materialize(add_measures(work, "_text").select("_row", "_lang", "_source", *counts), "measures")
+    limits = materialize(thresholds(sketch(measured, "_lang", "_source"), min_rows), "thresholds")
+    joined = measured.join(limits, F.col("_lang").eqNullSafe(F.col("lang")) & F.col("_source").eqNullSafe(F.col("source")), "left")
+    sides = [c for c in limits.columns if c not in ("lang", "source", *own)]
+    return joined.withColumn("_kept", ~F.col("base_failed") & within()).select(*(["_row.*"] if own else []), *counts, *sides, F.col("_kept").alias("kept"))
 
 
-def filter_quality(docs: DataFrame, **options) -> DataFrame:
+def filter_quality(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", **options) -> DataFrame:
     """The documents that pass the base rules and lie within their group's fences, with the input's columns."""
-    work = docs.select(F.struct("*").alias("_row"), F.col(options.pop("text", "text")).alias("text"), F.col("lang"), F.col("source"))
-    return score(work, keep=["_row", "lang", "source"], **options).where("kept").select("_row.*")
+    work = docs.select(F.struct("*").alias("_all"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    return score(work, keep=["_all"], **options).where("kept").select("_all.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,41 +198,29 @@ m AS (
   FROM base
 ),
 long AS (
-  SELECT lang, source, 'symbol_rate' AS measure, least(symbol_rate, 5000) AS bin FROM m WHERE NOT base_failed
-  UNION ALL SELECT lang, source, 'dup_line_rate', least(dup_line_rate, 5000) FROM m WHERE NOT base_failed
-  UNION ALL SELECT lang, source, 'word_length', least(word_length, 5000) FROM m WHERE NOT base_failed
-),
-levels AS (
-  SELECT 1 AS level, lang, source, measure, bin FROM long
-  UNION ALL SELECT 2, lang, NULL, measure, bin FROM long
-  UNION ALL SELECT 3, NULL, NULL, measure, bin FROM long
+  SELECT lang, source, 'symbol_rate' AS measure, symbol_rate AS v FROM m WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 'dup_line_rate', dup_line_rate FROM m WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 'word_length', word_length FROM m WHERE NOT base_failed
 ),
+binned AS (SELECT lang, source, measure, v - v % (CAST(1 AS BIGINT) << CAST(greatest(length(bin(v)) - 13, 0) AS BIGINT)) AS bin FROM long),
 ranked AS (
-  SELECT level, lang, source, measure, bin, row_number() OVER (PARTITION BY level, lang, source, measure ORDER BY bin) AS k,
-         count(*) OVER (PARTITION BY level, lang, source, measure) AS total FROM levels
+  SELECT *, row_number() OVER (PARTITION BY lang, source, measure ORDER BY bin) AS k, count(*) OVER (PARTITION BY lang, source, measure) AS total FROM binned
 ),
-quart AS (
-  SELECT level, lang, source, measure, max(total) AS total, min(CASE WHEN k * 4 >= total THEN bin END) AS q1,
-         min(CASE WHEN k * 4 >= total * 3 THEN bin END) AS q3 FROM ranked GROUP BY level, lang, source, measure
-),
-fence AS (
-  SELECT level, lang, source, measure, total,
-         CASE WHEN measure = 'word_length' THEN q1 - greatest(6 * (q3 - q1), 300) END AS low,
-         q3 + greatest(6 * (q3 - q1), CASE measure WHEN 'symbol_rate' THEN 100 ELSE 300 END) AS high FROM quart
-),
-lim AS (
-  SELECT a.lang, a.source, a.measure,
-         CASE WHEN a.total >= 200 THEN a.low WHEN b.total >= 200 THEN b.low ELSE c.low END AS low,
-         CASE WHEN a.total >= 200 THEN a.high WHEN b.total >= 200 THEN b.high ELSE c.high END AS high
-  FROM fence AS a JOIN fence AS b ON b.level = 2 AND a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure
-  JOIN fence AS c ON c.level = 3 AND a.measure = c.measure WHERE a.level = 1
+decile AS (
+  SELECT lang, source, measure, min(CASE WHEN k * 10 >= total THEN bin END) AS d1, min(CASE WHEN k * 10 >= total * 5 THEN bin END) AS d5,
+         min(CASE WHEN k * 10 >= total * 9 THEN bin END) AS d9 FROM ranked GROUP BY lang, source, measure
 ),
 wide AS (
-  SELECT lang, source, max(CASE WHEN measure = 'symbol_rate' THEN high END) AS sh, max(CASE WHEN measure = 'dup_line_rate' THEN high END) AS dh,
-         max(CASE WHEN measure = 'word_length' THEN high END) AS wh, max(CASE WHEN measure = 'word_length' THEN low END) AS wl FROM lim GROUP BY lang, source
+  SELECT lang, source, max(CASE WHEN measure = 'symbol_rate' THEN d9 + 4 * (d9 - d5) END) AS sh, max(CASE WHEN measure = 'dup_line_rate' THEN d9 + 4 * (d9 - d5) END) AS dh,
+         max(CASE WHEN measure = 'word_length' THEN d9 + 4 * (d9 - d5) END) AS wh, max(CASE WHEN measure = 'word_length' THEN greatest(d1 - 4 * (d5 - d1), 0) END) AS wl
+  FROM decile GROUP BY lang, source
+),
+given AS (
+  SELECT m.*, CAST(sh AS DOUBLE) * word_chars / 1000 AS gs, CAST(dh AS DOUBLE) * n_lines / 1000 AS gd, CAST(wh AS DOUBLE) * n_words / 100 AS gh, CAST(wl AS DOUBLE) * n_words / 100 AS gl
+  FROM m LEFT JOIN wide ON m.lang IS NOT DISTINCT FROM wide.lang AND m.source IS NOT DISTINCT FROM wide.source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       (NOT base_failed AND coalesce(symbol_rate <= sh, true) AND coalesce(dup_line_rate <= dh, true)
-        AND coalesce(word_length <= wh, true) AND coalesce(word_length >= wl, true)) AS kept
-FROM m LEFT JOIN wide ON m.lang IS NOT DISTINCT FROM wide.lang AND m.source IS NOT DISTINCT FROM wide.source
+       (NOT base_failed AND coalesce(n_symbols - gs <= 3 * sqrt(gs + 1), true) AND coalesce(n_dup_lines - gd <= 3 * sqrt(gd + 1), true)
+        AND coalesce(word_chars - gh <= 3 * sqrt(gh + 1), true) AND coalesce(gl - word_chars <= 3 * sqrt(gl + 1), true)) AS kept
+FROM given
 """
