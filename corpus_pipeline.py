@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from paceledger.llm import bpe, lines, mixing, neardup, quality
 from paceledger.session import materialize
 
+PAGES = 5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -22,8 +23,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are boilerplate of their source go from the texts; a source is a site here, and copies of a text count once."""
-    out = lines.drop_boilerplate(docs.select(*COLUMNS), text="text", site="source", copies=False)
+    """Lines that are boilerplate of their source go from the texts; a source is a site here, and copies of a text count once.
+
+    A line must be in PAGES texts at least, so that a pair of near copies in a small source is left to the next stage.
+    """
+    out = lines.drop_boilerplate(docs.select(*COLUMNS), text="text", site="source", min_pages=PAGES, copies=False)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.lit(0).cast("bigint"))).select(*COLUMNS)
 
 
@@ -33,8 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out as their source's target says."""
-    out = mixing.mix(docs.select(*COLUMNS))
+    """Documents are repeated or left out as their source's target says, and lie by shard, shuffled inside each."""
+    out = mixing.sharded(mixing.mix(docs.select(*COLUMNS)))
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
