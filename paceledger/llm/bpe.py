@@ -3,25 +3,34 @@
 A rolling hash over the text's bytes cuts every document at content-defined
 places, so passages that documents share fall into equal chunks. A chunk's
 core, from its first to its last white space, depends on the chunk alone and
-is encoded once per worker, however many documents share it. The cuts may fall
-inside words: each join between two cores is repaired by encoding the run of
-characters between them anew. A repaired run is accepted once the tokenizer,
-given the run with a word on either side, agrees with the pieces put together;
-otherwise the window is widened, to the whole document in the end.
+is encoded once per worker process, however many documents and tasks share it.
+The cuts may fall inside words: each join between two cores is repaired by
+encoding the run of characters between them anew. A repaired run is accepted
+once the tokenizer, given the run with a word on either side, agrees with the
+pieces put together; otherwise the window takes one word more on either side,
+then two, four and so on, to the whole document in the end.
 
 Inside a new core, words that the worker has met are looked up, and the rest go
-to the tokenizer in one batch. Both memos are bounded by the parameters below
-and only save work: what they forget is encoded again. Documents are encoded
-where they are read; nothing is shuffled, and a lost task is simply rerun.
-Sharing cores between workers would move all text for less than it saves.
+to the tokenizer in batches. A worker process keeps its encoder with both memos
+for all its tasks. The memos are bounded by the parameters below and only save
+work: what they forget is encoded again. Documents are encoded where they are
+read; nothing is shuffled, and a lost task is simply rerun. Sharing cores
+between workers would move all text for less than it saves.
+
+The word memo rests on what is checked when a tokenizer is loaded: white space
+separates words and is dropped, and decoding joins the tokens' names. Texts of
+any other tokenizer are encoded and decoded whole by the library.
 
 Nulls, empties, ties: null text is encoded as the empty text: no tokens; ids,
-lang or any other column may be null; repeated rows are encoded alike.
+lang or any other column may be null; repeated rows are encoded alike. Input
+columns named like an asked output are replaced by it.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -35,15 +44,15 @@ from paceledger.llm import words
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes the rolling hash sees; a cut follows where its low bits are zero, every MEAN_CHUNK bytes on average.
 ROLL = 16
-MEAN_CHUNK = 256
+MEAN_CHUNK = 512
 #: Limits of a worker's memos: entries of words, bytes of chunk cores with their tokens.
 WORD_MEMO = 400_000
 CHUNK_MEMO_BYTES = 32 << 20
 SLICE_BYTES = 1 << 19
 #: Short texts that share one call of the tokenizer.
 TOGETHER = 512
-#: Characters that end words.
-STOPS = (b",", b".")
+#: Punctuation that is a token run of its own after a letter or digit, where it ends a word.
+STOPS = b"!#$%&()*+,./:;<=>?@[]^_`{|}~\""
 
 Piece = tuple[bytes, bytes]
 
@@ -57,6 +66,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@functools.cache
+def encoder(name: str) -> Encoder:
+    """This process's encoder of a tokenizer; Python workers keep it from task to task."""
+    return Encoder(name)
+
+
+def packed(ids: list[int]) -> bytes:
+    return np.asarray(ids, dtype="<u4").tobytes()
+
+
 class Encoder:
     """A worker's tokenizer with its memos of words and chunk cores: ids (little-endian uint32) and decoded text of each."""
 
@@ -70,21 +89,34 @@ class Encoder:
         self.tokenizer.no_padding()
         specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized}
         self.mark, self.mark_id = next(iter(specials.items()), (None, -1))
-        self.lower = self.encode([b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"]) == self.encode([b"abcdefghijklmnopqrstuvwxyz"])
+        self.by_words = self.drops_spaces()
+        self.lower = self.by_words and self.encode([b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"]) == self.encode([b"abcdefghijklmnopqrstuvwxyz"])
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.names = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.names[i] = token.encode("utf-8")
+        ends = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
+        #: Whether a token ends a run of letters; tokens of words without any other character are told apart by it.
+        self.last = np.array([bool(ends) and n.endswith(ends.encode()) for n in self.names])
         self.ids: dict[bytes, bytes] = {}
         self.decoded: dict[bytes, bytes] = {}
         self.cores: dict[bytes, Piece] = {}
         self.core_bytes = 0
+        self.new_cores = 0
         self.agreed: set[bytes] = set()
 
+    def drops_spaces(self) -> bool:
+        """True for tokenizers that split at white space and punctuation, drop the space and decode by joining tokens' names."""
+        made = json.loads(self.tokenizer.to_str())
+        steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        split = steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and "[^\\s\\p{L}\\p{N}]+" in str(steps[0].get("pattern", {}).get("Regex"))
+        kinds = {n["type"] for n in (made.get("normalizer") or {}).get("normalizers", [])}
+        return bool(split) and made.get("decoder") is None and made.get("post_processor") is None and kinds <= {"NFC", "Replace", "Lowercase"} and self.mark is not None
+
     def encode(self, texts: list[bytes]) -> list[list[int]]:
         """Token ids of each text; many short texts share a call, told apart by a special token between them."""
         mark = self.mark.encode() if self.mark else None
-        apart = [i for i, t in enumerate(texts) if mark is None or len(t) > 1024 or mark[:2] in t]
+        apart = [i for i, t in enumerate(texts) if not self.by_words or len(t) > 1024 or mark[:2] in t]
         out: list[list[int]] = [[]] * len(texts)
         if apart:
             for i, e in zip(apart, self.tokenizer.encode_batch_fast([texts[i].decode("utf-8") for i in apart], add_special_tokens=False), strict=True):
@@ -102,54 +134,89 @@ class Encoder:
         return out
 
     def decode(self, ids: list[int]) -> bytes:
-        """As the library's decode of a tokenizer without a decoder: the tokens' names, a space between."""
+        """As the library's decode, which for tokenizers without a decoder joins the tokens' names by spaces."""
+        if not self.by_words:
+            return self.tokenizer.decode(list(ids), skip_special_tokens=False).encode("utf-8")
         return b" ".join([self.names[i] for i in ids])
 
     def learn(self, new: list[bytes]) -> None:
-        """Put words into the memo; a stop after a letter or digit is a token of its own, so the word before it is looked up or learned alone."""
-        stopped = [w for w in new if w[-1:] in STOPS and w[-2:-1].isalnum()]
-        bare = {w[:-1] for w in stopped}
-        bare.update(w for w in new if not (w[-1:] in STOPS and w[-2:-1].isalnum()))
-        bare.update(STOPS)
-        todo = [w for w in bare if w not in self.ids]
-        for word, ids in zip(todo, self.encode(todo), strict=True):
-            self.ids[word] = b"".join([i.to_bytes(4, "little") for i in ids])
+        """Put words into the memo; punctuation that ends a word after a letter or digit is a token run of its own, so both parts are learned alone."""
+        bare, tails = [], {}
+        for w in new:
+            base = w.rstrip(STOPS)
+            if len(base) < len(w) and base[-1:].isalnum() and b"<|" not in w:
+                tails[w] = base, w[len(base) :]
+            else:
+                bare.append(w)
+        bare = [w for w in {*bare, *chain.from_iterable(tails.values())} if w not in self.ids]
+        plain = [w for w in bare if w.decode("utf-8").isalpha()]
+        for k in range(0, len(plain), TOGETHER):
+            self.learn_letters(plain[k : k + TOGETHER])
+        rest = [w for w in bare if w not in self.ids]
+        for word, ids in zip(rest, self.encode(rest), strict=True):
+            self.ids[word] = packed(ids)
             self.decoded[word] = self.decode(ids)
-        for w in stopped:
-            self.ids[w] = self.ids[w[:-1]] + self.ids[w[-1:]]
-            self.decoded[w] = self.decoded[w[:-1]] + b" " + self.decoded[w[-1:]]
+        for w, (base, tail) in tails.items():
+            self.ids[w] = self.ids[base] + self.ids[tail]
+            self.decoded[w] = self.decoded[base] + b" " + self.decoded[tail]
+
+    def learn_letters(self, group: list[bytes]) -> None:
+        """Learn words of letters from one text of them all: each ends with the first token that ends a run, if there are as many such tokens as words."""
+        ids = np.asarray(self.tokenizer.encode(b" ".join(group).decode("utf-8"), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(group) or ends[-1] != len(ids):
+            return
+        raw, flat, at = ids.tobytes(), ids.tolist(), 0
+        names = self.names
+        for word, end in zip(group, ends.tolist(), strict=True):
+            self.ids[word] = raw[4 * at : 4 * end]
+            self.decoded[word] = names[flat[at]] if end == at + 1 else b" ".join([names[i] for i in flat[at:end]])
+            at = end
 
     def join(self, ws: list[bytes]) -> Piece:
         return b"".join(map(self.ids.__getitem__, ws)), b" ".join(filter(None, map(self.decoded.__getitem__, ws)))
 
+    def whole(self, text: bytes) -> Piece:
+        ids = self.encode([text])[0]
+        return packed(ids), self.decode(ids)
+
+    def plain(self, text: bytes) -> bytes:
+        """Text as the memo has it: the tokenizer lower-cases everything but its special tokens."""
+        return text if b"<|" in text or not self.lower else text.lower()
+
     def slice(self, sl: words.Slice) -> Iterator[list[Piece]]:
         """The pieces of each document of a slice, in order."""
         raw = sl.data.tobytes()
+        if not self.by_words:
+            for i in range(len(sl.counts)):
+                yield [self.whole(raw[sl.offsets[i] : sl.offsets[i + 1]])]
+            return
         doc_parts = [parts(sl, raw, i) for i in range(len(sl.counts))]
         cores = {p for ps in doc_parts for p, run in ps if run is None}
         runs = {p: run for ps in doc_parts for p, run in ps if run is not None}
         if self.core_bytes > CHUNK_MEMO_BYTES:
             self.cores = {p: self.cores[p] for p in cores if p in self.cores}
             self.core_bytes = sum(len(p) + len(i) + len(d) for p, (i, d) in self.cores.items())
-        # the tokenizer lower-cases everything but its special tokens
-        split = {p: (p if b"<|" in p or not self.lower else p.lower()).split() for p in cores if p not in self.cores}
+        split = {p: self.plain(p).split() for p in cores if p not in self.cores}
         wanted = set(chain.from_iterable(split.values()))
         wanted.update(runs)
         missing = wanted.difference(self.ids)
         if len(self.ids) + len(missing) > WORD_MEMO:
-            self.ids.clear()
-            self.decoded.clear()
-            self.agreed.clear()
-            missing = wanted
+            kept = wanted.intersection(self.ids)
+            self.ids = {w: self.ids[w] for w in kept}
+            self.decoded = {w: self.decoded[w] for w in kept}
+            self.agreed &= kept
         self.learn(list(missing))
         for p, ws in split.items():
             piece = self.cores[p] = self.join(ws)
             self.core_bytes += len(p) + len(piece[0]) + len(piece[1])
+        self.new_cores += len(split)
         wrong = self.disagreeing(raw, sl, runs)
         for i, ps in enumerate(doc_parts):
-            if wrong and any(p in wrong for p, run in ps if run is not None):
-                ids = self.encode([raw[sl.offsets[i] : sl.offsets[i + 1]]])[0]
-                yield [(np.asarray(ids, dtype="<u4").tobytes(), self.decode(ids))]
+            places = [run for p, run in ps if run is not None and p in wrong] if wrong else []
+            if places:
+                start, end = int(sl.offsets[i]), int(sl.offsets[i + 1])
+                yield self.widened(raw[start:end], [(s - start, e - start) for s, e in places])
             else:
                 yield [self.cores[p] if run is None else (self.ids[p], self.decoded[p]) for p, run in ps]
 
@@ -162,12 +229,37 @@ class Encoder:
         whole = self.encode([b" ".join(filter(None, (left, p, right))) for p, (left, right) in zip(todo, around, strict=True)])
         wrong = set()
         for p, (left, right), ids in zip(todo, around, whole, strict=True):
-            if np.asarray(ids, dtype="<u4").tobytes() == self.ids.get(left, b"") + self.ids[p] + self.ids.get(right, b""):
+            if packed(ids) == self.ids.get(left, b"") + self.ids[p] + self.ids.get(right, b""):
                 self.agreed.add(p)
             else:
                 wrong.add(p)
         return wrong
 
+    def widened(self, text: bytes, places: list[tuple[int, int]]) -> list[Piece]:
+        """The pieces of a document around places whose runs disagree: each window of words grows until the tokenizer agrees with its neighbours' tokens."""
+        ws = [self.plain(w) for w in text.split()]
+        self.learn([w for w in set(ws) if w not in self.ids])
+        pieces: list[Piece] = []
+        done = 0
+        for s, e in places:
+            first, last = len(text[:s].split()), len(text[:e].split())
+            if last <= done:
+                continue
+            step = 1
+            while True:
+                lo, hi = max(done, first - step), min(len(ws), last + step)
+                window = self.whole(b" ".join(ws[lo:hi]))
+                left, right = ws[lo - 1 : lo] if lo else [], ws[hi : hi + 1]
+                known = self.join(left)[0] + window[0] + self.join(right)[0]
+                if (lo == 0 and hi == len(ws)) or self.whole(b" ".join([*left, *ws[lo:hi], *right]))[0] == known:
+                    break
+                if lo == done and hi == len(ws):
+                    return [self.whole(text)]
+                step *= 2
+            pieces += [self.join(ws[done:lo]), window]
+            done = hi
+        return [*pieces, self.join(ws[done:])]
+
 
 def parts(sl: words.Slice, raw: bytes, i: int) -> list[tuple[bytes, tuple[int, int] | None]]:
     """A document as repaired runs and chunk cores in turn: (bytes, None for a core, else the run's place)."""
@@ -219,12 +311,12 @@ def encode_decode(docs: DataFrame, *, text: str = "text", tokenizer: str = TOKEN
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema] + [f"{c} {OUTPUTS[c]}" for c in outputs])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        made_by = encoder(tokenizer)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             for sl in words.slices(column, SLICE_BYTES):
                 made: dict[str, list] = {c: [] for c in outputs}
-                for pieces in encoder.slice(chunked(sl)):
+                for pieces in made_by.slice(chunked(sl)):
                     ids = b"".join([p for p, _ in pieces])
                     decoded = b" ".join([d for _, d in pieces if d])
                     for c in outputs:
