@@ -28,8 +28,16 @@ def _mask_secret(value: Column, kind: T.DataType) -> Column:
     return secret_value(value) if isinstance(kind, T.StringType) else F.lit(TOKEN)
 
 
+def nested(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
+
+
 def redact_keys(df: DataFrame, keys: tuple[str, ...], mask: Callable[[Column, T.DataType], Column] = _mask) -> DataFrame:
-    """Mask every field named in ``keys`` (trimmed, any case) at any depth, through arrays; a masked field becomes a string."""
+    """Mask every field and map key named in ``keys`` (trimmed, any case) at any depth, through arrays and maps.
+
+    A masked field becomes a string, and so do the values of a map of scalars. A map's
+    values share a type, so a struct, array or map under a named key becomes NULL.
+    """
 
     def walk(value: Column, kind: T.DataType) -> Column:
         if isinstance(kind, T.StructType):
@@ -39,8 +47,11 @@ def redact_keys(df: DataFrame, keys: tuple[str, ...], mask: Callable[[Column, T.
             return F.when(value.isNotNull(), F.struct(*fields))
         if isinstance(kind, T.ArrayType) and touched(kind.elementType):
             return F.transform(value, lambda x: walk(x, kind.elementType))
-        if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType):
-            return F.transform_values(value, lambda k, v: F.when(F.lower(F.trim(k)).isin(*keys), mask(v, kind.valueType)).otherwise(v))
+        if isinstance(kind, T.MapType):
+            hit = lambda k: F.lower(F.trim(k.cast("string"))).isin(*keys)
+            if nested(kind.valueType):
+                return F.transform_values(value, lambda k, v: F.when(~hit(k), walk(v, kind.valueType)))
+            return F.transform_values(value, lambda k, v: F.when(hit(k), mask(v, kind.valueType)).otherwise(v.cast("string")))
         return value
 
     def named(name: str) -> bool:
@@ -51,7 +62,7 @@ def redact_keys(df: DataFrame, keys: tuple[str, ...], mask: Callable[[Column, T.
             return any(named(f.name) or touched(f.dataType) for f in kind.fields)
         if isinstance(kind, T.ArrayType):
             return touched(kind.elementType)
-        return isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType)
+        return isinstance(kind, T.MapType)
 
     return df.select(*[(mask(F.col(f.name), f.dataType) if named(f.name) else walk(F.col(f.name), f.dataType)).alias(f.name) for f in df.schema.fields])
 
@@ -65,7 +76,9 @@ def redact_pii(df: DataFrame) -> DataFrame:
 
 
 def redact_paths(df: DataFrame, paths: list[str | None], when: Callable[[str], Column] | None = None) -> DataFrame:
-    """Mask dotted paths through structs and arrays; unknown, blank or non-text paths do nothing.
+    """Mask dotted paths through structs, arrays and maps; unknown, blank or non-text paths do nothing.
+
+    A masked value and its siblings in a map become strings; nested ones in a map become JSON text.
 
     ``when`` gives a condition per path, for frames whose rows redact different paths.
     """
@@ -83,16 +96,13 @@ def redact_paths(df: DataFrame, paths: list[str | None], when: Callable[[str], C
 
 def _at(value: Column, kind: T.DataType, parts: list[str], cond: Column | None) -> Column:
     if not parts:
-        if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
-            text = F.to_json(value)
-        else:
-            text = value.cast("string")
+        text = F.to_json(value) if nested(kind) else value.cast("string")
         return F.lit(TOKEN) if cond is None else F.when(cond, F.lit(TOKEN)).otherwise(text)
     if isinstance(kind, T.ArrayType):
         return F.transform(value, lambda x: _at(x, kind.elementType, parts, cond))
     if isinstance(kind, T.MapType):
-        hit = F.lit(True) if cond is None else cond
-        return F.transform_values(value, lambda k, v: F.when((k == parts[0]) & hit, F.lit(TOKEN)).otherwise(v))
+        wanted = F.lit(True) if cond is None else cond
+        return F.transform_values(value, lambda k, v: _at(v, kind.valueType, parts[1:], wanted & (k.cast("string") == parts[0])))
     inner = kind[parts[0]].dataType
     return F.when(value.isNotNull(), value.withField(f"`{parts[0]}`", _at(value[parts[0]], inner, parts[1:], cond)))
 
@@ -103,7 +113,7 @@ def exists(kind: T.DataType, parts: list[str]) -> bool:
     if isinstance(kind, T.ArrayType):
         return exists(kind.elementType, parts)
     if isinstance(kind, T.MapType):
-        return len(parts) == 1 and isinstance(kind.valueType, T.StringType)
+        return exists(kind.valueType, parts[1:])
     return isinstance(kind, T.StructType) and parts[0] in kind.names and exists(kind[parts[0]].dataType, parts[1:])
 
 
@@ -116,7 +126,7 @@ def redaction_count(df: DataFrame, paths: list[str | None]) -> Column:
         if not parts:
             return F.lit(1)
         if isinstance(kind, T.MapType):
-            return F.when(F.map_contains_key(value, F.lit(parts[0])), 1).otherwise(0)
+            return F.when(F.map_contains_key(value, F.lit(parts[0]).cast(kind.keyType)), count(value[F.lit(parts[0]).cast(kind.keyType)], kind.valueType, parts[1:])).otherwise(0)
         return F.when(value.isNotNull(), count(value[parts[0]], kind[parts[0]].dataType, parts[1:])).otherwise(0)
 
     total = F.lit(0)
@@ -141,6 +151,24 @@ def sanitize_args(args: Column) -> Column:
     return F.transform_values(args, lambda k, v: F.when(F.lower(F.trim(k)).isin(*SECRET_KEYS), F.lit(TOKEN)).otherwise(v))
 
 
+def find_first(value: Column, kind: T.DataType, name: str) -> Column | None:
+    """The first scalar named ``name``, as text: a struct's or map's own before those of its children, in order; None if the type has no place for one."""
+    found: list[Column] = []
+    if isinstance(kind, T.StructType):
+        found = [value[f.name].cast("string") for f in kind.fields if f.name == name and not nested(f.dataType)]
+        found += [c for f in kind.fields if (c := find_first(value[f.name], f.dataType, name)) is not None]
+    elif isinstance(kind, T.MapType):
+        if not nested(kind.valueType):
+            return F.try_element_at(value, F.lit(name)).cast("string") if isinstance(kind.keyType, T.StringType) else None
+        return find_first(F.map_values(value), T.ArrayType(kind.valueType), name)
+    elif isinstance(kind, T.ArrayType):
+        if find_first(F.lit(None), kind.elementType, name) is None:
+            return None
+        hits = F.filter(F.transform(value, lambda x: find_first(x, kind.elementType, name)), lambda x: x.isNotNull())
+        return F.get(hits, F.lit(0))
+    return F.coalesce(*found) if found else None
+
+
 def subject_hash(user_id: Column, salt: str) -> Column:
     """Sixteen hex digits of a salted hash; NULL without salt or id, or if the id is masked already."""
     uid = user_id.cast("string")

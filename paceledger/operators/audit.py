@@ -54,8 +54,9 @@ def flatten_audit(raw: DataFrame) -> DataFrame:
 
 
 def find_user(events: DataFrame) -> Column:
-    """The user id of an event: among its arguments first, then one level down."""
-    return F.coalesce("args.user_id", "args.args.user_id")
+    """The first user id among an event's arguments, depth first."""
+    found = R.find_first(F.col("args"), events.schema["args"].dataType, "user_id")
+    return F.lit(None).cast("string") if found is None else found
 
 
 def seal(events: DataFrame, salt: str) -> DataFrame:

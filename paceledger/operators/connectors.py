@@ -107,6 +107,19 @@ def select_source(candidates: DataFrame, live: tuple[str, str], store: str = "va
     return best.select("request_id", "selected_source", error.alias("error_code"), made.alias("attempts"))
 
 
+def choose(tries: Column, prefer: Column, prefer_data: Column, live: tuple[str, str], store: str = "vault") -> Column:
+    """``select_source`` inside a row: (selected_source, error_code, attempts) from an array of (source, ok, n_records, error_code)."""
+    tried = F.transform(
+        tries,
+        lambda t: F.struct(source_rank(t["source"], prefer, prefer_data, live, store).alias("rank"), t["source"].alias("source"), (t["ok"] & ((t["source"] != store) | (t["n_records"] > 0))).alias("ok"), t["error_code"].alias("error_code")),
+    )
+    ranked = F.array_sort(F.filter(tried, lambda t: t["rank"].isNotNull()))
+    best = F.get(F.filter(ranked, lambda t: t["ok"]), F.lit(0))
+    failed = F.when(F.lower(F.trim(F.coalesce(prefer_data, F.lit("auto")))) == "vault", "vault_empty").otherwise("all_sources_failed")
+    made = F.filter(ranked, lambda t: best.isNull() | (t["rank"] <= best["rank"]))
+    return F.struct(best["source"].alias("selected_source"), F.when(best.isNull(), failed).alias("error_code"), made.alias("attempts"))
+
+
 def attempt_trace(attempts: DataFrame) -> DataFrame:
     """Per request the ordered attempts (rank, source, ok, error_code)."""
     return attempts.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "ok", "error_code"))).alias("attempts"))

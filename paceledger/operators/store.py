@@ -166,9 +166,9 @@ def store_sources(rows: DataFrame) -> DataFrame:
 
 
 def walk_features(rows: DataFrame, users: DataFrame | None = None) -> DataFrame:
-    """Per user: records with whole steps, their total, truncated mean, least and greatest; users without any get zeros and NULLs."""
+    """Per user: records with whole steps, their total, truncated mean, least and greatest; users without any, and ``users`` besides, get zeros and NULLs."""
     n = F.col("steps").try_cast("bigint")
-    out = rows.where(n.isNotNull()).groupBy("user_id").agg(F.count("*").alias("days"), F.sum(n).alias("total_steps"), F.min(n).alias("min_steps"), F.max(n).alias("max_steps"))
+    out = rows.groupBy("user_id").agg(F.count(n).alias("days"), F.coalesce(F.sum(n), F.lit(0)).alias("total_steps"), F.min(n).alias("min_steps"), F.max(n).alias("max_steps"))
     if users is not None:
         out = users.select("user_id").distinct().join(out, "user_id", "left").fillna(0, ["days", "total_steps"])
     mean = F.when(F.col("days") > 0, (F.col("total_steps") / F.col("days")).cast("bigint")).otherwise(0).cast("bigint")

@@ -5,54 +5,83 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceledger.functions.scalars import coach_tier
+from paceledger.functions import redact
+from paceledger.functions import scalars as S
 from paceledger.operators import audit, connectors, games, policy, store
+from paceledger.sources import writers
 
 REDACTABLE = ["records.kcalories", "provenance.player_id", "provenance.email"]
 
 
-def fetch_walk_batch(requests: DataFrame, rules: DataFrame, candidates: DataFrame, records: DataFrame, *, live: tuple[str, str], store_name: str = "vault", paths: list[str] | None = None) -> DataFrame:
+def decide(requests: DataFrame, rules: DataFrame) -> DataFrame:
+    """Requests with their resolved rule and the error that stops them before anything is read."""
+    out = policy.deny(policy.resolve_policy(requests, rules))
+    return out.withColumn("error", F.coalesce("error", policy.validate_prefer_data(F.col("prefer_data"))))
+
+
+def fetch(decided: DataFrame, candidates: DataFrame, records: DataFrame, *, live: tuple[str, str], store_name: str = "vault", as_of=None, days: int = 365) -> DataFrame:
+    """``decided`` with selected_source, attempts, player and records of the requests without error; failed fetches get theirs.
+
+    One join finds the outcomes of the sources, one the user's rows of the chosen
+    source; windows and pages are cut inside the row. With ``as_of``, open windows
+    end there and begin ``days`` days before. The requests' outermost dates go to
+    the scan of the records. Columns limit and offset of the requests page the
+    records by date.
+    """
+    if as_of is not None:
+        upper = F.coalesce("end", F.lit(as_of).cast("date"))
+        decided = decided.withColumn("start", F.coalesce("start", F.date_sub(upper, days))).withColumn("end", upper)
+    outer = decided.where("error IS NULL").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count_if(F.col("start").isNull()).alias("from_ever"), F.count_if(F.col("end").isNull()).alias("to_ever")).first()
+    records = store.date_window(records, None if outer["from_ever"] else outer["start"], None if outer["to_ever"] else outer["end"])
+    tries = candidates.groupBy("request_id").agg(F.collect_list(F.struct("source", "ok", "n_records", "error_code")).alias("_tries"))
+    none = F.array().cast("array<struct<source:string,ok:boolean,n_records:bigint,error_code:string>>")
+    tries = tries.select("request_id", F.col("_tries").cast("array<struct<source:string,ok:boolean,n_records:bigint,error_code:string>>").alias("_tries"))
+    out = decided.join(tries, "request_id", "left").withColumn("_tries", F.coalesce("_tries", none))
+    chosen = F.when(F.col("error").isNull(), connectors.choose(F.col("_tries"), F.col("prefer"), F.col("prefer_data"), live, store_name))
+    out = out.withColumn("_chosen", chosen).drop("_tries")
+    failed = F.when(F.col("_chosen.error_code").isNotNull(), policy.typed_error(F.col("_chosen.error_code"), F.col("_chosen.error_code")))
+    out = out.select(*decided.columns, F.col("_chosen.selected_source").alias("selected_source"), F.col("_chosen.attempts").alias("attempts"), failed.alias("_failed"))
+    own = records.groupBy(F.col("user_id").alias("_user"), F.col("source").alias("_source")).agg(F.array_sort(F.collect_list(F.struct("date", "steps", "kcalories"))).alias("_rows"), F.max("player_id").alias("player"))
+    out = out.join(own, (F.col("user_id") == F.col("_user")) & (F.col("selected_source") == F.col("_source")), "left")
+    rows = F.filter("_rows", lambda r: F.coalesce(r["date"] >= F.col("start"), F.col("start").isNull()) & F.coalesce(r["date"] <= F.col("end"), F.col("end").isNull()))
+    rows = F.coalesce(rows, F.array().cast(own.schema["_rows"].dataType))
+    if {"limit", "offset"} <= set(decided.columns):
+        low = F.greatest(F.coalesce("offset", F.lit(0)), F.lit(0)).cast("int")
+        rows = F.slice(rows, low + 1, F.greatest(F.coalesce("limit", F.size(rows)), F.lit(0)).cast("int"))
+    out = out.withColumn("records", F.when(F.col("selected_source").isNotNull(), rows))
+    return out.withColumn("error", F.coalesce("error", "_failed")).drop("_user", "_source", "_rows", "_failed")
+
+
+def fetch_walk_batch(requests: DataFrame, rules: DataFrame, candidates: DataFrame, records: DataFrame, *, live: tuple[str, str], store_name: str = "vault", paths: list[str] | None = None, as_of=None) -> DataFrame:
     """Purpose-limited records for a table of requests.
 
     ``requests``: request_id, user_id, client, purpose, tool, prefer, prefer_data,
     start, end. ``candidates``: request_id, source, ok, n_records, error_code.
-    ``records``: source, user_id, date, steps, kcalories, player_id. Denied
-    requests are decided before records are joined; a request reads one source.
+    ``records``: source, user_id, date, steps, kcalories, player_id. A request
+    reads one source, and none if it is denied.
     """
-    decided = policy.deny(policy.resolve_policy(requests, rules))
-    bad = policy.validate_prefer_data(F.col("prefer_data"))
-    decided = decided.withColumn("error", F.coalesce("error", bad))
-    allowed = decided.where("error IS NULL")
-    chosen = connectors.select_source(candidates.join(allowed.select("request_id", "prefer", "prefer_data"), "request_id"), live, store_name)
-    wanted = allowed.select("request_id", "user_id", "start", "end").join(chosen.select("request_id", "selected_source"), "request_id").where("selected_source IS NOT NULL")
-    r = records.withColumnRenamed("user_id", "_user")
-    hit = wanted.join(r, (F.col("user_id") == F.col("_user")) & (F.col("selected_source") == F.col("source")))
-    hit = hit.where((F.col("start").isNull() | (F.col("date") >= F.col("start"))) & (F.col("end").isNull() | (F.col("date") <= F.col("end"))))
-    row = F.struct("date", "steps", "kcalories")
-    got = hit.groupBy("request_id").agg(F.array_sort(F.collect_list(row)).alias("records"), F.max("player_id").alias("_player"))
-    out = decided.join(chosen.withColumnRenamed("error_code", "_code"), "request_id", "left").join(got, "request_id", "left")
-    failed = F.when(F.col("_code").isNotNull(), policy.typed_error(F.col("_code"), F.col("_code")))
-    provenance = F.when(F.col("selected_source").isNotNull(), F.create_map(F.lit("source"), F.col("selected_source"), F.lit("player_id"), F.coalesce("_player", F.lit(""))))
-    empty = F.array().cast("array<struct<date:date,steps:bigint,kcalories:double>>")
-    found = F.when(F.col("selected_source").isNotNull(), F.coalesce("records", empty))
-    out = out.withColumns({"error": F.coalesce("error", failed), "provenance": provenance, "records": found}).drop("_code", "_player")
-    shaped = policy.shape_for_purpose(out)
+    out = fetch(decide(requests, rules), candidates, records, live=live, store_name=store_name, as_of=as_of)
+    provenance = F.when(F.col("selected_source").isNotNull(), F.create_map(F.lit("source"), F.col("selected_source"), F.lit("player_id"), F.coalesce("player", F.lit(""))))
+    shaped = policy.shape_for_purpose(out.withColumn("provenance", provenance).drop("player"))
     return policy.redact_paths(shaped, REDACTABLE if paths is None else paths, when=lambda p: F.col("error").isNull() & F.array_contains("redact", p))
 
 
-def walk_features_batch(requests: DataFrame, rules: DataFrame, candidates: DataFrame, records: DataFrame, *, live: tuple[str, str], store_name: str = "vault") -> DataFrame:
-    """Features for modeling requests: fetched as coaching inside, aggregated, records dropped; other purposes are refused."""
-    decided = policy.deny(policy.resolve_policy(requests, rules))
-    wrong = F.when(policy.norm_purpose(F.col("purpose")) != "modeling", policy.typed_error("not_supported", "features need purpose modeling"))
-    decided = decided.withColumn("error", F.coalesce("error", wrong))
-    asked = decided.where("error IS NULL")
-    chosen = connectors.select_source(candidates.join(asked.select("request_id", "prefer", "prefer_data"), "request_id"), live, store_name)
-    r = records.withColumnRenamed("user_id", "_user")
-    hit = asked.join(chosen.select("request_id", "selected_source"), "request_id").join(r, (F.col("user_id") == F.col("_user")) & (F.col("selected_source") == F.col("source")))
-    rows = hit.select(F.col("request_id").alias("user_id"), "steps")
-    features = store.walk_features(rows, asked.select(F.col("request_id").alias("user_id"))).withColumnRenamed("user_id", "request_id")
-    out = decided.select("request_id", "user_id", "client", "tool", "error").join(features, "request_id", "left").join(chosen.select("request_id", "selected_source"), "request_id", "left")
-    return out.withColumn("provenance", F.when(F.col("selected_source").isNotNull(), F.create_map(F.lit("source"), F.col("selected_source"))))
+def walk_features_batch(requests: DataFrame, rules: DataFrame, candidates: DataFrame, records: DataFrame, *, live: tuple[str, str], store_name: str = "vault", as_of=None) -> DataFrame:
+    """Features for modeling requests: fetched in their window, aggregated inside the row, records dropped.
+
+    Another purpose is a bad request; a fetch that fails gives its error and no features.
+    """
+    decided = decide(requests, rules)
+    wrong = F.when(policy.norm_purpose(F.col("purpose")) != "modeling", policy.typed_error("bad_request", "features need purpose modeling"))
+    out = fetch(decided.withColumn("error", F.coalesce("error", wrong)), candidates, records, live=live, store_name=store_name, as_of=as_of)
+    steps = F.filter(F.transform("records", lambda r: r["steps"].try_cast("bigint")), lambda n: n.isNotNull())
+    out = out.withColumn("_steps", F.when(F.col("error").isNull(), steps))
+    days = F.size("_steps").cast("bigint")
+    total = F.aggregate("_steps", F.lit(0).cast("bigint"), lambda a, n: a + n)
+    mean = F.when(days > 0, (total / days).cast("bigint")).otherwise(F.when(days == 0, 0)).cast("bigint")
+    features = [days.alias("days"), total.alias("total_steps"), mean.alias("avg_steps"), F.array_min("_steps").alias("min_steps"), F.array_max("_steps").alias("max_steps")]
+    provenance = F.when(F.col("error").isNull(), F.create_map(F.lit("source"), F.col("selected_source")))
+    return out.select("request_id", "user_id", "client", "purpose", "tool", "error", *features, "selected_source", "attempts", provenance.alias("provenance"))
 
 
 def guardian(events: DataFrame, *, client_id: str, purpose: str, as_of, lookback_s: int = 3600, min_denies: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -62,11 +91,11 @@ def guardian(events: DataFrame, *, client_id: str, purpose: str, as_of, lookback
     return audit.alert_order(alerts), audit.evidence_per_tool(watched, alerts)
 
 
-def transparency_report(events: DataFrame, records: DataFrame, rules: DataFrame, clients: DataFrame, purposes: DataFrame, tools: DataFrame, *, subject_hash: str, prefix: str, introspection: tuple[str, ...]) -> dict[str, DataFrame]:
-    """What is stored of a person, what is allowed, and who looked."""
+def transparency_report(events: DataFrame, records: DataFrame, rules: DataFrame, clients: DataFrame, purposes: DataFrame, tools: DataFrame, *, subject_hash: str, salt: str, prefix: str, introspection: tuple[str, ...]) -> dict[str, DataFrame]:
+    """What is stored of a person, what is allowed, and who looked; ``records`` has user_id, whose salted hash is the subject's."""
     own = audit.exclude_introspection(audit.filter_audit(events, subject_hash=subject_hash), prefix, introspection)
     return {
-        "inventory": store.inventory(records),
+        "inventory": store.inventory(records.where(redact.subject_hash(F.col("user_id"), salt) == subject_hash)),
         "allowed": policy.policy_matrix(clients, purposes, tools, rules),
         "access": audit.summary_order(audit.access_summary(own)),
         "errors": audit.error_histogram(own),
@@ -81,12 +110,18 @@ def literacy_assessment(quiz: DataFrame, playthroughs: DataFrame, engagement: Da
     return games.player_types(games.literacy_scores(metrics))
 
 
-def coach_plans(rows: DataFrame, prefer: str, as_of, days: int = 7) -> DataFrame:
-    """A plan per user from the trailing average of the preferred rows; users without recent rows have average 0."""
+def coach_plans(rows: DataFrame, prefer: str, as_of, tiers: DataFrame, days: int = 7) -> DataFrame:
+    """A plan per user from the trailing average of the preferred rows; users without recent rows have average 0.
+
+    ``tiers`` (below, tier, message, bct_refs, rationale) is a few rows; a NULL bound holds for all averages above the others.
+    """
     best = store.preferred_per_day(rows, prefer)
     avg = store.trailing_avg_steps(best, as_of, days)
     users = rows.select("user_id").distinct().join(avg, "user_id", "left").fillna(0, ["avg_steps", "n_records"])
-    return users.withColumn("plan", coach_tier(F.col("avg_steps"))).select("user_id", "avg_steps", F.lit(days).alias("days_considered"), "plan.*")
+    plan = F.struct(F.coalesce("below", F.lit(2**62)).alias("at"), "below", "tier", "message", "bct_refs", "rationale")
+    every = tiers.agg(F.array_sort(F.collect_list(plan)).alias("_tiers"))
+    found = users.crossJoin(every).withColumn("plan", S.coach_tier(F.col("avg_steps"), F.col("_tiers")))
+    return found.select("user_id", "avg_steps", F.lit(days).alias("days_considered"), "plan.tier", "plan.message", "plan.bct_refs", "plan.rationale")
 
 
 def privacy_lanes(requests: DataFrame, rules: DataFrame, candidates: DataFrame, records: DataFrame, **options) -> DataFrame:
@@ -110,3 +145,17 @@ def ingest(activities: DataFrame, source: str, inserted_at: int, mode: str = "la
     if mode == "sum":
         return store.sum_per_key(rows)
     return store.last_write_wins(rows.withColumn("seq", F.get_json_object("raw_json", "$.activity_id").try_cast("bigint")))
+
+
+def ingest_to_store(activities: DataFrame, source: str, inserted_at: int, path: str) -> DataFrame:
+    """Raw activities to the daily store at ``path``: pivoted, checked, normalised, upserted. Returns the rows that break a rule, which stay out."""
+    walks = store.pivot_activity_properties(activities)
+    clock = F.floor("duration_s").cast("bigint")
+    duration = F.when(clock.isNotNull(), F.format_string("%02d:%02d:%02d", F.floor(clock / 3600).cast("bigint"), F.floor(clock % 3600 / 60).cast("bigint"), clock % 60))
+    text = lambda c: F.col(c).cast("string")
+    bad = store.violations(F.col("date"), text("steps"), {c: text(c) for c in ("distance_meters", "kcalories")}, duration)
+    marked = walks.withColumn("violations", bad)
+    rows = store.normalize_ingest(marked.where(F.size("violations") == 0).drop("violations"), source, inserted_at)
+    rows = rows.withColumn("seq", F.get_json_object("raw_json", "$.activity_id").try_cast("bigint"))
+    writers.upsert_daily(activities.sparkSession, path, store.last_write_wins(rows))
+    return marked.where(F.size("violations") > 0)

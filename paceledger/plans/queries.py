@@ -77,18 +77,16 @@ def trailing_avg_steps(spark, d):
 
 
 
-def _tier_case(pick) -> str:
-    return "CASE " + " ".join(f"WHEN {f'avg_steps < {t[0]}' if t[0] else 'true'} THEN '{pick(t)}'" for t in S.TIERS) + " END"
-
-
 @query(
-    ctes("activity") + BEST + f""", a AS (SELECT user_id, CAST(round_even(avg(steps), 0) AS BIGINT) AS avg_steps FROM best WHERE date >= DATE '{AS_OF}' - INTERVAL 6 DAY GROUP BY user_id),
- b AS (SELECT u.user_id, coalesce(a.avg_steps, 0) AS avg_steps FROM (SELECT DISTINCT user_id FROM activity) AS u LEFT JOIN a ON u.user_id = a.user_id)
- SELECT user_id, avg_steps, 7 AS days_considered, {_tier_case(lambda t: t[1])} AS tier, {_tier_case(lambda t: t[2])} AS message, {_tier_case(lambda t: '|'.join(t[3]))} AS bct_refs FROM b"""
+    ctes("activity", "tiers") + BEST + f""", a AS (SELECT user_id, CAST(round_even(avg(steps), 0) AS BIGINT) AS avg_steps FROM best WHERE date >= DATE '{AS_OF}' - INTERVAL 6 DAY GROUP BY user_id),
+ b AS (SELECT u.user_id, coalesce(a.avg_steps, 0) AS avg_steps FROM (SELECT DISTINCT user_id FROM activity) AS u LEFT JOIN a ON u.user_id = a.user_id),
+ c AS (SELECT b.*, t.*, row_number() OVER (PARTITION BY b.user_id ORDER BY t.below NULLS LAST) AS k FROM b JOIN tiers AS t ON t.below IS NULL OR b.avg_steps < t.below)
+ SELECT user_id, avg_steps, 7 AS days_considered, tier, message, refs AS bct_refs, rationale FROM c WHERE k = 1"""
 )
 def coach_plans(spark, d):
-    out = jobs.coach_plans(view(spark, d, "activity"), "arena", AS_OF)
-    return out.select("user_id", "avg_steps", "days_considered", "tier", "message", F.array_join("bct_refs", "|").alias("bct_refs"))
+    tiers = view(spark, d, "tiers").withColumn("bct_refs", F.split("refs", "\\|")).withColumn("below", F.col("below").cast("bigint"))
+    out = jobs.coach_plans(view(spark, d, "activity"), "arena", AS_OF, tiers)
+    return out.select("user_id", "avg_steps", "days_considered", "tier", "message", F.array_join("bct_refs", "|").alias("bct_refs"), "rationale")
 
 
 @query(ctes("activity") + " SELECT user_id, CAST(date AS STRING) AS date, source, steps, seq FROM activity WHERE date BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'")
@@ -220,20 +218,35 @@ def flatten_fit_points(spark, d):
     return out.select(F.col("user_id").alias("event_id"), "steps", "duration_s")
 
 
-@query(
-    """SELECT event_id, strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS local_time, strftime(ts, '%Y-%m-%d %H:%M:%S') AS utc_time, strftime(ts, '%d-%m-%Y') AS dmy FROM events"""
-)
+SHIFTED = "s AS (SELECT *, ts + to_days(CAST(event_id % 12 * 30 AS INT)) AS t FROM events), z AS (SELECT *, CASE WHEN t >= TIMESTAMP '2024-03-31 01:00:00' AND t < TIMESTAMP '2024-10-27 01:00:00' THEN 2 ELSE 1 END AS h FROM s)"
+
+
+def shifted(spark, d) -> DataFrame:
+    """Events spread over the twelve months of a year, as t."""
+    return spark.read.parquet(f"{d}/events.parquet").withColumn("t", F.col("ts").cast("timestamp") + F.make_dt_interval(days=(F.col("event_id") % 12 * 30).cast("int")))
+
+
+@query(f"WITH {SHIFTED} SELECT event_id, strftime(t + to_hours(h), '%Y-%m-%d %H:%M:%S') AS local_time, strftime(t, '%Y-%m-%d %H:%M:%S') AS utc_time, strftime(t, '%d-%m-%Y') AS dmy FROM z")
 def time_text(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
-    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    e = shifted(spark, d).withColumn("ms", F.unix_millis("t"))
+    iso = F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return e.select("event_id", S.millis_to_local(F.col("ms")).alias("local_time"), S.millis_to_utc(F.col("ms")).alias("utc_time"), S.day_month_year(iso).alias("dmy"))
 
 
 # ---- redaction ----------------------------------------------------------------------------------------------
 def _payloads(spark, d) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
-    rec = F.struct(F.lit("Bearer abc").alias("token"), F.concat(F.lit("u"), "user_id").alias("email"), F.floor("value").cast("bigint").alias("keep"))
-    return e.select("event_id", F.col("user_id"), F.array(rec, rec).alias("records"), F.create_map(F.lit("player_id"), F.col("user_id").cast("string"), F.lit("email"), F.lit("x"), F.lit("note"), F.col("event_type")).alias("provenance"))
+    k = F.col("event_id")
+    rec = lambda i: F.struct(F.lit("Bearer abc").alias("token"), F.concat(F.lit(f"u{i}"), "user_id").alias("email"), (F.floor("value") + i).cast("bigint").alias("keep"))
+    provenance = F.create_map(F.lit("player_id"), F.col("user_id").cast("string"), F.lit("email"), F.lit("x"), F.lit("note"), F.col("event_type"))
+    inner = F.struct(F.when(k % 4 == 0, "bearer x").otherwise("y").alias("token"), k.alias("n"))
+    return e.select(
+        "event_id", "user_id", "event_type",
+        F.slice(F.array(rec(0), rec(1), rec(2)), F.lit(1), (k % 3 + 1).cast("int")).alias("records"),
+        F.map_filter(provenance, lambda key, _: (key != "email") | (k % 2 == 0)).alias("provenance"),
+        F.create_map(F.lit("user_id"), F.col("user_id"), F.lit("n"), k).alias("counts"),
+        F.create_map(F.lit("a"), inner, F.concat(F.lit(" Token"), F.when(k % 5 == 0, "s").otherwise("")), inner).alias("nested"),
+    )
 
 
 @query("SELECT event_id, 'note' AS keys, event_type AS note FROM events")
@@ -242,16 +255,23 @@ def minimize_provenance(spark, d):
     return p.select("event_id", F.array_join(F.map_keys("p"), ",").alias("keys"), F.col("p")["note"].alias("note"))
 
 
-@query(f"SELECT event_id, '{R.TOKEN}' AS token, '{R.TOKEN}' AS email, CAST(floor(value) AS BIGINT) AS keep, '{R.TOKEN}' AS player FROM events")
+@query(
+    f"""SELECT event_id, '{R.TOKEN}' AS token, CASE WHEN event_id % 3 > 0 THEN '{R.TOKEN}' END AS email, CAST(floor(value) AS BIGINT) AS keep, '{R.TOKEN}' AS player, '{R.TOKEN}' AS user_count,
+ CAST(event_id AS STRING) AS n, '{R.TOKEN}' AS inner_token, event_id AS inner_n FROM events"""
+)
 def redact_paths(spark, d):
-    p = R.redact_paths(_payloads(spark, d), ["records.token", "records.email", "provenance.player_id", "", None, "no.such"])
-    return p.select("event_id", F.col("records")[0]["token"].alias("token"), F.col("records")[1]["email"].alias("email"), F.col("records")[0]["keep"].alias("keep"), F.col("provenance")["player_id"].alias("player"))
+    p = R.redact_paths(_payloads(spark, d), ["records.token", "records.email", "provenance.player_id", "counts.user_id", "nested.a.token", "", None, "no.such", "nested.a.none"])
+    first, second = F.get("records", F.lit(0)), F.get("records", F.lit(1))
+    return p.select(
+        "event_id", first["token"].alias("token"), second["email"].alias("email"), first["keep"].alias("keep"), F.col("provenance")["player_id"].alias("player"), F.col("counts")["user_id"].alias("user_count"),
+        F.col("counts")["n"].alias("n"), F.col("nested")["a"]["token"].alias("inner_token"), F.col("nested")["a"]["n"].alias("inner_n"),
+    )
 
 
-@query("SELECT event_id, 5 AS n_masked FROM events")
+@query("SELECT event_id, CAST(2 * (event_id % 3 + 1) + CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END + 1 AS INT) AS n_masked FROM events")
 def redaction_count(spark, d):
     p = _payloads(spark, d)
-    return p.select("event_id", R.redaction_count(p, ["records.token", "records.email", "provenance.email", "no.such", ""]).alias("n_masked"))
+    return p.select("event_id", R.redaction_count(p, ["records.token", "records.email", "provenance.email", "nested.a.token", "nested.z.token", "no.such", ""]).alias("n_masked"))
 
 
 @query(
@@ -264,15 +284,27 @@ def redact_json_keys(spark, d):
     return e.select("event_id", R.redact_json_keys(raw).alias("props"))
 
 
-@query(f"SELECT event_id, 'Bearer {R.TOKEN}' AS token, concat('u', CAST(user_id AS STRING)) AS email FROM events")
+@query(
+    f"""SELECT event_id, 'Bearer {R.TOKEN}' AS token, concat('u0', CAST(user_id AS STRING)) AS email, CASE WHEN event_id % 4 = 0 THEN 'Bearer {R.TOKEN}' ELSE '{R.TOKEN}' END AS inner_token,
+ event_id AS inner_n, event_id % 5 = 0 AS other_kept FROM events"""
+)
 def redact_secret_keys(spark, d):
-    return R.redact_secrets(_payloads(spark, d)).select("event_id", F.col("records")[0]["token"].alias("token"), F.col("records")[0]["email"].alias("email"))
+    p = R.redact_secrets(_payloads(spark, d))
+    inner = F.col("nested")["a"]
+    others = F.map_filter("nested", lambda key, v: (key != "a") & v.isNotNull())
+    return p.select("event_id", F.col("records")[0]["token"].alias("token"), F.col("records")[0]["email"].alias("email"), inner["token"].alias("inner_token"), inner["n"].alias("inner_n"), (F.size(others) == 1).alias("other_kept"))
 
 
-@query(f"SELECT event_id, '{R.TOKEN}' AS user_id, 'Bearer abc' AS token, '{R.TOKEN}' AS email, '{R.TOKEN}' AS player, event_type AS note FROM events")
+@query(
+    f"""SELECT event_id, '{R.TOKEN}' AS user_id, 'Bearer abc' AS token, '{R.TOKEN}' AS email, '{R.TOKEN}' AS player, event_type AS note, '{R.TOKEN}' AS user_count, CAST(event_id AS STRING) AS n FROM events"""
+)
 def redact_pii_keys(spark, d):
     p = R.redact_pii(_payloads(spark, d))
-    return p.select("event_id", "user_id", F.col("records")[0]["token"].alias("token"), F.col("records")[0]["email"].alias("email"), F.col("provenance")["player_id"].alias("player"), F.col("provenance")["note"].alias("note"))
+    rec = F.col("records")[0]
+    return p.select(
+        "event_id", "user_id", rec["token"].alias("token"), rec["email"].alias("email"), F.col("provenance")["player_id"].alias("player"), F.col("provenance")["note"].alias("note"),
+        F.col("counts")["user_id"].alias("user_count"), F.col("counts")["n"].alias("n"),
+    )
 
 
 @query(f"SELECT event_id, substr(sha256(concat('{SALT}:', CAST(user_id AS STRING))), 1, 16) AS subject_hash FROM events")
@@ -301,10 +333,13 @@ def explain_policy(spark, d):
     return out.select("user_id", "client", "purpose", "tool", "allow", *layers)
 
 
-@query(
+MATRIX = (
     ctes("requests", "rules").replace("requests AS (", "reqs AS (") + """, requests AS (SELECT 0 AS user_id, c.client, p.purpose, t.tool FROM (SELECT DISTINCT client FROM reqs) AS c
- CROSS JOIN (SELECT DISTINCT purpose FROM reqs) AS p CROSS JOIN (SELECT DISTINCT tool FROM reqs) AS t)""" + RESOLVED + " SELECT client, purpose, tool, allow, redact FROM resolved"
+ CROSS JOIN (SELECT DISTINCT purpose FROM reqs) AS p CROSS JOIN (SELECT DISTINCT tool FROM reqs) AS t)""" + RESOLVED
 )
+
+
+@query(MATRIX + " SELECT client, purpose, tool, allow, redact FROM resolved")
 def policy_matrix(spark, d):
     r = view(spark, d, "requests")
     names = [r.select(c).distinct() for c in ("client", "purpose", "tool")]
@@ -431,9 +466,14 @@ def attach_corr_id(spark, d):
 
 
 # ---- inventory ----------------------------------------------------------------------------------------------
-@query("SELECT event_type AS domain, count(*) AS n_records, CAST(min(CAST(ts AS DATE)) AS STRING) AS first_date, CAST(max(CAST(ts AS DATE)) AS STRING) AS last_date, 'k' AS fields FROM events GROUP BY event_type")
+@query(
+    """SELECT event_type AS domain, count(*) AS n_records, CAST(min(CAST(ts AS DATE)) AS STRING) AS first_date, CAST(max(CAST(ts AS DATE)) AS STRING) AS last_date,
+ string_agg(DISTINCT 'f' || CAST(event_id * 7 % 11 AS STRING), ',' ORDER BY 'f' || CAST(event_id * 7 % 11 AS STRING)) AS fields FROM events WHERE event_id % 3 <> 1 GROUP BY event_type"""
+)
 def inventory(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("domain"), F.to_date("ts").alias("date"), F.col("props").alias("raw_json"))
+    e = spark.read.parquet(f"{d}/events.parquet").where("event_id % 3 <> 1")
+    raw = F.to_json(F.create_map(F.concat(F.lit("f"), F.col("event_id") * 7 % 11), F.col("value")))
+    e = e.select(F.col("event_type").alias("domain"), F.to_date("ts").alias("date"), raw.alias("raw_json"))
     return store.inventory(e).select("domain", "n_records", text("first_date"), text("last_date"), F.array_join("fields", ",").alias("fields"))
 
 
@@ -514,7 +554,9 @@ def select_source(spark, d):
  JOIN ranked AS r ON b.request_id = r.request_id AND r.rank IS NOT NULL AND (b.top IS NULL OR r.rank <= b.top) GROUP BY b.request_id"""
 )
 def attempt_trace(spark, d):
-    out = connectors.select_source(view(spark, d, "candidates"), LIVE)
+    c = view(spark, d, "candidates")
+    chosen = connectors.select_source(c, LIVE).select("request_id", F.explode("attempts").alias("a")).select("request_id", "a.*")
+    out = connectors.attempt_trace(chosen)
     return out.select("request_id", F.array_join(F.transform("attempts", lambda a: F.concat(a["source"], F.lit(":"), F.when(a["ok"], "ok").otherwise("failed"))), ">").alias("attempts"))
 
 
@@ -651,7 +693,8 @@ def playthrough_metrics(spark, d):
 
 
 @query(
-    """SELECT event_id, CAST(floor(value) AS BIGINT) AS first_score, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS hospital_turns, '1.0,5.0' AS glucose, '0.0,10.0,30.0' AS minutes FROM events
+    """SELECT event_id, CAST(floor(value) AS BIGINT) AS first_score, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS hospital_turns, CASE WHEN event_id % 3 = 0 THEN '1.0,2.0,5.0' ELSE '1.0,' || CAST(event_id % 3 + 4 AS STRING) || '.0' END AS glucose,
+ concat('0.0,10.0,', CAST(event_id % 50 + 11 AS STRING), '.0') AS minutes FROM events
  WHERE event_id % 4 <> 0 AND floor(value) <> 0"""
 )
 def engagement_sessions(spark, d):
@@ -660,9 +703,9 @@ def engagement_sessions(spark, d):
 
     def turn(score, hospital, glucose, minutes):
         names = ("Score", "IsHospitalised", "GlucoseValueStart", "GlucoseValueEnd", "MinutesStart", "MinutesEnd")
-        return F.struct(*[v.alias(n) for n, v in zip(names, (score.cast("double"), hospital, F.lit(glucose[0]), F.lit(glucose[1]), F.lit(minutes[0]), F.lit(minutes[1])))])
+        return F.struct(*[v.alias(n) for n, v in zip(names, (score.cast("double"), hospital, *[x if isinstance(x, type(score)) else F.lit(x) for x in (*glucose, *minutes)]))])
 
-    turns = F.array(turn(F.floor("value"), k % 2 == 0, (1.0, 0.0), (0.0, 10.0)), turn(F.lit(0), F.lit(True), (0.0, 5.0), (10.0, 30.0)))
+    turns = F.array(turn(F.floor("value"), k % 2 == 0, (1.0, F.when(k % 3 == 0, 2.0).otherwise(0.0)), (0.0, 10.0)), turn(F.lit(0), F.lit(True), (0.0, F.when(k % 3 == 0, 5.0).otherwise((k % 3 + 4).cast("double"))), (10.0, (k % 50 + 11).cast("double"))))
     play = F.to_json(F.struct((k % 4 == 0).alias("Aborted"), turns.alias("Turns")))
     log = F.to_json(F.struct(F.array(F.struct(F.array(play).alias("Values"))).alias("GameplayData")))
     prop = F.struct(F.struct(F.lit("ENGAGEMENT_DATA").alias("translationKey"), F.lit(None).cast("string").alias("baseUnit")).alias("property"), log.alias("value"))
@@ -725,15 +768,16 @@ def fetch_walk_batch(spark, d):
 
 
 @query(
-    JOB + """, ask AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN purpose <> 'modeling' THEN 'not_supported' END AS error_code FROM pick)
- SELECT p.user_id, p.client, p.purpose, p.tool, p.error_code, count(a.steps) AS days, coalesce(CAST(sum(a.steps) AS BIGINT), 0) AS total_steps
- FROM ask AS p LEFT JOIN day AS a ON p.user_id = a.user_id AND p.pick = a.source AND p.error_code IS NULL GROUP BY 1, 2, 3, 4, 5"""
+    JOB + """, ask AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN purpose <> 'modeling' THEN 'bad_request' WHEN pick IS NULL THEN 'all_sources_failed' END AS error_code FROM pick)
+ SELECT p.user_id, p.client, p.purpose, p.tool, p.error_code, CASE WHEN p.error_code IS NULL THEN count(a.steps) END AS days, CASE WHEN p.error_code IS NULL THEN coalesce(CAST(sum(a.steps) AS BIGINT), 0) END AS total_steps,
+ CASE WHEN p.error_code IS NULL THEN coalesce(CAST(floor(sum(a.steps) / count(a.steps)) AS BIGINT), 0) END AS avg_steps, min(a.steps) AS min_steps, max(a.steps) AS max_steps,
+ CASE WHEN p.error_code IS NULL THEN p.pick END AS source FROM ask AS p LEFT JOIN day AS a ON p.user_id = a.user_id AND p.pick = a.source AND p.error_code IS NULL
+ AND a.date BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' GROUP BY 1, 2, 3, 4, 5, p.pick"""
 )
 def walk_features_batch(spark, d):
     r, c = _job_requests(spark, d)
     out = jobs.walk_features_batch(r, view(spark, d, "rules"), c, _job_records(spark, d), live=LIVE)
-    parts = F.split("request_id", "/")
-    return out.select("user_id", "client", parts[2].alias("purpose"), "tool", F.col("error.code").alias("error_code"), F.coalesce("days", F.lit(0)).alias("days"), F.coalesce("total_steps", F.lit(0)).alias("total_steps"))
+    return out.select("user_id", "client", "purpose", "tool", F.col("error.code").alias("error_code"), "days", "total_steps", "avg_steps", "min_steps", "max_steps", F.col("provenance")["source"].alias("source"))
 
 
 @query(
@@ -774,30 +818,30 @@ def _stream(spark, d) -> DataFrame:
 @query(
     ctes("access_log") + """, w AS (SELECT epoch_us(ts) AS us, client_id, name, unnest(range(0, 12)) AS k FROM access_log WHERE error_code = 'denied_by_policy'),
  b AS (SELECT CAST(us - us % 300000000 - k * 300000000 AS BIGINT) AS window_start, us, client_id, name FROM w)
- SELECT window_start, client_id, name, count(*) AS n FROM b WHERE us < window_start + 3600000000 GROUP BY 1, 2, 3 HAVING count(*) >= 3"""
+ SELECT window_start, client_id, name, count(*) AS n FROM b WHERE us < window_start + 3600000000 AND window_start + 3600000000 <= (SELECT max(us) FROM w) - 600000000 GROUP BY 1, 2, 3 HAVING count(*) >= 3"""
 )
 def stream_denials(spark, d):
-    return streams.run_to_end(streams.stream_denials(_stream(spark, d)), "complete")
+    return streams.run_to_end(streams.stream_denials(_stream(spark, d)), "append")
 
 
-@query(ctes("access_log") + " SELECT CAST(epoch_us(ts) - epoch_us(ts) % 3600000000 AS BIGINT) AS window_start, name, client_id, count(*) AS calls, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS ok_calls FROM access_log GROUP BY 1, 2, 3")
+@query(ctes("access_log") + " SELECT CAST(epoch_us(ts) - epoch_us(ts) % 3600000000 AS BIGINT) AS window_start, name, client_id, count(*) AS calls, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS ok_calls FROM access_log WHERE epoch_us(ts) - epoch_us(ts) % 3600000000 + 3600000000 <= (SELECT max(epoch_us(ts)) FROM access_log) - 600000000 GROUP BY 1, 2, 3")
 def stream_access_counts(spark, d):
-    return streams.run_to_end(streams.stream_access_counts(_stream(spark, d)), "complete")
+    return streams.run_to_end(streams.stream_access_counts(_stream(spark, d)), "append")
 
 
 @query(
     ctes("access_log") + """, g AS (SELECT corr_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY corr_id ORDER BY ts) <= 600000000 THEN 0 ELSE 1 END AS new FROM access_log),
- s AS (SELECT corr_id, us, sum(new) OVER (PARTITION BY corr_id ORDER BY us) AS k FROM g) SELECT CAST(min(us) AS BIGINT) AS session_start, corr_id, count(*) AS n_events FROM s GROUP BY corr_id, k"""
+ s AS (SELECT corr_id, us, sum(new) OVER (PARTITION BY corr_id ORDER BY us) AS k FROM g) SELECT CAST(min(us) AS BIGINT) AS session_start, corr_id, count(*) AS n_events FROM s GROUP BY corr_id, k
+ HAVING max(us) + 600000000 <= (SELECT max(us) FROM s) - 600000000"""
 )
 def stream_trace_sessions(spark, d):
-    return streams.run_to_end(streams.stream_trace_sessions(_stream(spark, d), "10 minutes"), "complete")
+    return streams.run_to_end(streams.stream_trace_sessions(_stream(spark, d), "10 minutes"), "append")
 
 
-@query(ctes("access_log") + " SELECT min(event_id) AS event_id, corr_id FROM access_log GROUP BY corr_id")
+@query(ctes("access_log") + " SELECT DISTINCT corr_id, CAST(floor(event_id / 4) AS BIGINT) AS trace, client_id IS NOT NULL AS whole FROM access_log")
 def stream_dedup(spark, d):
     deduped = streams.stream_dedup(_stream(spark, d), "corr_id", late="40 days")
-    first = view(spark, d, "access_log").groupBy("corr_id").agg(F.min("event_id").alias("event_id"))
-    return streams.run_to_end(deduped.select("corr_id"), "append").join(first, "corr_id").select("event_id", "corr_id")
+    return streams.run_to_end(deduped.select("corr_id", F.floor(F.col("event_id") / 4).cast("bigint").alias("trace"), F.col("client_id").isNotNull().alias("whole")), "append")
 
 
 @query(ctes("access_log") + f" SELECT event_id, substr(sha256(concat('{SALT}:', CAST(user_id AS STRING))), 1, 16) AS subject_hash, '{R.TOKEN}' AS user_id FROM access_log")

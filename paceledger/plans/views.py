@@ -25,27 +25,34 @@ FROM {events}
 REQUESTS = f"""
 SELECT DISTINCT user_id, client_id AS client, coalesce(purpose, 'analytics') AS purpose, name AS tool FROM ({ACCESS_LOG}) AS a
 """
+#: Every case of the layers: a default alone, overridden by a client, by a tool, by both; redact lists replaced, also by an empty one; no rule at all.
 RULE_ROWS = (
-    ("default", None, "analytics", True, "records.kcalories,provenance.player_id,provenance.email"),
-    ("default", None, "coaching", True, "provenance.email"),
-    ("default", None, "modeling", True, ""),
-    ("client", "RESEARCH_APP", "analytics", True, None),
-    ("client", "RESEARCH_APP", "modeling", True, None),
-    ("client", "AUDIT_APP", "coaching", False, None),
-    ("client", "COACH_APP", "analytics", False, None),
-    ("client", "COACH_APP", "modeling", False, None),
-    ("tool", "health.walk.fetch.v1", "analytics", True, "records.kcalories,provenance.player_id"),
-    ("tool", "health.walk.fetch.v1", "modeling", False, None),
-    ("tool", "health.walk.features.v1", "modeling", True, None),
-    ("tool", "health.trivia.fetch.v1", "modeling", False, None),
+    ("default", None, "analytics", True, "provenance.email"),
+    ("default", None, "modeling", False, "provenance.player_id"),
+    ("client", "RESEARCH_APP", "modeling", True, ""),
+    ("client", "AUDIT_APP", "analytics", False, None),
+    ("client", "AUDIT_APP", "modeling", True, "provenance.email"),
+    ("client", "COACH_APP", "coaching", True, "records.kcalories,provenance.player_id"),
+    ("tool", "health.trivia.fetch.v1", "analytics", True, "records.kcalories,provenance.email"),
+    ("tool", "health.trivia.fetch.v1", "coaching", None, ""),
+    ("tool", "health.game.fetch.v1", "coaching", False, None),
     ("tool", "health.game.fetch.v1", "modeling", False, None),
+    ("tool", "health.walk.features.v1", "modeling", True, None),
+    ("tool", "health.telemetry.query.v1", "analytics", None, "provenance.player_id"),
+)
+#: Example plans by average daily steps (below, tier, message, technique references, rationale).
+TIER_ROWS = (
+    (3000, "seedling", "Leave the house once before noon and walk to the next corner and back.", "1.4 Action planning|7.1 Prompts/cues", "A first fixed outing a day matters more than its length."),
+    (7000, "sapling", "Get off one stop early on the way home three times this week.", "1.2 Problem solving|8.1 Behavioral practice", "Steps tied to errands that happen anyway tend to stay."),
+    (None, "tree", "Pick one longer route for the weekend and invite somebody along.", "8.7 Graded tasks|10.4 Social reward", "The base is there, so variety and company are what is left to gain."),
 )
 
 
 def _literal(x) -> str:
-    return "NULL" if x is None else str(x).upper() if isinstance(x, bool) else f"'{x}'"
+    return "NULL" if x is None else str(x).upper() if isinstance(x, bool) else str(x) if isinstance(x, int) else f"'{x}'"
 
 
+TIERS = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("CAST(NULL AS BIGINT)" if i == 0 and x is None else _literal(x) for i, x in enumerate(r)) + ")" for r in TIER_ROWS) + ") AS t(below, tier, message, refs, rationale)"
 RULES = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in RULE_ROWS) + ") AS t(layer, key, purpose, allow, redact)"
 GAME_TURNS = """
 SELECT user_id, CAST(ts AS DATE) AS date, CAST(event_id AS BIGINT) AS pos, value - 20 * floor(value / 20) AS glucose,
@@ -87,9 +94,10 @@ SELECT o_orderkey AS request_id, CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN 'a
        CAST(o_custkey % 3 AS BIGINT) AS n_records, CASE WHEN s.source = 'vault' THEN 'empty' ELSE 'upstream_error' END AS error_code
 FROM {orders} CROSS JOIN (VALUES ('vault'), ('arena'), ('stepcloud')) AS s(source)
 """
+ORDERS_OF = "SELECT o_orderkey AS request_id, o_custkey AS user_id FROM {orders}"
 VIEWS = {
     "activity": ACTIVITY, "access_log": ACCESS_LOG, "requests": REQUESTS, "rules": RULES, "game_turns": GAME_TURNS, "answers": ANSWERS,
-    "plays": PLAYS, "connectors": CONNECTORS, "secrets": SECRETS, "aliases": ALIASES, "candidates": CANDIDATES,
+    "plays": PLAYS, "connectors": CONNECTORS, "secrets": SECRETS, "aliases": ALIASES, "candidates": CANDIDATES, "tiers": TIERS, "orders_of": ORDERS_OF,
 }
 
 
@@ -100,7 +108,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "rules":
         from pyspark.sql import functions as F
 
-        out = out.withColumn("redact", F.when(F.col("redact") == "", F.array().cast("array<string>")).otherwise(F.split("redact", ",")))
+        out = out.withColumn("allow", F.col("allow").cast("boolean")).withColumn("redact", F.when(F.col("redact") == "", F.array().cast("array<string>")).otherwise(F.split("redact", ",")))
     return out
 
 

@@ -36,7 +36,7 @@ def scan_fit_points(spark: SparkSession, path: str, start_nanos: int | None = No
     high = 2**62 if end_nanos is None else end_nanos
     if start_nanos is None and end_nanos is None:
         return rows
-    return rows.withColumn("point", F.filter("point", lambda p: p["startTimeNanos"].try_cast("bigint").between(low, high)))
+    return rows.withColumn("point", F.filter("point", lambda p: p["startTimeNanos"].try_cast("bigint").between(low, high))).where(F.size("point") > 0)
 
 
 def scan_daily(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:

@@ -14,9 +14,10 @@ from paceledger.session import shared_dir
 LATE = "10 minutes"
 
 
-def stream_audit(spark: SparkSession, path: str) -> DataFrame:
+def stream_audit(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """The append-only log as a stream, flat and with a timestamp."""
-    return audit.flatten_audit(spark.readStream.schema(schemas.AUDIT).option("mode", "DROPMALFORMED").json(path))
+    reader = spark.readStream.schema(schemas.AUDIT).option("mode", "DROPMALFORMED")
+    return audit.flatten_audit((reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).json(path))
 
 
 def timed(events: DataFrame, late: str = LATE) -> DataFrame:
@@ -67,7 +68,9 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all that is there now and return what it wrote.
 
     Executors write the rows to Parquet in the shared folder: append mode by the
-    file sink, complete mode as one table that each micro-batch replaces.
+    file sink, complete mode as one table that each micro-batch replaces. In
+    append mode windows and sessions come out once the watermark has passed their
+    end, so those that are still open at the end of the data stay in the state.
     """
     spark = stream.sparkSession
     state = f"{shared_dir(spark)}/paceledger_{uuid.uuid4().hex}"

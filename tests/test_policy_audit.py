@@ -1,4 +1,5 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -94,6 +95,61 @@ def test_complete_results_are_files(spark, tmp_path):
     assert empty.columns == streams.stream_access_counts(stream).columns and empty.count() == 0
 
 
+def test_late_rows_are_dropped(spark, tmp_path):
+    """A window closes once the watermark has passed it, which acts a batch later; a row that comes after that is not counted."""
+    log = tmp_path / "log"
+    log.mkdir()
+    one = lambda hour, minute: json.dumps({"ts": f"2025-01-01T{hour:02d}:{minute:02d}:00Z", "name": "n", "client_id": "c", "ok": True})
+    for i, times in enumerate(([(8, 0), (8, 30)], [(12, 0)], [(12, 1)], [(8, 45), (12, 5)], [(16, 0)], [(16, 1)])):
+        path = log / f"{i}.json"
+        path.write_text("\n".join(one(*t) for t in times))
+        os.utime(path, (1_700_000_000 + i * 60,) * 2)
+    out = streams.run_to_end(streams.stream_access_counts(streams.stream_audit(spark, str(log), 1)), "append")
+    assert sorted((r.window_start // 3_600_000_000 % 24, r.calls) for r in out.collect()) == [(8, 2), (12, 3)]
+
+
+def test_keys_inside_maps(spark):
+    """Maps of structs, of numbers and nested ones hide no named key, and a path goes through them."""
+    df = spark.sql(
+        "SELECT map('s', named_struct('token', 'abc', 'n', 1)) AS m, map('user_id', 7L, 'n', 8L) AS c, map('Email', array('x'), 'list', array('y')) AS a,"
+        " map('x', map(' API_KEY ', 'k', 'n', 'v')) AS mm, array(map('player_id', 1)) AS am"
+    )
+    s = R.redact_secrets(df).first()
+    assert s.m["s"].token == R.TOKEN and s.m["s"].n == 1 and s.mm["x"] == {" API_KEY ": R.TOKEN, "n": "v"}
+    p = R.redact_pii(df).first()
+    assert p.c == {"user_id": R.TOKEN, "n": "8"} and p.a == {"Email": None, "list": ["y"]} and p.am == [{"player_id": R.TOKEN}]
+    paths = ["m.s.token", "m.none.token", "mm.x.n", "c.user_id", "c.none"]
+    got = R.redact_paths(df, paths).withColumn("k", R.redaction_count(df, paths)).first()
+    assert (got.m["s"].token, got.m["s"].n, got.mm["x"], got.c, got.k) == (R.TOKEN, 1, {" API_KEY ": "k", "n": R.TOKEN}, {"user_id": R.TOKEN, "n": "8"}, 3)
+
+
+def test_subject_is_found_depth_first(spark):
+    df = spark.sql("SELECT named_struct('a', array(named_struct('user_id', CAST(NULL AS STRING)), named_struct('user_id', 'deep')), 'm', map('user_id', 'in map')) AS args")
+    assert df.select(audit.find_user(df)).first()[0] == "deep"
+    own = spark.sql("SELECT named_struct('a', named_struct('user_id', 'deep'), 'user_id', 5) AS args")
+    assert own.select(audit.find_user(own)).first()[0] == "5"
+    assert spark.sql("SELECT named_struct('a', 1) AS args").select(audit.find_user(spark.sql("SELECT named_struct('a', 1) AS args"))).first()[0] is None
+
+
+def test_fetch_and_features_of_windows(spark, tmp_path):
+    """Open windows take the last year, pages are cut by date, failures and wrong purposes give errors, features see the window only."""
+    day = lambda s: __import__("datetime").date.fromisoformat(s)
+    rows = [("r1", 1, "coaching", "auto", day("2025-01-02"), None, None, None), ("r2", 1, "coaching", "auto", None, None, 1, 1), ("r3", 1, "modeling", "auto", None, day("2025-01-02"), None, None), ("r4", 2, "modeling", "vault", None, None, None, None), ("r5", 1, "analytics", "auto", None, None, None, None), ("r6", 3, "modeling", "live", None, None, None, None)]
+    req = spark.createDataFrame([(i, u, "X", p, "t", None, d, s, e, n, o) for i, u, p, d, s, e, n, o in rows], "request_id string, user_id bigint, client string, purpose string, tool string, prefer string, prefer_data string, start date, end date, limit int, offset int")
+    cand = spark.createDataFrame([(r[0], s, ok, 1 if r[1] == 1 else 0, None) for r in rows for s, ok in (("vault", True), ("arena", r[1] == 1))], "request_id string, source string, ok boolean, n_records bigint, error_code string")
+    rec = spark.createDataFrame([("vault", 1, day(d), n, 1.0, "p") for d, n in (("2023-12-31", 1), ("2025-01-01", 10), ("2025-01-02", 20), ("2025-01-03", None))], "source string, user_id bigint, date date, steps bigint, kcalories double, player_id string")
+    none = readers.scan_policy(spark, str(tmp_path / "none.json"), on_missing="allow")
+    got = {r.request_id: r for r in jobs.fetch_walk_batch(req, none, cand, rec, live=("arena", "stepcloud"), as_of="2025-01-05").collect()}
+    assert [x.steps for x in got["r1"].records] == [20, None] and [x.steps for x in got["r2"].records] == [20]
+    assert got["r3"].error.code == "not_supported" and got["r4"].error.code == "vault_empty" and got["r6"].error.code == "all_sources_failed"
+    out = {r.request_id: r for r in jobs.walk_features_batch(req, none, cand, rec, live=("arena", "stepcloud"), as_of="2025-01-05").collect()}
+    r = out["r3"]
+    assert (r.error, r.days, r.total_steps, r.avg_steps, r.min_steps, r.max_steps, r.provenance) == (None, 2, 30, 15, 10, 20, {"source": "vault"})
+    assert out["r5"].error.code == "bad_request" and out["r4"].error.code == "vault_empty" and out["r4"].days is None and out["r6"].error.code == "all_sources_failed"
+    ever = {r.request_id: r for r in jobs.walk_features_batch(req, none, cand, rec, live=("arena", "stepcloud")).collect()}
+    assert (ever["r3"].days, ever["r3"].min_steps) == (3, 1)
+
+
 def test_payload_stats(spark):
     df = spark.sql("SELECT array(1, 2) AS records, array('a') AS attempts, map('s', named_struct('records', array(1, 2, 3))) AS streams, CAST(NULL AS struct<code:string>) AS error")
     got = audit.payload_stats(df).first()

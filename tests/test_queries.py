@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from paceledger.plans.queries import QUERIES, SQL
+from paceledger.plans.registry import QUERIES, SQL
 
 TABLES = ("customer", "events", "orders")
 
