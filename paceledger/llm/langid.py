@@ -21,7 +21,8 @@ segments of SEGMENT characters, a phrase ending at a segment's end at the latest
 
 Nulls, empties, ties: null text or text without a letter is ``und`` with score
 0; of languages with equal entropy the first by code point wins; null labels
-teach nothing; without any labelled text everything is ``und``.
+teach nothing; without any labelled text everything is ``und``; repeated rows
+are predicted alike; columns besides doc_id, text and lang are not read.
 """
 
 from __future__ import annotations

@@ -22,7 +22,8 @@ Results are exact but for collisions of 64-bit window hashes.
 
 Nulls, empties, ties: null text has no words; documents shorter than a window
 keep all words; a repeat inside one document counts; equal rows are documents
-of their own and repeat each other. Rows with null ids are treated alike.
+of their own and repeat each other. Rows with null ids are treated alike. Input
+columns named n_words, n_removed or kept_sha256 are replaced; others are kept.
 """
 
 from __future__ import annotations

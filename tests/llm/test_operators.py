@@ -298,6 +298,45 @@ def test_cross_parse_counts_longest_matches():
     assert phrases + 1 == parts
 
 
+def test_language_against_brute_force(spark, tiny):
+    """Every prediction's phrases counted by searching the sample text itself, segment by segment."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    model = langid.learn(docs)
+    rows = langid.sample(docs)
+    coded = {}
+    for lang, own in rows.groupby("lang"):
+        upto = own["text"].str.len().cumsum()
+        text = " ".join(own["text"][(upto <= langid.SAMPLE_CHARS) | (own["n"] == own["n"].min())])
+        s = symbols_of(text, model)
+        coded[lang] = "".join(chr(c + 32) for c in s if c > 0) + chr(33)
+    texts = [r.text for r in docs.limit(25).collect()] + ["", "?!", "\u4e00\u4e01 abc \u4e00", "a" * 3000]
+    got = langid.entropies(texts, model)
+    for i, t in enumerate(texts):
+        s = [chr(c + 32) for c in symbols_of(t, model)]
+        for k, lang in enumerate(model["langs"]):
+            phrases = 0
+            for at in range(0, len(s), langid.SEGMENT):
+                rest = "".join(s[at : at + langid.SEGMENT])
+                phrases += 1
+                begin = 0
+                for j in range(len(rest)):
+                    if rest[begin : j + 1] not in coded[lang]:
+                        phrases += 1
+                        begin = j if rest[j] in coded[lang] else j + 1
+            want = phrases * model["weights"][k] / max(1, len(s))
+            assert abs(got[i, k] - want) < 1e-9
+
+
+def symbols_of(text, model):
+    """Symbols of a text, runs of what is no letter as one."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = []
+    for c in langid.coded(codes, model["symbols"], model["seconds"])[0].tolist():
+        if c != 1 or not out or out[-1] != 1:
+            out.append(c)
+    return out
+
+
 # ---- 5 ------------------------------------------------------------------------------------------------------
 def test_bpe_equals_the_library(docs, spark, tiny):
     from tokenizers import Tokenizer

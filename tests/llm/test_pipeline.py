@@ -3,11 +3,13 @@
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from paceledger.llm import registry
+from paceledger.session import materialize
 from tests.llm.test_operators import brute_components, sha, words_of
 from tests.test_queries import normal
 
@@ -47,8 +49,17 @@ def test_stages(spark, tiny):
     assert sorted(r.doc_id for r in after) == sorted(i for i, v in brute_components([(r.doc_id, r.text) for r in before], 5).items() if v[2])
     before, after = seen["mix_sources"]
     assert abs(sum(len(words_of(r.text)) for r in after) - sum(len(words_of(r.text)) for r in before)) <= 20
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, tiny)
-    assert last.count() == len(after)
+    from tokenizers import Tokenizer
+
+    from paceledger.llm import bpe
+
+    tokenizer = Tokenizer.from_file(bpe.tokenizer_path(bpe.TOKENIZER))
+    coded = {}
+    for r in after:
+        ids = tokenizer.encode(r.text, add_special_tokens=False).ids
+        coded[(r.doc_id, sha(np.asarray(ids, "<u4").tobytes()))] = (len(ids), sha(tokenizer.decode(ids, skip_special_tokens=False)))
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, tiny).collect()
+    assert len(last) == len(after) and all(coded[(r.doc_id, r.ids_sha256)] == (r.n_tokens, r.decoded_sha256) for r in last)
 
 
 def test_run(spark, tiny):
@@ -56,6 +67,25 @@ def test_run(spark, tiny):
     assert out.count() > 0 and out.where(F.col("n_tokens") <= 0).count() == 0
 
 
+def test_stages_on_odd_documents(spark, tiny):
+    """Null and empty texts, null ids and groups, a very long text, repeated rows and clashing columns go through; an empty table stays empty."""
+    rng = np.random.default_rng(12)
+    prose = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 5000, n))
+    texts = [None, "", " \n ", prose(30), prose(30), "\n".join(prose(12) for _ in range(6)), "\n".join(prose(5000) for _ in range(40))]
+    rows = [(i, t, "en", None if i % 2 else "s", 1) for i, t in enumerate(texts)] + [(3, texts[3], "en", None, 1), (None, prose(40), None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumns({c: F.lit("clash") for c in ("size", "draws", "kept", "_n", "n_words", "key", "layout")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, tiny), f"odd-{name}")
+        assert docs.columns == list(corpus_pipeline.COLUMNS)
+        ids = [r.doc_id for r in docs.select("doc_id").collect()]
+        assert set(ids) == {3, 4, 5, 6, None}
+        if name == "near_dedup":
+            assert len(ids) == 5
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, tiny).where("n_tokens > 20").count() == docs.count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), tiny).count() == 0
+
+
 def test_copied_text_survives(spark, tiny):
     """A third of a source is one text: line dedup keeps its lines, and one copy comes out of the pipeline's stages."""
     body = lambda k: "\n".join(" ".join(f"{k}x{i}y{j}" for j in range(6)) for i in range(4))
