@@ -258,11 +258,11 @@ def scalar_text(spark, d):
     """Durations, local times, loose dates, day bounds, zoned times, default windows and JSON values of all events."""
     k, t = F.col("event_id"), F.col("t")
     stamp = F.date_format(t, "yyyy-MM-dd HH:mm:ss")
+    # local texts of the day that repeats an hour are ambiguous
     local = F.date_format(F.from_utc_timestamp(t, S.ZONE), "yyyy-MM-dd'T'HH:mm:ss")
-    zoned = S.loose_ts(F.when(k % 2 == 0, local).otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")), S.ZONE)
+    zoned = S.loose_ts(F.when((k % 2 == 0) & (F.to_date(t) != "2024-10-27"), local).otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")), S.ZONE)
     start, _ = S.default_window(F.when(k % 2 == 0, F.to_date(t).cast("timestamp")), F.lit(None).cast("timestamp"), t)
     value = S.as_json(F.when(k % 3 == 0, F.concat(F.lit('{"n": '), k.cast("string"), F.lit("}"))).otherwise(F.concat(F.lit("text "), k.cast("string"))), "n BIGINT")
-    # the hour that a zone repeats in autumn is read as its first
     out = shifted(spark, d).select(
         "event_id", S.seconds_to_hms(k * 37 % 300000).alias("hms"), S.nanos_to_local((F.unix_micros(t) * 1000).cast("string")).alias("local_time"), S.loose_date(F.when(k % 5 == 0, "no date").otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'"))).cast("string").alias("loose_date"),
         S.day_bound(F.when(k % 2 == 0, F.date_format(t, "yyyy-MM-dd")).otherwise(stamp), True).alias("day_end"), S.to_nanos(zoned).alias("zoned_nanos"), F.date_format(start, "yyyy-MM-dd").alias("window_start"),
