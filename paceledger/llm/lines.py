@@ -29,7 +29,7 @@ RATIO = 0.1
 MIN_PAGES = 2
 #: Scheme, user (up to the last @ of the authority), host and port; a backslash ends the authority as a slash does.
 HOST = r"^[\x00-\x20]*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#\\]*@)?(\[[^\]/?#\\@]*\]|[^/?#\\@:\[\]]*)(?::[0-9]*)?(?:[/?#\\]|$)"
-BLANK = " \t\n\x0b\x0c\r"
+FILLED = "[^\\x20\\x09-\\x0D]"
 BLOCK_TAGS = "p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|article|nav|header|footer|section|title|head|body|html|main|aside|blockquote|pre"
 
 
@@ -46,7 +46,7 @@ def visible_lines(html: Column) -> Column:
 
 
 def _filled(line: Column) -> Column:
-    return F.length(F.translate(line, BLANK, "")) > 0
+    return line.rlike(FILLED)
 
 
 def boilerplate(pages: DataFrame, text: str, site: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
