@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from paceledger.session import materialize
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-BLANK = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+BLANK = "[\\x20\\x09-\\x0D]"
+SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
@@ -56,12 +56,12 @@ def add_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the base counts and the adaptive measures; the text is scanned once and nothing is shuffled."""
     t = F.coalesce(F.col(text), F.lit(""))
     word_hash = F.transform(F.regexp_extract_all(t, F.lit(WORD), 0), lambda w: F.xxhash64(w))
-    lines = F.filter(F.split(t, "\n"), lambda line: F.length(F.translate(line, BLANK, "")) > 0)
+    lines = F.filter(F.split(t, "\n"), lambda line: line.rlike(WORD))
     out = docs.withColumn("_w", word_hash).withColumn("_l", lines)
     out = (
         out.withColumn("n_words", F.size("_w").cast("bigint"))
-        .withColumn("word_chars", F.length(F.translate(t, BLANK, "")).cast("bigint"))
-        .withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("bigint"))
+        .withColumn("word_chars", (F.length(t) - F.regexp_count(t, F.lit(BLANK))).cast("bigint"))
+        .withColumn("n_symbols", F.regexp_count(t, F.lit(SYMBOLS)).cast("bigint"))
         .withColumn("n_lines", F.size("_l").cast("bigint"))
         .withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint"))
     )
