@@ -133,6 +133,12 @@ def retain_daily(rows: DataFrame, as_of: int, days: int = 60) -> tuple[DataFrame
     return rows.where(F.col("inserted_at") >= cutoff), counts
 
 
+def retention_by_date(rows: DataFrame, as_of: int, days: int = 60) -> DataFrame:
+    """(date, n_rows, kept, deleted): what the retention does to each date, from one scan of two columns."""
+    cutoff = as_of - days * 86400
+    return rows.groupBy("date").agg(F.count("*").alias("n_rows"), F.count_if(F.col("inserted_at") >= cutoff).alias("kept"), F.count_if(F.col("inserted_at") < cutoff).alias("deleted"))
+
+
 def union_sources(*frames: DataFrame) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

@@ -13,7 +13,7 @@ DAY = dt.date.fromisoformat
 
 
 def daily(spark, rows):
-    full = [(u, DAY(d), s, n, 0.0, 0.0, 0.0, None, t) for u, d, s, n, t in rows]
+    full = [(u, d and DAY(d), s, n, 0.0, 0.0, 0.0, None, t) for u, d, s, n, t in rows]
     return spark.createDataFrame(full, "user_id bigint, date date, source string, steps bigint, distance_meters double, duration_s double, kcalories double, raw_json string, inserted_at bigint")
 
 
@@ -71,6 +71,37 @@ def test_upsert_rewrites_touched_dates_only(spark, rows, tmp_path):
     assert {p.name for p in (tmp_path / "daily" / "date=2025-01-02").glob("*.parquet")} == before
 
 
+def test_upsert_keeps_rows_without_date(spark, tmp_path):
+    path = str(tmp_path / "daily")
+    writers.write_daily(daily(spark, [(1, None, "a", 1, 0), (2, "2025-01-01", "a", 2, 0)]), path)
+    writers.upsert_daily(spark, path, daily(spark, [(3, None, "a", 3, 1), (2, "2025-01-01", "a", 5, 1)]))
+    assert sorted((r.user_id, r.steps) for r in readers.scan_daily(spark, path).collect()) == [(1, 1), (2, 5), (3, 3)]
+
+
+def test_retention_rewrites_touched_dates_only(spark, tmp_path):
+    path = str(tmp_path / "daily")
+    new = 200 * 86400
+    writers.write_daily(daily(spark, [(1, "2025-01-01", "a", 1, 0), (1, "2025-01-02", "a", 2, 0), (2, "2025-01-02", "a", 3, new), (1, "2025-01-03", "a", 4, new), (1, None, "a", 5, 0)]), path)
+    before = {p.name for p in (tmp_path / "daily" / "date=2025-01-03").glob("*.parquet")}
+    assert tuple(writers.retain_daily(spark, path, new, 1).first()) == (2, 3)
+    assert sorted((r.user_id, str(r.date), r.steps) for r in readers.scan_daily(spark, path).collect()) == [(1, "2025-01-03", 4), (2, "2025-01-02", 3)]
+    assert sorted(p.name for p in (tmp_path / "daily").glob("date=*")) == ["date=2025-01-02", "date=2025-01-03"]
+    assert {p.name for p in (tmp_path / "daily" / "date=2025-01-03").glob("*.parquet")} == before
+
+
+def test_large_date_is_split(spark, tmp_path):
+    rows = spark.range(0, 200000, 1, 8).select(F.col("id").alias("user_id"), F.lit("2025-01-01").cast("date").alias("date"), F.sha2(F.col("id").cast("string"), 256).alias("source"))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "1m")
+    try:
+        writers.write_daily(rows, str(tmp_path / "daily"))
+    finally:
+        spark.conf.set(size, before)
+    assert len(list((tmp_path / "daily" / "date=2025-01-01").glob("*.parquet"))) > 1
+    assert spark.read.parquet(str(tmp_path / "daily")).count() == 200000
+
+
 def test_property_pivot(spark):
     p = lambda k, u, v: ((k, u), v)
     raw = spark.createDataFrame(
