@@ -102,9 +102,13 @@ def last_trace_rows(trace: DataFrame, n: int = 12, order: str = "ts") -> DataFra
 
 
 def correlate_layers(events: DataFrame, order: str = "ts") -> DataFrame:
-    """Events of all layers by corr_id: their number, the layers met and the ordered steps."""
+    """Events of all layers by corr_id: their number, the layers met and the ordered steps.
+
+    Events without a corr_id belong to no request and correlate with nothing, so they are left out, as by an equi-join;
+    ``attach_corr_id`` gives them one.
+    """
     step = F.struct(F.col(order).alias("at"), "layer", "name", "ok")
-    return events.groupBy("corr_id").agg(F.count("*").alias("n_events"), F.array_sort(F.collect_set("layer")).alias("layers"), F.array_sort(F.collect_list(step)).alias("steps"))
+    return events.where("corr_id IS NOT NULL").groupBy("corr_id").agg(F.count("*").alias("n_events"), F.array_sort(F.collect_set("layer")).alias("layers"), F.array_sort(F.collect_list(step)).alias("steps"))
 
 
 def denial_alerts(events: DataFrame, min_denies: int = 3, code: str = DENIED) -> DataFrame:

@@ -150,6 +150,12 @@ def test_fetch_and_features_of_windows(spark, tmp_path):
     assert (ever["r3"].days, ever["r3"].min_steps) == (3, 1)
 
 
+def test_events_without_correlation(spark):
+    events = spark.createDataFrame([(2, "c1", "sources", "b", True), (1, "c1", "gateway", "a", True), (3, None, "gateway", "x", True), (4, None, "sources", "y", False)], "ts int, corr_id string, layer string, name string, ok boolean")
+    got = audit.correlate_layers(events).collect()
+    assert [(r.corr_id, r.n_events, r.layers, [s.name for s in r.steps]) for r in got] == [("c1", 2, ["gateway", "sources"], ["a", "b"])]
+
+
 def test_payload_stats(spark):
     df = spark.sql("SELECT array(1, 2) AS records, array('a') AS attempts, map('s', named_struct('records', array(1, 2, 3))) AS streams, CAST(NULL AS struct<code:string>) AS error")
     got = audit.payload_stats(df).first()
