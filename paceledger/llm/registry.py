@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from paceledger.llm import bpe, chat, langid, lines, maxscore, mixing, neardup, quality, substring, urls
+from paceledger.llm import bpe, chat, codes, langid, lines, maxscore, mixing, neardup, pii, quality, repair, substring, urls
 from paceledger.session import ship_package
 
 
@@ -31,6 +31,9 @@ def queries() -> dict:
         "op8_line_dedup": lines.op8_line_dedup,
         "op9_maxscore": maxscore.op9_maxscore,
         "op10_quality_rules": quality.op10_quality_rules,
+        "op11_conversation_repair": repair.op11_conversation_repair,
+        "op12_vector_codes": codes.op12_vector_codes,
+        "op13_personal_data": pii.op13_personal_data,
         "pipeline": corpus_pipeline.run,
     }
     return {name: _shipped(query) for name, query in found.items()}
@@ -43,4 +46,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_line_dedup": lines.OP8_SQL,
         "op9_maxscore": maxscore.OP9_SQL,
         "op10_quality_rules": quality.OP10_SQL,
+        "op11_conversation_repair": repair.OP11_SQL,
+        "op12_vector_codes": codes.OP12_SQL,
     }
