@@ -172,7 +172,8 @@ def compress(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embed
     base = materialize(integers(vectors, vec_id, vector, label), "vectors")
     start = base.where(F.size("q") >= PARTS).orderBy(F.col("vec_id").asc_nulls_last(), "q").limit(ENTRIES).select("q").collect()
     dim = len(start[0]["q"]) if start else 0
-    rows = np.array([r["q"] for r in start if len(r["q"]) == dim], dtype=np.int64).reshape(-1, dim)
+    same = [r["q"] for r in start if len(r["q"]) == dim]
+    rows = np.array(same, dtype=np.int64).reshape(len(same), dim)
     books = [Codebook(rows[:, a:b].copy(), np.ones(len(rows), dtype=bool)) for a, b in cuts(dim)]
     if not start:
         return base.sparkSession.createDataFrame([], STATE).drop("q"), books

@@ -12,9 +12,10 @@
    wherever it stands; one that gives away REMOVED of it is taken out of a
    sanitised text, others are generalised to their class.
 
-All counts are of documents, copies included, over the whole corpus. A pair must
-be met in SUPPORT different contexts (named by a min-hash of the words around),
-so one text and its copies prove nothing. A context counts once for a document.
+N, n(t) and n(e) count all documents, copies included. n(t, e) counts different
+contexts, of a document one, named by a min-hash of the words around, and must be
+SUPPORT at least: so copies of a text prove nothing, and a family of near copies
+next to nothing, while their words still count in n(t).
 
 How it scales: the pairs of a mention are bounded by the window, so they grow
 with the text and not with its square, and are counted by (term, entity,
@@ -56,9 +57,9 @@ FILTER_BITS = 1 << 24
 #: A word of this many characters at least can be a term.
 TERM_CHARS = 2
 SPAN = "struct<start:int,kind:int,end:int,strength:double>"
-#: Rows that a task gathers before it sends them; words whose answer from the bitmap it keeps.
+#: Rows that a task gathers before it sends them; words of which it remembers that the bitmap doesn't have them.
 PAIR_ROWS = 1 << 16
-TERM_MEMO = 1 << 17
+TERM_MEMO = 1 << 18
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -156,7 +157,7 @@ def cooccurrences(text: str, spans: list[tuple[int, int, int]], window: int) ->
 
 
 def pairs(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(term, entity, n, contexts): documents and different contexts of each pair; entity 0 counts a term's documents, term '' an entity's, among documents with entities."""
+    """(term, entity, n, contexts): documents of each pair and different contexts among them; entity 0 counts a term's documents, term '' an entity's, among documents with entities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: set[tuple[int, str, int, int]] = set()
@@ -187,7 +188,7 @@ def _pair_batch(rows: set[tuple[int, str, int, int]]) -> pa.RecordBatch:
 
 def candidates(counted: DataFrame, n_docs: int, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(term, n_pair, n_entity): pairs that may reach the threshold, as far as documents with entities tell."""
-    own = counted.where("term <> '' AND entity <> 0").where(F.col("contexts") >= support).select("term", "entity", F.col("n").alias("n_pair"))
+    own = counted.where("term <> '' AND entity <> 0").where(F.col("contexts") >= support).select("term", "entity", F.col("contexts").alias("n_pair"))
     entities = counted.where("term = ''").select("entity", F.col("n").alias("n_entity"))
     terms = counted.where("entity = 0").select("term", F.col("n").alias("n_term"))
     out = own.join(entities, "entity").join(terms, "term").where(strength(n_docs) >= disclosure)
@@ -222,7 +223,7 @@ def scan(work: DataFrame, bits: dict[int, bytes]) -> DataFrame:
     hit = pa.struct([("term", pa.string()), ("at", pa.list_(span))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passing: dict[str, bool] = {}
+        failing: set[str] = set()
         for batch in batches:
             base, hits = [], []
             for value in batch["_text"]:
@@ -230,14 +231,16 @@ def scan(work: DataFrame, bits: dict[int, bytes]) -> DataFrame:
                 spans = base_spans(body)
                 base.append([{"start": a, "kind": k, "end": b, "strength": None} for a, k, b in spans])
                 met: dict[str, list[dict]] = {}
-                for term, a, b in terms_of(body, spans) if sent.value else ():
-                    ok = passing.get(term)
-                    if ok is None:
-                        if len(passing) >= TERM_MEMO:
-                            passing.clear()
-                        ok = passing[term] = _passes(sent.value, term)
-                    if ok:
-                        met.setdefault(term, []).append({"start": a, "kind": TERM, "end": b, "strength": None})
+                if sent.value:
+                    # words that the worker has met and that don't pass cost one set difference a text
+                    new = set(_WORD.findall(body)) - failing
+                    passing = {t for w in new if _passes(sent.value, t := w.casefold())}
+                    failing.update(w for w in new if w.casefold() not in passing)
+                    if len(failing) > TERM_MEMO:
+                        failing.clear()
+                    for term, a, b in terms_of(body, spans) if passing else ():
+                        if term in passing:
+                            met.setdefault(term, []).append({"start": a, "kind": TERM, "end": b, "strength": None})
                 hits.append([{"term": t, "at": at} for t, at in met.items()])
             yield pa.RecordBatch.from_arrays([batch["_uid"], batch["_row"], pa.array(base, pa.list_(span)), pa.array(hits, pa.list_(hit))], ["_uid", "_row", "base", "hits"])
 
