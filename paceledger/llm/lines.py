@@ -8,13 +8,18 @@ site or line is one row per task before the shuffle. The lines that exceed the
 ratio number at most (mean distinct lines per page / ratio) per site, which
 bounds the array joined back to the site's pages. With ``copies=False`` pages
 of a site that hold the same text count as one page, so a text that was copied
-often isn't boilerplate of its site for that alone.
+often isn't boilerplate of its site for that alone. With ``keep_first`` one text
+of the site, that with the least hash of those that hold a line, keeps it: so what
+a family of near copies shares survives as a whole in one of them, and true
+boilerplate in one text of its site.
 
 Nulls, empties, ties: null text counts as empty and stays null; null sites are
 one site; blank lines are neither counted nor dropped; repeated rows are pages
 of their own; a line found on fewer than ``min_pages`` pages always stays, and
 by default these are lines of one page only. Input columns named _n_lines or
-_n_dropped are replaced. Lines are compared by a 64-bit hash within their site.
+_n_dropped are replaced. Lines are compared by a 64-bit hash within their site. A
+very long text is split into its lines in one task, which then holds it about
+three times. Lines of the site that exceed the ratio are looked up one by one.
 """
 
 from __future__ import annotations
@@ -50,29 +55,30 @@ def _filled(line: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, text: str, site: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
-    """(site, lines): hashes of the lines above the ratio, per site that has any; without ``copies`` equal texts of a site are one page."""
+    """(site, lines): (hash, keeper) of the lines above the ratio, per site that has any; without ``copies`` equal texts of a site are one page. The keeper is the least hash of a text with the line."""
     held = F.array_distinct(F.transform(F.filter(F.split(F.col(text), "\n"), _filled), lambda x: F.xxhash64(x)))
-    lines = pages.select(F.col(site).alias("site"), F.explode(held).alias("line"))
-    texts = pages.select(F.col(site).alias("_site"))
+    whole = F.xxhash64(F.col(text)).alias("_text")
+    lines = pages.select(F.col(site).alias("site"), whole, F.explode(held).alias("line"))
+    texts = pages.select(F.col(site).alias("_site"), whole)
     if not copies:
-        whole = F.xxhash64(F.col(text)).alias("_text")
-        lines = pages.select(F.col(site).alias("site"), whole, F.explode(held).alias("line")).distinct()
-        texts = pages.select(F.col(site).alias("_site"), whole).distinct()
-    counts = lines.groupBy("site", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+        lines, texts = lines.distinct(), texts.distinct()
+    counts = lines.groupBy("site", "line").agg(F.count("*").alias("n"), F.min("_text").alias("keeper")).where(F.col("n") >= min_pages)
     totals = texts.groupBy("_site").agg(F.count("*").alias("pages"))
     over = counts.join(totals, counts["site"].eqNullSafe(totals["_site"])).where(F.col("n") > F.lit(ratio) * F.col("pages"))
-    return over.groupBy("site").agg(F.collect_set("line").alias("lines"))
+    return over.groupBy("site").agg(F.collect_list(F.struct("line", "keeper")).alias("lines"))
 
 
-def drop_boilerplate(pages: DataFrame, *, text: str = "text", site: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, *, text: str = "text", site: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True, keep_first: bool = False) -> DataFrame:
     """``pages`` with boilerplate lines gone from ``text``; adds ``_n_lines`` and ``_n_dropped`` (lines that aren't blank)."""
     drop = materialize(boilerplate(pages, text, site, ratio, min_pages, copies), "boilerplate").withColumnsRenamed({"site": "_site", "lines": "_drop"})
     lines = F.split(F.col("_text"), "\n")
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_drop"), F.xxhash64(x)) | ~_filled(x)))
+    lost = F.transform(F.filter("_drop", lambda d: d["keeper"] != F.xxhash64("_text")) if keep_first else F.col("_drop"), lambda d: d["line"])
+    kept = F.when(F.size("_lost") > 0, F.filter(lines, lambda x: ~F.array_contains(F.col("_lost"), F.xxhash64(x)) | ~_filled(x))).otherwise(lines)
     filled = lambda a: F.coalesce(F.size(F.filter(a, _filled)), F.lit(0)).cast("bigint")
     names = [c for c in pages.columns if c not in ("_n_lines", "_n_dropped")]
     work = pages.select(F.struct(*names).alias("_row"), F.col(text).alias("_text"), F.col(site).alias("_host"))
-    out = work.join(drop, F.col("_host").eqNullSafe(F.col("_site")), "left").select("_row", kept.alias("_kept"), filled(lines).alias("_n_lines"))
+    out = work.join(drop, F.col("_host").eqNullSafe(F.col("_site")), "left").withColumn("_lost", lost)
+    out = out.select("_row", kept.alias("_kept"), filled(lines).alias("_n_lines"))
     columns = [F.array_join("_kept", "\n").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in names]
     return out.select(*columns, "_n_lines", (F.col("_n_lines") - filled(F.col("_kept"))).alias("_n_dropped"))
 

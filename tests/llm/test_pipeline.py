@@ -93,13 +93,27 @@ def test_copied_text_survives(spark, tiny):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     out = corpus_pipeline.line_dedup(spark, docs, tiny)
     got = {r.doc_id: r.text for r in out.collect()}
-    assert all(got[i] == texts[i] for i in range(60)) and all(got[60 + i] == body(i) for i in range(30))
+    assert all(got[i] == texts[i] for i in range(60))
+    # one text keeps the menu, for all
+    assert sorted(got[60 + i] == body(i) for i in range(30)) == [False] + [True] * 29 and sum("menu of the site" in t for t in got.values()) == 1
     left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, out, tiny).collect()}
     assert left == {0, 30, *range(60, 90)}
     mixed = corpus_pipeline.mix_sources(spark, corpus_pipeline.near_dedup(spark, out, tiny), tiny)
     assert {0, 30} <= {r.doc_id for r in mixed.collect()}
 
 
+def test_a_family_of_near_copies_keeps_its_body_once(spark, tiny):
+    """Six near copies of twelve shared lines among 46 texts: the lines are above the ratio, and one text of the family keeps them all."""
+    shared = [" ".join(f"line{i}w{j}" for j in range(8)) for i in range(12)]
+    family = ["\n".join([*shared, f"member {k} only has these words"]) for k in range(6)]
+    others = ["\n".join(" ".join(f"o{k}x{i}y{j}" for j in range(6)) for i in range(4)) for k in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(family + others)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, tiny).collect()}
+    whole = [i for i in range(6) if got[i] == family[i]]
+    assert len(whole) == 1 and all(got[i] == f"member {i} only has these words" for i in range(6) if i not in whole)
+    assert all(got[6 + k] == t for k, t in enumerate(others))
+
+
 def test_language_query_covers_all(spark, tiny):
     out = registry.queries()["op4_language_id"](spark, tiny)
     assert out.count() == spark.read.parquet(f"{tiny}/documents.parquet").count()
