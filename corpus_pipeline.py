@@ -1,8 +1,16 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, mixing and tokenisation of ``documents``.
 
 Each stage is one operator of ``paceledger.llm`` applied to all that the stage
-before kept; ``run`` writes each stage's result as Parquet in the shared folder
-and reads it for the next.
+before kept; ``run`` writes each stage's result as Parquet in the shared folder,
+reads it for the next and deletes what the stage wrote on the way and the stage
+before. The stages pass on the columns
+of ``documents`` and no others.
+
+Nulls, empties, ties: documents of less than ten words, null and empty texts
+among them, fail the quality rules; null sources and languages are groups of
+their own; null ids are kept; repeated rows are copies, of which the near-dedup
+keeps one; an empty table stays empty; columns besides those of ``documents``,
+clashing or not, are left out. Texts are processed whole, however long.
 """
 
 from __future__ import annotations
@@ -11,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceledger.llm import bpe, lines, mixing, neardup, quality
-from paceledger.session import materialize
+from paceledger.session import discard, materialize, scratch
 
 PAGES = 5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,8 +34,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate of their source go from the texts; a source is a site here, and copies of a text count once.
 
     A line must be in PAGES texts at least, so that a pair of near copies in a small source is left to the next stage.
+    One text keeps each line, so the body of a family of near copies stays whole in one of them.
     """
-    out = lines.drop_boilerplate(docs.select(*COLUMNS), text="text", site="source", min_pages=PAGES, copies=False)
+    out = lines.drop_boilerplate(docs.select(*COLUMNS), text="text", site="source", min_pages=PAGES, copies=False, keep_first=True)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.lit(0).cast("bigint"))).select(*COLUMNS)
 
 
@@ -61,6 +70,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch() as keep:
+            before, docs = docs, keep(materialize(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

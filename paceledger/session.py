@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,34 +31,64 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: The tables that are being gathered by each open ``scratch``, innermost last.
+_scopes: list[list[DataFrame]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage in a way that survives lost executors, and it gives
     the planner the table's true size, so that a later join is broadcast only
-    if the side is really small. Spark removes the step's shuffle files when it
-    has ended. ``discard`` deletes the table once nothing reads it any more.
+    if the side is really small. Spark removes a step's shuffle files when it
+    has ended, by a setting that the session keeps from the first step on.
+    ``discard`` deletes the table once nothing reads it any more, and so does
+    the end of a ``scratch``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/paceledger-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    if spark.conf.get(CLEANUP, "false") != "true":
+        spark.conf.set(CLEANUP, "true")
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._paceledger_path = path
+    for scope in _scopes[-1:]:
+        scope.append(table)
+    return table
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` returned; no DataFrame that reads them may be run afterwards."""
     for table in tables:
-        spark = table.sparkSession
-        root = shared_dir(spark).split(":", 1)[-1].lstrip("/")
-        for folder in {os.path.dirname(f) for f in table.inputFiles()}:
-            if f"/{root}/paceledger-" in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if path := getattr(table, "_paceledger_path", None):
+            remove(table.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage, where it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``materialize`` writes inside go at the end, but for those given to the function that this yields.
+
+    For jobs whose result is written before the end: what a lazy result still reads must be kept.
+    """
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scopes.append(made)
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _scopes.remove(made)
+        discard(*[t for t in made if all(t is not k for k in kept)])
 
 
 _shipped: set[str] = set()
