@@ -1,13 +1,17 @@
-"""Redaction: expressions generated by walking a schema, and one pattern for schemaless JSON text."""
+"""Redaction: expressions generated by walking a schema, and a walk of the tokens of schemaless JSON text."""
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paceledger.session import ship_package
+
 TOKEN = "***redacted***"
 # Names whose values are secrets or identify a person.
 SECRET_KEYS = ("authorization", "auth_bearer", "access_token", "token", "api_key", "apikey")
@@ -136,10 +140,52 @@ def redaction_count(df: DataFrame, paths: list[str | None]) -> Column:
     return total
 
 
-def redact_json_keys(text: Column, keys: tuple[str, ...] = SECRET_KEYS) -> Column:
-    """Mask scalar values of ``keys`` at any depth of JSON text; object values need the typed route."""
-    pattern = '(?i)("(?:' + "|".join(keys) + ')"\\s*:\\s*)("(?:[^"\\\\]|\\\\.)*"|-?[0-9][0-9.eE+-]*|true|false|null)'
-    return F.regexp_replace(text, pattern, f'$1"{TOKEN}"')
+def redact_json_keys(text: Column, keys: tuple[str, ...] = SECRET_KEYS, bearer: bool = True) -> Column:
+    """JSON text with every value under a key of ``keys`` masked, at any depth; all other characters stay as they are.
+
+    Keys count unescaped, trimmed and in any case. A masked value may be of any
+    kind, objects and arrays included, and becomes a string; with ``bearer`` a
+    bearer token keeps its scheme. Of a key that occurs twice both values are
+    masked. Text that isn't JSON, or is nested too deeply to be read, is masked
+    whole; NULL stays NULL. A value's place in schemaless text has no column
+    expression, so this is one Arrow function; typed columns have ``redact_keys``.
+    """
+    ship_package(SparkSession.active())
+    mask = F.udf(lambda t: mask_json(t, frozenset(keys), bearer), "string", useArrow=True)
+    return mask(text)
+
+
+#: A string, a bracket, or a run of anything else that is neither.
+_JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{},:]|[^\s"\[\]{},:]+', re.DOTALL)
+
+
+def mask_json(text: str | None, keys: frozenset[str], bearer: bool = True) -> str | None:
+    """``redact_json_keys`` of one text: its tokens are walked once, and what lies between masked values is copied."""
+    if text is None:
+        return None
+    try:
+        json.loads(text)
+    except (ValueError, RecursionError):
+        return TOKEN
+    out: list[str] = []
+    copied = 0
+    tokens = _JSON_TOKEN.finditer(text)
+    before = None
+    for token in tokens:
+        if token[0] == ":" and json.loads(before[0], strict=False).strip().lower() in keys:
+            value = next(tokens)
+            start, end, depth = value.start(), value.end(), value[0] in ("{", "[")
+            while depth:
+                inner = next(tokens)
+                depth += (inner[0] in ("{", "[")) - (inner[0] in ("}", "]"))
+                end = inner.end()
+            plain = json.loads(value[0]) if value[0].startswith('"') else ""
+            kept = "Bearer " if bearer and plain.strip().lower().startswith("bearer ") else ""
+            out += [text[copied:start], f'"{kept}{TOKEN}"']
+            copied = end
+            token = value
+        before = token
+    return "".join(out) + text[copied:]
 
 
 def minimize_provenance(provenance: Column, keys: tuple[str, ...] = PROVENANCE_KEYS) -> Column:
@@ -152,14 +198,16 @@ def sanitize_args(args: Column) -> Column:
 
 
 def find_first(value: Column, kind: T.DataType, name: str) -> Column | None:
-    """The first scalar named ``name``, as text: a struct's or map's own before those of its children, in order; None if the type has no place for one."""
+    """The first scalar named ``name`` (trimmed, any case), as text: a struct's or map's own before those of its children, in order; None if the type has no place for one."""
+    same = lambda key: key.strip().lower() == name
     found: list[Column] = []
     if isinstance(kind, T.StructType):
-        found = [value[f.name].cast("string") for f in kind.fields if f.name == name and not nested(f.dataType)]
+        found = [value[f.name].cast("string") for f in kind.fields if same(f.name) and not nested(f.dataType)]
         found += [c for f in kind.fields if (c := find_first(value[f.name], f.dataType, name)) is not None]
     elif isinstance(kind, T.MapType):
         if not nested(kind.valueType):
-            return F.try_element_at(value, F.lit(name)).cast("string") if isinstance(kind.keyType, T.StringType) else None
+            hits = F.filter(F.map_entries(value), lambda e: F.lower(F.trim(e["key"])) == name)
+            return F.get(hits, F.lit(0))["value"].cast("string") if isinstance(kind.keyType, T.StringType) else None
         return find_first(F.map_values(value), T.ArrayType(kind.valueType), name)
     elif isinstance(kind, T.ArrayType):
         if find_first(F.lit(None), kind.elementType, name) is None:

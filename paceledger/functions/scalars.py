@@ -58,10 +58,31 @@ def loose_date(text: Column) -> Column:
     return F.to_date(parse_ts(text))
 
 
-def loose_ts(text: Column, zone: str) -> Column:
-    """A timestamp; text without an offset is local to ``zone``."""
+def local_times(local: Column, zone: str) -> Column:
+    """What a local time (a timestamp without zone, read as UTC) may mean: (earlier, later, kind), in UTC.
+
+    The offsets are those of the zone a day before and a day after. A time that the
+    clocks repeat (``repeated``) has two meanings; one that they skip (``skipped``)
+    has none, and is read with the offset from before the change, so it lies as far
+    after the change as it would have; else (``plain``) both are the same.
+    """
+    day = F.expr("INTERVAL 1 DAY")
+    guess = F.to_utc_timestamp(local, zone)
+    offset = lambda at: F.unix_micros(F.from_utc_timestamp(at, zone)) - F.unix_micros(at)
+    before, after = offset(guess - day), offset(guess + day)
+    meaning = lambda o: F.timestamp_micros(F.unix_micros(local) - o)
+    holds = lambda at: F.from_utc_timestamp(at, zone) == local
+    first, second = F.least(meaning(before), meaning(after)), F.greatest(meaning(before), meaning(after))
+    kind = F.when((before == after) | (holds(first) != holds(second)), "plain").when(holds(first), "repeated").otherwise("skipped")
+    one = F.when(kind == "plain", guess).otherwise(F.when(kind == "skipped", meaning(before)).otherwise(first))
+    return F.struct(one.alias("earlier"), F.when(kind == "repeated", second).otherwise(one).alias("later"), F.when(local.isNotNull(), kind).alias("kind"))
+
+
+def loose_ts(text: Column, zone: str, later: bool = False) -> Column:
+    """A timestamp; text without an offset is local to ``zone``: of a repeated hour the first pass is meant, or with ``later`` the second."""
     offset = text.rlike("(Z|[+-]\\d{2}:?\\d{2})$") & text.contains("T")
-    return F.when(offset, parse_ts(text)).otherwise(F.to_utc_timestamp(parse_ts(text), zone))
+    meant = local_times(parse_ts(text), zone)
+    return F.when(offset, parse_ts(text)).otherwise(meant["later" if later else "earlier"])
 
 
 def day_month_year(text: Column) -> Column:

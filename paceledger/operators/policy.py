@@ -13,7 +13,8 @@ REQUEST = ("client", "purpose", "tool")
 
 
 def norm_purpose(purpose: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(purpose, F.lit(""))))
+    """A purpose as the lanes name it: without white space around, in lower case."""
+    return F.lower(F.trim(F.coalesce(purpose, F.lit("")), F.lit(" \t\n\r\x0b\x0c")))
 
 
 def typed_error(code: str | Column, message: str | Column) -> Column:
@@ -47,20 +48,56 @@ def flatten_policy(doc: DataFrame) -> DataFrame:
 def explain_policy(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """``requests`` (client, purpose, tool, ...) with each layer's rule and the resolved allow and redact.
 
-    Later layers win per field: default, client, tool. Redact lists replace
-    each other. ``allow`` is true and ``redact`` empty where no layer says
-    otherwise. The join strategy follows the rule table's size.
+    Purposes meet trimmed and in lower case on both sides, as they are validated;
+    the request's own text stays in the result. Later layers win per field:
+    default, client, tool. Redact lists replace each other. ``allow`` is true and
+    ``redact`` empty where no layer says otherwise. Of several rules of one layer,
+    key and purpose a denial holds, then the longest redact list. The join
+    strategy follows the rule table's size.
     """
+    strict = F.struct(F.coalesce("allow", F.lit(True)), -F.coalesce(F.size("redact"), F.lit(0)), F.coalesce(F.array_join("redact", ","), F.lit("")))
 
     def side(layer: str, *keys: str) -> DataFrame:
-        own = rules.where(F.col("layer") == layer)
         named = {"default": "default_rule", "client": "client_rule", "tool": "tool_rule"}[layer]
-        columns = [F.col("purpose").alias("purpose")] + [F.col("key").alias(k) for k in keys]
-        return own.select(*columns, F.struct("allow", "redact").alias(named)).dropDuplicates(["purpose", *keys])
+        own = rules.where(F.col("layer") == layer).groupBy(norm_purpose(F.col("purpose")).alias("_purpose"), *[F.col("key").alias(k) for k in keys])
+        return own.agg(F.min_by(F.struct("allow", "redact"), strict).alias(named))
 
-    out = requests.join(side("default"), "purpose", "left").join(side("client", "client"), ["purpose", "client"], "left").join(side("tool", "tool"), ["purpose", "tool"], "left")
+    out = requests.withColumn("_purpose", norm_purpose(F.col("purpose")))
+    out = out.join(side("default"), "_purpose", "left").join(side("client", "client"), ["_purpose", "client"], "left").join(side("tool", "tool"), ["_purpose", "tool"], "left")
     pick = lambda f, other: F.coalesce(F.col(f"tool_rule.{f}"), F.col(f"client_rule.{f}"), F.col(f"default_rule.{f}"), other)
-    return out.withColumn("allow", pick("allow", F.lit(True))).withColumn("redact", pick("redact", F.array().cast("array<string>")))
+    return out.withColumn("allow", pick("allow", F.lit(True))).withColumn("redact", pick("redact", F.array().cast("array<string>"))).drop("_purpose")
+
+
+def explain_policy_at(requests: DataFrame, rules: DataFrame, ts: str = "ts") -> DataFrame:
+    """``explain_policy`` with the rules that held at each request's time, so past decisions can be explained.
+
+    ``rules`` has valid_from and valid_to besides: a rule holds from the first until
+    before the second, a NULL bound is open. Of rules of one layer, key and purpose
+    that overlap, the one that began last holds. The versions of a rule are gathered
+    beside it, so requests are joined by equality, and not shuffled for the time;
+    a request without a time meets only rules without bounds.
+    """
+    version = F.struct("valid_from", "valid_to", F.coalesce("allow", F.lit(True)).alias("_strict"), "allow", "redact")
+    lasting = lambda v: (v["valid_from"].isNull() | (v["valid_from"] <= F.col(ts))) & (v["valid_to"].isNull() | (v["valid_to"] > F.col(ts)))
+
+    def side(layer: str, *keys: str) -> DataFrame:
+        own = rules.where(F.col("layer") == layer).groupBy(norm_purpose(F.col("purpose")).alias("_purpose"), *[F.col("key").alias(k) for k in keys])
+        return own.agg(F.array_sort(F.collect_list(version), newest_first).alias(f"_{layer}"))
+
+    out = requests.withColumn("_purpose", norm_purpose(F.col("purpose")))
+    out = out.join(side("default"), "_purpose", "left").join(side("client", "client"), ["_purpose", "client"], "left").join(side("tool", "tool"), ["_purpose", "tool"], "left")
+    for layer in ("default", "client", "tool"):
+        held = F.get(F.filter(f"_{layer}", lambda v: F.coalesce(lasting(v), F.lit(False))), F.lit(0))
+        out = out.withColumn(f"{layer}_rule", F.when(held.isNotNull(), F.struct(held["allow"].alias("allow"), held["redact"].alias("redact"), held["valid_from"].alias("valid_from"))))
+    pick = lambda f, other: F.coalesce(F.col(f"tool_rule.{f}"), F.col(f"client_rule.{f}"), F.col(f"default_rule.{f}"), other)
+    out = out.withColumn("allow", pick("allow", F.lit(True))).withColumn("redact", pick("redact", F.array().cast("array<string>")))
+    return out.drop("_purpose", "_default", "_client", "_tool")
+
+
+def newest_first(a: Column, b: Column) -> Column:
+    """Order of rule versions: the latest start first, an open start last; of equal starts a denial first."""
+    start = lambda v: F.coalesce(F.unix_micros(v["valid_from"]), F.lit(-(2**63)))
+    return F.when(start(a) > start(b), -1).when(start(a) < start(b), 1).when(a["_strict"] < b["_strict"], -1).when(a["_strict"] > b["_strict"], 1).otherwise(0)
 
 
 def resolve_policy(requests: DataFrame, rules: DataFrame) -> DataFrame:

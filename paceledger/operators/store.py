@@ -163,6 +163,14 @@ def preferred_per_day(rows: DataFrame, prefer: str | Column) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
+def preferred_in_row(rows: Column, prefer: Column) -> Column:
+    """``preferred_per_day`` inside a row: of an array of (date, origin, inserted_at, ...) one element per date, by date."""
+    other = lambda r: F.when(r["origin"] == prefer, 0).otherwise(1)
+    ranked = F.array_sort(F.transform(rows, lambda r: F.struct(r["date"].alias("date"), other(r).alias("other"), (-r["inserted_at"]).alias("age"), r["origin"].alias("origin"), r.alias("row"))))
+    first = F.filter(ranked, lambda r, i: (i == 0) | ~r["date"].eqNullSafe(F.get(ranked, i - 1)["date"]))
+    return F.transform(first, lambda r: r["row"])
+
+
 def daily_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").agg(F.count("*").alias("days"), F.coalesce(F.sum("steps"), F.lit(0)).alias("total_steps"), F.coalesce(F.avg("steps"), F.lit(0.0)).alias("avg_steps"))
 
@@ -203,8 +211,9 @@ def page(rows: DataFrame, order: list[Column], limit: int | None, offset: int =
     return out if limit is None else out.limit(max(0, limit))
 
 
-def date_order(rows: DataFrame) -> DataFrame:
-    return rows.orderBy("date")
+def date_order(rows: DataFrame, *ties: str) -> DataFrame:
+    """Rows by date, those of one date by ``ties``."""
+    return rows.orderBy("date", *ties)
 
 
 # ---- what is stored -----------------------------------------------------------------------------------------

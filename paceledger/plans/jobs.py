@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceledger.functions import redact
 from paceledger.functions import scalars as S
 from paceledger.operators import audit, connectors, games, policy, store
-from paceledger.sources import writers
+from paceledger.sources import landing, writers
 
 REDACTABLE = ["records.kcalories", "provenance.player_id", "provenance.email"]
 
@@ -25,8 +25,10 @@ def fetch(decided: DataFrame, candidates: DataFrame, records: DataFrame, *, live
     One join finds the outcomes of the sources, one the user's rows of the chosen
     source; windows and pages are cut inside the row. With ``as_of``, open windows
     end there and begin ``days`` days before. The requests' outermost dates go to
-    the scan of the records. Columns limit and offset of the requests page the
-    records by date.
+    the scan of the records, and of these only rows of a (user, source) that some
+    request has chosen are gathered. Columns limit and offset of the requests page
+    the records by date. Records of the store may have several rows a day, by
+    origin and inserted_at: each request gets the one it prefers.
     """
     if as_of is not None:
         upper = F.coalesce("end", F.lit(as_of).cast("date"))
@@ -41,10 +43,12 @@ def fetch(decided: DataFrame, candidates: DataFrame, records: DataFrame, *, live
     out = out.withColumn("_chosen", chosen).drop("_tries")
     failed = F.when(F.col("_chosen.error_code").isNotNull(), policy.typed_error(F.col("_chosen.error_code"), F.col("_chosen.error_code")))
     out = out.select(*decided.columns, F.col("_chosen.selected_source").alias("selected_source"), F.col("_chosen.attempts").alias("attempts"), failed.alias("_failed"))
-    own = records.groupBy(F.col("user_id").alias("_user"), F.col("source").alias("_source")).agg(F.array_sort(F.collect_list(F.struct("date", "steps", "kcalories"))).alias("_rows"), F.max("player_id").alias("player"))
+    own = gathered(records, out)
     out = out.join(own, (F.col("user_id") == F.col("_user")) & (F.col("selected_source") == F.col("_source")), "left")
     rows = F.filter("_rows", lambda r: F.coalesce(r["date"] >= F.col("start"), F.col("start").isNull()) & F.coalesce(r["date"] <= F.col("end"), F.col("end").isNull()))
-    rows = F.coalesce(rows, F.array().cast(own.schema["_rows"].dataType))
+    if "origin" in records.columns:
+        rows = F.when(F.col("selected_source") == store_name, store.preferred_in_row(rows, F.coalesce("prefer", F.lit(live[0])))).otherwise(rows)
+    rows = F.coalesce(F.transform(rows, lambda r: F.struct(r["date"].alias("date"), r["steps"].alias("steps"), r["kcalories"].alias("kcalories"))), F.array().cast("array<struct<date:date,steps:bigint,kcalories:double>>"))
     if {"limit", "offset"} <= set(decided.columns):
         low = F.greatest(F.coalesce("offset", F.lit(0)), F.lit(0)).cast("int")
         rows = F.slice(rows, low + 1, F.greatest(F.coalesce("limit", F.size(rows)), F.lit(0)).cast("int"))
@@ -52,6 +56,55 @@ def fetch(decided: DataFrame, candidates: DataFrame, records: DataFrame, *, live
     return out.withColumn("error", F.coalesce("error", "_failed")).drop("_user", "_source", "_rows", "_failed")
 
 
+def gathered(records: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(_user, _source, _rows, player): the records of each (user_id, selected_source) of ``chosen``, and of no others."""
+    asked = chosen.where("error IS NULL AND selected_source IS NOT NULL").select(F.col("user_id").alias("_u"), F.col("selected_source").alias("_s")).distinct()
+    some = records.join(asked, (F.col("user_id") == F.col("_u")) & (F.col("source") == F.col("_s")), "left_semi")
+    row = F.struct(*[c for c in ("date", "steps", "kcalories", "origin", "inserted_at") if c in records.columns])
+    return some.groupBy(F.col("user_id").alias("_user"), F.col("source").alias("_source")).agg(F.array_sort(F.collect_list(row)).alias("_rows"), F.max("player_id").alias("player"))
+
+
+def outcomes(requests: DataFrame, users: DataFrame, resolved: DataFrame, records: DataFrame, *, live: tuple[str, str], store_name: str = "vault", domain: str = "walk") -> DataFrame:
+    """(request_id, source, ok, n_records, error_code): what each source would give each request.
+
+    A live source answers if its user is known, connected, has a token and data;
+    else its error is the first of these that fails. The store answers if it has
+    rows in the request's window. Counts are per user and source, so no rows meet.
+    """
+    asked = requests.select("request_id", "user_id", F.lit(domain).alias("domain"), F.explode(F.array(*[F.lit(s) for s in live])).alias("source"))
+    have = records.groupBy("user_id", "source").agg(F.count("*").alias("n_records"))
+    judged = connectors.classify_requests(asked, users, resolved, have).join(have, ["user_id", "source"], "left")
+    judged = judged.select("request_id", "source", F.col("error_code").isNull().alias("ok"), F.coalesce("n_records", F.lit(0)).alias("n_records"), "error_code")
+    stored = records.where(F.col("source") == store_name).groupBy("user_id", "date").agg(F.count("*").alias("n"))
+    inside = (F.col("date") >= F.coalesce("start", "date")) & (F.col("date") <= F.coalesce("end", "date"))
+    found = requests.select("request_id", "user_id", "start", "end").join(stored, "user_id").where(inside).groupBy("request_id").agg(F.sum("n").alias("n_records"))
+    kept = requests.select("request_id").join(found, "request_id", "left").select("request_id", F.lit(store_name).alias("source"), F.lit(True).alias("ok"), F.coalesce("n_records", F.lit(0)).alias("n_records"))
+    return judged.unionByName(kept.withColumn("error_code", F.when(F.col("n_records") == 0, "empty")))
+
+
+def fetch_walk(requests: DataFrame, rules: DataFrame, users: DataFrame, resolved: DataFrame, live_records: DataFrame, stored: DataFrame, *, live: tuple[str, str], store_name: str = "vault", as_of=None, days: int = 365, **options) -> DataFrame:
+    """The whole chain: policy, classification of the sources, the store first or last as asked, one preferred row a day, window and page.
+
+    ``live_records`` (source, user_id, date, steps, kcalories, player_id) is what
+    the sources hold, ``stored`` the daily store with its rows' own source.
+    """
+    if as_of is not None:
+        upper = F.coalesce("end", F.lit(as_of).cast("date"))
+        requests = requests.withColumn("start", F.coalesce("start", F.date_sub(upper, days))).withColumn("end", upper)
+    old = stored.select(F.lit(store_name).alias("source"), "user_id", "date", "steps", "kcalories", F.lit(None).cast("string").alias("player_id"), F.col("source").alias("origin"), "inserted_at")
+    records = old.unionByName(live_records.withColumns({"origin": F.col("source"), "inserted_at": F.lit(0).cast("bigint")}))
+    found = outcomes(requests, users, resolved, records, live=live, store_name=store_name)
+    return fetch_walk_batch(requests, rules, found, records, live=live, store_name=store_name, **options)
+
+
+def write_through(fetched: DataFrame, path: str, inserted_at: int, live: tuple[str, str]) -> None:
+    """Store what live sources gave, as daily rows of that source; denied and failed requests have none. Records must be unmasked, so fetch them with ``paths=[]``."""
+    rows = fetched.where(F.col("error").isNull() & F.col("selected_source").isin(*live)).select("user_id", F.col("selected_source").alias("source"), F.explode("records").alias("r"))
+    none = {c: F.lit(None).cast(t) for c, t in (("distance_meters", "double"), ("duration_s", "double"), ("raw_json", "string"))}
+    rows = rows.select("user_id", "r.date", "source", "r.steps", "r.kcalories").distinct().withColumns({**none, "inserted_at": F.lit(inserted_at).cast("bigint")})
+    writers.upsert_daily(fetched.sparkSession, path, rows)
+
+
 def fetch_walk_batch(requests: DataFrame, rules: DataFrame, candidates: DataFrame, records: DataFrame, *, live: tuple[str, str], store_name: str = "vault", paths: list[str] | None = None, as_of=None) -> DataFrame:
     """Purpose-limited records for a table of requests.
 
@@ -159,3 +212,20 @@ def ingest_to_store(activities: DataFrame, source: str, inserted_at: int, path:
     rows = rows.withColumn("seq", F.get_json_object("raw_json", "$.activity_id").try_cast("bigint"))
     writers.upsert_daily(activities.sparkSession, path, store.last_write_wins(rows))
     return marked.where(F.size("violations") > 0)
+
+
+def ingest_new(spark: SparkSession, folder: str, out: str, checkpoint: str, source: str, inserted_at: int, path: str) -> None:
+    """Take the dump files of ``folder`` that are new to the store at ``path``; each is read once over all runs.
+
+    What can't be read, and rows that break a rule, are in ``landing.broken``
+    with their text and reason. A batch that is repeated changes nothing.
+    """
+
+    def to_store(rows: DataFrame, batch_id: int) -> DataFrame:
+        line = F.to_json(F.struct(*[c for c in rows.columns if c != "file"]))
+        lines = rows.select(F.col("id").alias("activity_id"), "user_id", "file", line.alias("line"))
+        refused = ingest_to_store(rows.drop("file"), source, inserted_at, path)
+        reason = refused.select("activity_id", "user_id", F.array_join("violations", "; ").alias("reason"))
+        return lines.join(reason, ["activity_id", "user_id"]).select("file", "line", "reason")
+
+    landing.land(spark, folder, out, checkpoint, then=to_store).start().awaitTermination()

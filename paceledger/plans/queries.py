@@ -274,13 +274,27 @@ def redaction_count(spark, d):
     return p.select("event_id", R.redaction_count(p, ["records.token", "records.email", "provenance.email", "nested.a.token", "nested.z.token", "no.such", ""]).alias("n_masked"))
 
 
+#: Members that hold secrets, and what becomes of them: values of every kind, keys padded, escaped and in any case, at depth.
+SECRET_MEMBERS = (
+    (r'"token": "a\"b, \"token\": 1"', f'"token": "{R.TOKEN}"'),
+    (r'"api_key" : {"v": "secret", "deep": [1, {"x": "}"}]}', f'"api_key" : "{R.TOKEN}"'),
+    (r'"args": [{"ACCESS_TOKEN": ["abc", [2]], "keep": 1.50}, "token", [[{"token ": null}]]]', f'"args": [{{"ACCESS_TOKEN": "{R.TOKEN}", "keep": 1.50}}, "token", [[{{"token ": "{R.TOKEN}"}}]]]'),
+    (r'"\u0041pikey": -1e5, "note": "\u0041 token"', rf'"\u0041pikey": "{R.TOKEN}", "note": "\u0041 token"'),
+    (r'" Authorization\t": " bearer xyz", "tokens": "kept"', rf'" Authorization\t": "Bearer {R.TOKEN}", "tokens": "kept"'),
+    (r'"auth_bearer": "x"}, {"', f"{R.TOKEN}"),
+)
+
+
 @query(
-    r"""SELECT event_id, regexp_replace(concat(left(props, length(props) - 1), ', "token": "a\"b", "args": {"api_key": 12}}'),
- '(?i)("(?:authorization|auth_bearer|access_token|token|api_key|apikey)"\s*:\s*)("(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false|null)', '\1"***redacted***"', 'g') AS props FROM events"""
+    "SELECT event_id, CASE CAST(event_id % 6 AS INT) "
+    + " ".join(f"WHEN {i} THEN concat(left(props, length(props) - 1), ', ', '{after}', '}}')" for i, (_, after) in enumerate(SECRET_MEMBERS[:-1]))
+    + f" ELSE '{SECRET_MEMBERS[-1][1]}' END AS props FROM events"
 )
 def redact_json_keys(spark, d):
+    """Every sixth text isn't JSON and is masked whole."""
     e = spark.read.parquet(f"{d}/events.parquet")
-    raw = F.concat(F.expr("left(props, length(props) - 1)"), F.lit(', "token": "a\\"b", "args": {"api_key": 12}}'))
+    member = F.get(F.array(*[F.lit(before) for before, _ in SECRET_MEMBERS]), (F.col("event_id") % len(SECRET_MEMBERS)).cast("int"))
+    raw = F.concat(F.expr("left(props, length(props) - 1)"), F.lit(", "), member, F.lit("}"))
     return e.select("event_id", R.redact_json_keys(raw).alias("props"))
 
 
@@ -315,8 +329,8 @@ def subject_hash(spark, d):
 # ---- policy -------------------------------------------------------------------------------------------------
 RESOLVED = """, resolved AS (SELECT r.user_id, r.client, r.purpose, r.tool, coalesce(t.allow, c.allow, g.allow, true) AS allow, coalesce(t.redact, c.redact, g.redact, '') AS redact,
  g.allow AS default_allow, c.allow AS client_allow, t.allow AS tool_allow FROM requests AS r
- LEFT JOIN rules AS g ON g.layer = 'default' AND g.purpose = r.purpose LEFT JOIN rules AS c ON c.layer = 'client' AND c.key = r.client AND c.purpose = r.purpose
- LEFT JOIN rules AS t ON t.layer = 'tool' AND t.key = r.tool AND t.purpose = r.purpose)"""
+ LEFT JOIN rules AS g ON g.layer = 'default' AND g.purpose = lower(trim(r.purpose)) LEFT JOIN rules AS c ON c.layer = 'client' AND c.key = r.client AND c.purpose = lower(trim(r.purpose))
+ LEFT JOIN rules AS t ON t.layer = 'tool' AND t.key = r.tool AND t.purpose = lower(trim(r.purpose)))"""
 POLICY = ctes("requests", "rules") + RESOLVED
 
 
@@ -333,6 +347,43 @@ def explain_policy(spark, d):
     return out.select("user_id", "client", "purpose", "tool", "allow", *layers)
 
 
+#: The rules as they changed within the month: each default and client rule turns after the tenth, tool rules hold from the fifth on, and one never ended.
+TIMED_RULES = """, timed AS (
+ SELECT layer, key, purpose, allow, redact, CAST(NULL AS TIMESTAMP) AS valid_from, TIMESTAMP '2024-01-10 00:00:00' AS valid_to FROM rules WHERE layer <> 'tool'
+ UNION ALL SELECT layer, key, purpose, NOT allow, redact, TIMESTAMP '2024-01-10 00:00:00', CAST(NULL AS TIMESTAMP) FROM rules WHERE layer <> 'tool'
+ UNION ALL SELECT layer, key, purpose, allow, redact, TIMESTAMP '2024-01-05 00:00:00', TIMESTAMP '2024-01-20 00:00:00' FROM rules WHERE layer = 'tool'
+ UNION ALL SELECT layer, key, purpose, NOT allow, redact, TIMESTAMP '2024-01-15 12:00:00', CAST(NULL AS TIMESTAMP) FROM rules WHERE layer = 'tool')"""
+
+
+def _timed_rules(spark, d) -> DataFrame:
+    r = view(spark, d, "rules")
+    at = lambda text: F.lit(text).cast("timestamp")
+    other, tool = r.where("layer <> 'tool'"), r.where("layer = 'tool'")
+    turned = lambda rows: rows.withColumn("allow", ~F.col("allow"))
+    parts = [(other, None, "2024-01-10"), (turned(other), "2024-01-10", None), (tool, "2024-01-05", "2024-01-20"), (turned(tool), "2024-01-15 12:00:00", None)]
+    return store.union_sources(*[rows.withColumns({"valid_from": at(a), "valid_to": at(b)}) for rows, a, b in parts])
+
+
+def _held(layer: str, key: str) -> str:
+    return f"""(SELECT event_id, allow, redact, valid_from FROM (SELECT a.event_id, t.allow, t.redact, t.valid_from,
+  row_number() OVER (PARTITION BY a.event_id ORDER BY t.valid_from DESC NULLS LAST) AS n
+  FROM asked AS a JOIN timed AS t ON t.layer = '{layer}' AND t.purpose = lower(trim(a.purpose)) {key} AND (t.valid_from IS NULL OR t.valid_from <= a.ts) AND (t.valid_to IS NULL OR t.valid_to > a.ts)) AS q WHERE n = 1)"""
+
+
+@query(
+    ctes("access_log", "rules") + TIMED_RULES + f""", asked AS (SELECT event_id, ts, client_id AS client, name AS tool, CASE WHEN event_id % 3 = 0 THEN upper(purpose) ELSE purpose END AS purpose FROM access_log WHERE purpose IS NOT NULL)
+ SELECT a.event_id, a.purpose, coalesce(t.allow, c.allow, g.allow, true) AS allow, coalesce(t.redact, c.redact, g.redact, '') AS redact, CAST(epoch_us(t.valid_from) AS BIGINT) AS tool_since
+ FROM asked AS a LEFT JOIN {_held("default", "")} AS g ON a.event_id = g.event_id LEFT JOIN {_held("client", "AND t.key = a.client")} AS c ON a.event_id = c.event_id
+ LEFT JOIN {_held("tool", "AND t.key = a.tool")} AS t ON a.event_id = t.event_id"""
+)
+def explain_policy_at(spark, d):
+    """Every logged call with the rule of its own day."""
+    log = view(spark, d, "access_log").where("purpose IS NOT NULL")
+    asked = log.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("client_id").alias("client"), F.col("name").alias("tool"), F.when(F.col("event_id") % 3 == 0, F.upper("purpose")).otherwise(F.col("purpose")).alias("purpose"))
+    out = policy.explain_policy_at(asked, _timed_rules(spark, d))
+    return out.select("event_id", "purpose", "allow", F.array_join("redact", ",").alias("redact"), F.unix_micros("tool_rule.valid_from").alias("tool_since"))
+
+
 MATRIX = (
     ctes("requests", "rules").replace("requests AS (", "reqs AS (") + """, requests AS (SELECT 0 AS user_id, c.client, p.purpose, t.tool FROM (SELECT DISTINCT client FROM reqs) AS c
  CROSS JOIN (SELECT DISTINCT purpose FROM reqs) AS p CROSS JOIN (SELECT DISTINCT tool FROM reqs) AS t)""" + RESOLVED
@@ -365,8 +416,8 @@ def enforce_policy(spark, d):
 
 
 @query(
-    ctes("requests") + """ SELECT user_id, client, purpose, tool, CASE WHEN purpose = 'modeling' THEN 'not_supported' END AS error_code, CASE WHEN purpose = 'modeling' THEN 0 ELSE 1 END AS n_records,
- CASE purpose WHEN 'coaching' THEN 'email,note,player_id' WHEN 'analytics' THEN 'note' END AS provenance_keys FROM requests"""
+    ctes("requests") + """ SELECT user_id, client, purpose, tool, CASE WHEN lower(trim(purpose)) = 'modeling' THEN 'not_supported' END AS error_code, CASE WHEN lower(trim(purpose)) = 'modeling' THEN 0 ELSE 1 END AS n_records,
+ CASE lower(trim(purpose)) WHEN 'coaching' THEN 'email,note,player_id' WHEN 'analytics' THEN 'note' END AS provenance_keys FROM requests"""
 )
 def shape_for_purpose(spark, d):
     rows = _request_payloads(spark, d).withColumn("error", F.lit(None).cast("struct<code:string,message:string>"))
@@ -468,10 +519,10 @@ def attach_corr_id(spark, d):
 # ---- inventory ----------------------------------------------------------------------------------------------
 @query(
     """SELECT event_type AS domain, count(*) AS n_records, CAST(min(CAST(ts AS DATE)) AS STRING) AS first_date, CAST(max(CAST(ts AS DATE)) AS STRING) AS last_date,
- string_agg(DISTINCT 'f' || CAST(event_id * 7 % 11 AS STRING), ',' ORDER BY 'f' || CAST(event_id * 7 % 11 AS STRING)) AS fields FROM events WHERE event_id % 3 <> 1 GROUP BY event_type"""
+ string_agg(DISTINCT 'f' || CAST(event_id * 7 % 11 AS STRING), ',' ORDER BY 'f' || CAST(event_id * 7 % 11 AS STRING)) AS fields FROM events GROUP BY event_type"""
 )
 def inventory(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").where("event_id % 3 <> 1")
+    e = spark.read.parquet(f"{d}/events.parquet")
     raw = F.to_json(F.create_map(F.concat(F.lit("f"), F.col("event_id") * 7 % 11), F.col("value")))
     e = e.select(F.col("event_type").alias("domain"), F.to_date("ts").alias("date"), raw.alias("raw_json"))
     return store.inventory(e).select("domain", "n_records", text("first_date"), text("last_date"), F.array_join("fields", ",").alias("fields"))
@@ -747,7 +798,7 @@ def _job_records(spark, d) -> DataFrame:
 JOB = (
     POLICY.replace("WITH requests", "WITH activity AS (" + ctes("activity")[len("WITH activity AS (") : -1] + "), requests") + f""",
  day AS (SELECT * FROM {LWW} AS q WHERE n = 1),
- pick AS (SELECT *, CASE WHEN purpose NOT IN ('analytics', 'coaching', 'modeling') THEN 'bad_request' WHEN NOT allow THEN 'denied_by_policy' END AS early,
+ pick AS (SELECT *, CASE WHEN lower(trim(purpose)) NOT IN ('analytics', 'coaching', 'modeling') THEN 'bad_request' WHEN NOT allow THEN 'denied_by_policy' END AS early,
  CASE WHEN user_id % 2 = 0 THEN CASE WHEN user_id % 3 <> 0 THEN 'arena' WHEN user_id % 4 <> 0 THEN 'stepcloud' END
  ELSE CASE WHEN user_id % 4 <> 0 THEN 'stepcloud' WHEN user_id % 3 <> 0 THEN 'arena' END END AS pick FROM resolved)"""
 )
@@ -755,8 +806,8 @@ JOB = (
 
 @query(
     JOB + """, hits AS (SELECT p.user_id, p.client, p.purpose, p.tool, count(a.steps) AS n, coalesce(CAST(sum(a.steps) AS BIGINT), 0) AS total FROM pick AS p LEFT JOIN day AS a
- ON p.user_id = a.user_id AND p.pick = a.source AND a.date BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' AND p.early IS NULL AND p.purpose <> 'modeling' GROUP BY 1, 2, 3, 4)
- SELECT p.user_id, p.client, p.purpose, p.tool, CASE WHEN early IS NOT NULL THEN early WHEN pick IS NULL THEN 'all_sources_failed' WHEN p.purpose = 'modeling' THEN 'not_supported' END AS error_code,
+ ON p.user_id = a.user_id AND p.pick = a.source AND a.date BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' AND p.early IS NULL AND lower(trim(p.purpose)) <> 'modeling' GROUP BY 1, 2, 3, 4)
+ SELECT p.user_id, p.client, p.purpose, p.tool, CASE WHEN early IS NOT NULL THEN early WHEN pick IS NULL THEN 'all_sources_failed' WHEN lower(trim(p.purpose)) = 'modeling' THEN 'not_supported' END AS error_code,
  CASE WHEN early IS NULL THEN pick END AS selected_source, h.n AS n_records, h.total AS total_steps FROM pick AS p
  JOIN hits AS h ON p.user_id = h.user_id AND p.client = h.client AND p.purpose = h.purpose AND p.tool = h.tool"""
 )
@@ -768,7 +819,7 @@ def fetch_walk_batch(spark, d):
 
 
 @query(
-    JOB + """, ask AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN purpose <> 'modeling' THEN 'bad_request' WHEN pick IS NULL THEN 'all_sources_failed' END AS error_code FROM pick)
+    JOB + """, ask AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN lower(trim(purpose)) <> 'modeling' THEN 'bad_request' WHEN pick IS NULL THEN 'all_sources_failed' END AS error_code FROM pick)
  SELECT p.user_id, p.client, p.purpose, p.tool, p.error_code, CASE WHEN p.error_code IS NULL THEN count(a.steps) END AS days, CASE WHEN p.error_code IS NULL THEN coalesce(CAST(sum(a.steps) AS BIGINT), 0) END AS total_steps,
  CASE WHEN p.error_code IS NULL THEN coalesce(CAST(floor(sum(a.steps) / count(a.steps)) AS BIGINT), 0) END AS avg_steps, min(a.steps) AS min_steps, max(a.steps) AS max_steps,
  CASE WHEN p.error_code IS NULL THEN p.pick END AS source FROM ask AS p LEFT JOIN day AS a ON p.user_id = a.user_id AND p.pick = a.source AND p.error_code IS NULL
@@ -780,6 +831,57 @@ def walk_features_batch(spark, d):
     return out.select("user_id", "client", "purpose", "tool", F.col("error.code").alias("error_code"), "days", "total_steps", "avg_steps", "min_steps", "max_steps", F.col("provenance")["source"].alias("source"))
 
 
+@query(
+    JOB + f""", ask AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id % 4 END AS page, user_id % 3 AS skip FROM pick WHERE early IS NULL AND pick IS NOT NULL AND lower(trim(purpose)) <> 'modeling'),
+ hits AS (SELECT p.*, a.steps, row_number() OVER (PARTITION BY p.user_id, p.client, p.purpose, p.tool ORDER BY a.date) AS n FROM ask AS p JOIN day AS a ON p.user_id = a.user_id AND p.pick = a.source
+  AND a.date >= CASE WHEN p.user_id % 2 = 0 THEN DATE '{AS_OF}' - INTERVAL 365 DAY ELSE DATE '2024-01-10' END AND a.date <= DATE '{AS_OF}'),
+ cut AS (SELECT user_id, client, purpose, tool, count(*) AS n_records, CAST(sum(steps) AS BIGINT) AS total_steps FROM hits WHERE n > skip AND (page IS NULL OR n <= skip + page) GROUP BY 1, 2, 3, 4)
+ SELECT p.user_id, p.client, p.purpose, p.tool, coalesce(c.n_records, 0) AS n_records, coalesce(c.total_steps, 0) AS total_steps FROM ask AS p
+ LEFT JOIN cut AS c ON p.user_id = c.user_id AND p.client = c.client AND p.purpose = c.purpose AND p.tool = c.tool"""
+)
+def fetch_pages(spark, d):
+    """Pages of records: open windows take the last year, limits may be open or zero."""
+    r, c = _job_requests(spark, d)
+    u = F.col("user_id")
+    r = r.withColumns({"start": F.when(u % 2 != 0, F.lit("2024-01-10").cast("date")), "end": F.lit(None).cast("date"), "limit": F.when(u % 3 != 0, (u % 4).cast("int")), "offset": (u % 3).cast("int")})
+    out = jobs.fetch_walk_batch(r, view(spark, d, "rules"), c, _job_records(spark, d), live=LIVE, as_of=AS_OF).where("error IS NULL")
+    total = F.aggregate("records", F.lit(0).cast("bigint"), lambda a, x: a + x["steps"])
+    return out.select("user_id", "client", "purpose", "tool", F.size("records").cast("bigint").alias("n_records"), total.alias("total_steps"))
+
+
+CHAIN = (
+    ctes("activity", "requests", "rules", "connectors", "secrets", "aliases") + RESOLVED + OVERLAID.replace("resolved", "linked") + f""",
+ day AS (SELECT * FROM {LWW} AS q WHERE n = 1), stored AS (SELECT * FROM day WHERE inserted_at % 2 = 0),
+ asked AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN 'arena' ELSE 'stepcloud' END AS prefer, CASE user_id % 4 WHEN 0 THEN 'live' WHEN 1 THEN 'vault' ELSE 'auto' END AS mode,
+  CASE WHEN lower(trim(purpose)) NOT IN ('analytics', 'coaching', 'modeling') THEN 'bad_request' WHEN NOT allow THEN 'denied_by_policy' END AS early FROM resolved),
+ answers AS (SELECT u.user_id, s.source, CASE WHEN c.c_custkey IS NULL OR u.user_id % 10 = 0 OR coalesce(l.token, '') = '' THEN false ELSE EXISTS (SELECT 1 FROM day AS a WHERE a.user_id = u.user_id AND a.source = s.source) END AS ok
+  FROM (SELECT DISTINCT user_id FROM requests) AS u CROSS JOIN (VALUES ('arena'), ('stepcloud')) AS s(source) LEFT JOIN customer AS c ON c.c_custkey = u.user_id LEFT JOIN linked AS l ON l.user_id = u.user_id AND l.source = s.source),
+ kept AS (SELECT user_id, prefer, date, steps FROM (SELECT a.user_id, p.prefer, a.date, a.steps, row_number() OVER (PARTITION BY a.user_id, p.prefer, a.date ORDER BY CASE WHEN a.source = p.prefer THEN 0 ELSE 1 END, a.inserted_at DESC, a.source) AS k
+  FROM stored AS a CROSS JOIN (VALUES ('arena'), ('stepcloud')) AS p(prefer) WHERE a.date BETWEEN DATE '2024-01-05' AND DATE '2024-01-25') AS q WHERE k = 1),
+ chosen AS (SELECT r.*, CASE WHEN mode <> 'live' AND EXISTS (SELECT 1 FROM kept AS k WHERE k.user_id = r.user_id) THEN 'vault' WHEN mode = 'vault' THEN NULL WHEN p.ok THEN r.prefer WHEN o.ok THEN o.source END AS pick
+  FROM asked AS r JOIN answers AS p ON p.user_id = r.user_id AND p.source = r.prefer JOIN answers AS o ON o.user_id = r.user_id AND o.source <> r.prefer),
+ given AS (SELECT user_id, prefer, 'vault' AS source, date, steps FROM kept UNION ALL SELECT user_id, prefer, source, date, steps FROM day CROSS JOIN (VALUES ('arena'), ('stepcloud')) AS p(prefer)
+  WHERE source <> 'manual' AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-25')"""
+)
+
+
+@query(
+    CHAIN + """ SELECT c.user_id, c.client, c.purpose, c.tool, CASE WHEN early IS NOT NULL THEN early WHEN pick IS NULL THEN CASE mode WHEN 'vault' THEN 'vault_empty' ELSE 'all_sources_failed' END
+ WHEN lower(trim(c.purpose)) = 'modeling' THEN 'not_supported' END AS error_code, CASE WHEN early IS NULL THEN pick END AS selected_source, count(g.steps) AS n_records, coalesce(CAST(sum(g.steps) AS BIGINT), 0) AS total_steps
+ FROM chosen AS c LEFT JOIN given AS g ON g.user_id = c.user_id AND g.prefer = c.prefer AND g.source = c.pick AND c.early IS NULL AND lower(trim(c.purpose)) <> 'modeling' GROUP BY c.user_id, c.client, c.purpose, c.tool, early, pick, mode"""
+)
+def fetch_walk(spark, d):
+    """Policy, connectors, store and live sources in one chain."""
+    u = F.col("user_id")
+    r = _job_requests(spark, d)[0].withColumn("prefer_data", F.when(u % 4 == 0, "live").when(u % 4 == 1, "vault").otherwise("auto"))
+    day = store.last_write_wins(view(spark, d, "activity")).withColumn("kcalories", F.col("steps") / 20)
+    live = day.where(F.col("source").isin(*LIVE)).select("source", "user_id", "date", "steps", "kcalories", F.concat(F.lit("p"), "user_id").alias("player_id"))
+    users = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("user_id")).where("user_id % 10 <> 0")
+    out = jobs.fetch_walk(r, view(spark, d, "rules"), users, _resolved(spark, d), live, day.where("inserted_at % 2 = 0"), live=LIVE)
+    total = F.coalesce(F.aggregate("records", F.lit(0).cast("bigint"), lambda a, x: a + x["steps"]), F.lit(0))
+    return out.select("user_id", "client", "purpose", "tool", F.col("error.code").alias("error_code"), "selected_source", F.coalesce(F.size("records"), F.lit(0)).cast("bigint").alias("n_records"), total.alias("total_steps"))
+
+
 @query(
     JOB.replace("requests AS (", "reqs AS (", 1).replace(", rules AS", ", requests AS (SELECT r.user_id, r.client, r.tool, r.purpose AS base, p.purpose FROM reqs AS r CROSS JOIN (VALUES ('analytics'), ('modeling'), ('coaching')) AS p(purpose)), rules AS", 1)
     .replace("SELECT r.user_id, r.client, r.purpose, r.tool, coalesce(t.allow", "SELECT r.user_id, r.client, r.purpose, r.base, r.tool, coalesce(t.allow", 1)
@@ -815,13 +917,63 @@ def _stream(spark, d) -> DataFrame:
     return spark.sql(ACCESS_LOG, events=events)
 
 
+def _landed(spark, d, name: str, parts: list, rows=None) -> tuple[DataFrame, str]:
+    """(stream of one file a micro-batch, its folder): rows of the access log, landed part by part."""
+    rows = view(spark, d, "access_log") if rows is None else rows
+    path = f"{streams.folders(spark)}_{name}"
+    streams.land(rows, parts, path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path), path
+
+
 @query(
     ctes("access_log") + """, w AS (SELECT epoch_us(ts) AS us, client_id, name, unnest(range(0, 12)) AS k FROM access_log WHERE error_code = 'denied_by_policy'),
  b AS (SELECT CAST(us - us % 300000000 - k * 300000000 AS BIGINT) AS window_start, us, client_id, name FROM w)
- SELECT window_start, client_id, name, count(*) AS n FROM b WHERE us < window_start + 3600000000 AND window_start + 3600000000 <= (SELECT max(us) FROM w) - 600000000 GROUP BY 1, 2, 3 HAVING count(*) >= 3"""
+ SELECT window_start, client_id, name, count(*) AS n FROM b WHERE us < window_start + 3600000000 GROUP BY 1, 2, 3 HAVING count(*) >= 3"""
 )
 def stream_denials(spark, d):
-    return streams.run_to_end(streams.stream_denials(_stream(spark, d)), "append")
+    """Alerts in update mode over four micro-batches, those of windows that are still open included; each alert's last state."""
+    days = F.dayofmonth("ts")
+    events, _ = _landed(spark, d, "denials", [days <= 8, (days > 8) & (days <= 16), (days > 16) & (days <= 24), days > 24])
+    changes = streams.run_to_end(streams.stream_denials(events), "update")
+    return streams.merged(changes, "window_start", "client_id", "name")
+
+
+LATE_BATCHES = """, b AS (SELECT *, CASE WHEN event_id % 10 = 3 THEN 2 WHEN extract(day FROM ts) <= 10 THEN 0 WHEN extract(day FROM ts) <= 20 THEN 1 ELSE 3 END AS batch FROM access_log),
+ m AS (SELECT batch, max(ts) AS top FROM b GROUP BY batch), h AS (SELECT b.*, (SELECT max(top) FROM m WHERE m.batch < b.batch) AS newest FROM b),
+ r AS (SELECT *, coalesce(ts < newest - INTERVAL 600 SECOND, false) AS late FROM h)"""
+
+
+@query(
+    ctes("access_log") + LATE_BATCHES + """ SELECT CAST(batch AS BIGINT) AS batch, name, sum(CASE WHEN late THEN 0 ELSE 1 END)::BIGINT AS on_time, sum(CASE WHEN late THEN 1 ELSE 0 END)::BIGINT AS late,
+ sum(CASE WHEN late THEN event_id ELSE 0 END)::BIGINT AS late_ids FROM r GROUP BY 1, 2"""
+)
+def stream_late_rows(spark, d):
+    """A tenth of the log comes after its time: four micro-batches, every row on time or in quarantine, by batch and tool."""
+    late, day = F.col("event_id") % 10 == 3, F.dayofmonth("ts")
+    rows, path = _landed(spark, d, "late", [~late & (day <= 10), ~late & (day > 10) & (day <= 20), late, ~late & (day > 20)])
+    out = f"{path}_routed"
+    streams.route_late(rows, out, f"{out}_checkpoint").start().awaitTermination()
+    kept, gone = streams.read_routed(spark, out, rows.schema)
+    both = kept.withColumn("late", F.lit(False)).unionByName(gone.withColumn("late", F.lit(True)))
+    return both.groupBy("batch", "name").agg(F.count_if(~F.col("late")).alias("on_time"), F.count_if("late").alias("late"), F.sum(F.when(F.col("late"), F.col("event_id")).otherwise(0)).alias("late_ids"))
+
+
+@query(
+    ctes("access_log") + """, c AS (SELECT *, CAST(floor(event_id / 4) AS BIGINT) AS k FROM access_log), g AS (SELECT * FROM c WHERE layer = 'gateway' AND k % 7 > 0), s AS (SELECT * FROM c WHERE layer = 'sources' AND k % 5 > 0)
+ SELECT coalesce(g.corr_id, s.corr_id) AS corr_id, g.event_id AS gateway_id, s.event_id AS source_id, g.name AS gateway_tool FROM g FULL JOIN s ON g.corr_id = s.corr_id
+ AND s.ts BETWEEN g.ts - INTERVAL 5 MINUTE AND g.ts + INTERVAL 5 MINUTE"""
+)
+def stream_correlate(spark, d):
+    """Two layers as streams, some requests without the other layer; an event of each layer a month later closes them all."""
+    log = view(spark, d, "access_log")
+    k = F.floor(F.col("event_id") / 4)
+    end = log.limit(1).withColumns({"ts": F.lit("2034-01-01 00:00:00").cast("timestamp_ntz"), "corr_id": F.lit("end")})
+    sides = []
+    for layer, kept in (("gateway", k % 7 > 0), ("sources", k % 5 > 0)):
+        rows = log.where((F.col("layer") == layer) & kept).unionByName(end)
+        sides.append(_landed(spark, d, layer, [F.col("corr_id") != "end", F.col("corr_id") == "end"], rows)[0])
+    out = streams.run_to_end(streams.stream_correlate(*sides, within="5 MINUTES"), "append").where("corr_id <> 'end'")
+    return out.select("corr_id", F.col("gateway.event_id").alias("gateway_id"), F.col("sources.event_id").alias("source_id"), F.col("gateway.name").alias("gateway_tool"))
 
 
 @query(ctes("access_log") + " SELECT CAST(epoch_us(ts) - epoch_us(ts) % 3600000000 AS BIGINT) AS window_start, name, client_id, count(*) AS calls, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS ok_calls FROM access_log WHERE epoch_us(ts) - epoch_us(ts) % 3600000000 + 3600000000 <= (SELECT max(epoch_us(ts)) FROM access_log) - 600000000 GROUP BY 1, 2, 3")
@@ -851,7 +1003,14 @@ def stream_redact(spark, d):
     return streams.run_to_end(out.select("event_id", "subject_hash", F.col("args.user_id").alias("user_id")), "append")
 
 
-@query(ctes("access_log") + " SELECT user_id, max(event_id) AS latest_event_id FROM access_log GROUP BY user_id")
+@query(
+    ctes("access_log") + """, m AS (SELECT user_id, max(CASE WHEN event_id % 3 = 0 THEN event_id ELSE -1 END) AS a, max(CASE WHEN event_id % 3 = 1 THEN event_id ELSE -1 END) AS b,
+  max(CASE WHEN event_id % 3 = 2 THEN event_id ELSE -1 END) AS c FROM access_log GROUP BY user_id)
+ SELECT user_id, greatest(a, b, c) AS latest_event_id, CAST(CASE WHEN a >= 0 THEN 1 ELSE 0 END + CASE WHEN b > a THEN 1 ELSE 0 END + CASE WHEN c > greatest(a, b) THEN 1 ELSE 0 END AS BIGINT) AS changes FROM m"""
+)
 def stream_latest(spark, d):
-    out = streams.stream_latest(_stream(spark, d), "user_id", "ts", "event_id")
-    return streams.run_to_end(out.select("user_id", "latest_event_id"), "complete")
+    """The newest event of each user, from three micro-batches that cover the same days: a row per change, the last one counts."""
+    part = F.col("event_id") % 3
+    rows, _ = _landed(spark, d, "latest", [part == k for k in range(3)])
+    changes = streams.run_to_end(streams.stream_latest(rows, "user_id", "ts", "event_id", ttl=60 * 86400, late="40 days"), "update")
+    return streams.merged(changes, "user_id").select("user_id", F.col("latest_event_id"), "changes")

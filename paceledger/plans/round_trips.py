@@ -14,7 +14,7 @@ from paceledger.plans import jobs
 from paceledger.plans.queries import AS_OF, BEST, BOTH, CONNECTED, INTROSPECTION, LWW, MATRIX, POLICY, PREFIX, SALT, SHIFTED, _plays, _quiz, _resolved, _scaled_sql, best, query, shifted, text
 from paceledger.plans.views import ctes, view
 from paceledger.session import shared_dir
-from paceledger.sources import readers, writers
+from paceledger.sources import landing, readers, writers
 from paceledger.streaming import streams
 
 
@@ -123,6 +123,36 @@ def ingest(spark, d):
     return stored.unionByName(bad.select("user_id", F.substring("date", 1, 10).alias("date"), F.lit("walks").alias("source"), "steps", "duration_s", F.array_join("violations", ";").alias("place")))
 
 
+#: Every fortieth line of the dump is cut off.
+CUT = 40
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """(id, value): the dump's lines, some of them cut off."""
+    whole = spark.read.text(_dump(spark, d))
+    key = F.get_json_object("value", "$.id").cast("bigint")
+    return whole.select(key.alias("id"), F.when(key % CUT == 7, F.expr("left(value, length(value) - 9)")).otherwise(F.col("value")).alias("value"))
+
+
+@query(
+    f"""SELECT descriptor AS place, CAST(day AS STRING) AS day, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT *, CAST(ts AS DATE) AS day, CASE event_id % 3 WHEN 0 THEN 'gds' WHEN 1 THEN 'walk' ELSE 'run' END AS descriptor FROM events) AS q
+ WHERE event_id % {CUT} <> 7 AND day BETWEEN DATE '2024-01-03' AND DATE '2024-01-09' AND descriptor <> 'run' GROUP BY 1, 2
+ UNION ALL SELECT 'broken', CAST(event_id % 2 AS STRING), count(*), CAST(sum(event_id) AS BIGINT) FROM events WHERE event_id % {CUT} = 7 GROUP BY event_id % 2"""
+)
+def landed_activities(spark, d):
+    """A dump that comes in two runs, read once: a window of two descriptors, and the broken lines by their own text."""
+    lines, path = _lines(spark, d), folder(spark, "drop")
+    for part in (0, 1):
+        lines.where(F.col("id") % 2 == part).select("value").write.mode("append").text(path)
+        landing.land(spark, path, f"{path}-landed", f"{path}-state").start().awaitTermination()
+    out = f"{path}-landed"
+    rows = [landing.scan_landed(spark, out, start="2024-01-03", end="2024-01-09", descriptor=k) for k in ("gds", "walk")]
+    found = store.union_sources(*rows).groupBy(F.col("descriptor").alias("place"), F.to_date(F.timestamp_millis("date")).cast("string").alias("day")).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    key = F.regexp_extract("line", '"id":([0-9]+)', 1).cast("bigint")
+    bad = landing.broken(spark, out).groupBy(F.lit("broken").alias("place"), (key % 2).cast("string").alias("day")).agg(F.count("*").alias("n"), F.sum(key).alias("ids"))
+    return found.unionByName(bad)
+
+
 # ---- registry and policy ------------------------------------------------------------------------------------
 @query(
     """SELECT c_custkey AS user_id, 'walk' AS domain, k AS pos, CASE WHEN k = 0 THEN 'Arena' ELSE 'StepCloud' END AS connected_application, concat('p', CAST(c_custkey AS STRING)) AS player_id
@@ -185,6 +215,15 @@ def append_audit(spark, d):
     return out.select(F.col("request_id").cast("bigint").alias("event_id"), "subject_hash", user.alias("user_id"), F.col("args.args.token").alias("token"), "purpose", "error_code", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
+@query(ctes("access_log") + " SELECT event_id, name, error_code FROM access_log WHERE error_code = 'denied_by_policy' AND client_id = 'AUDIT_APP' ORDER BY ts DESC LIMIT 40")
+def newest_events(spark, d):
+    """The newest denials of a client from the log by day, of which the newest days are read."""
+    path, events = folder(spark, "audit"), _audit(spark, d).drop("layer")
+    writers.append_audit(events, path, SALT)
+    out = readers.newest_events(spark, path, 40, client_id="AUDIT_APP", error_code="denied_by_policy")
+    return out.select(F.col("request_id").cast("bigint").alias("event_id"), "name", "error_code")
+
+
 @query(ctes("access_log") + " SELECT layer, name, count(*) AS n FROM access_log GROUP BY layer, name")
 def scan_audit_layers(spark, d):
     path, events = folder(spark, "layers"), _audit(spark, d)
@@ -209,12 +248,10 @@ def summary_order(spark, d):
     return audit.summary_order(audit.access_summary(view(spark, d, "access_log"), "event_id")).limit(10).select("tool", "purpose", "client", "calls", "last_at")
 
 
-@query(ctes("activity") + BEST + " SELECT user_id, CAST(date AS STRING) AS date, steps FROM (SELECT * FROM best WHERE user_id % 7 = 3) AS q WHERE date = (SELECT min(date) FROM best WHERE user_id % 7 = 3)")
+@query(ctes("activity") + BEST + " SELECT user_id, CAST(date AS STRING) AS date, steps FROM (SELECT *, row_number() OVER (ORDER BY date, user_id) AS n FROM best) AS q WHERE n <= 500")
 def date_order(spark, d):
-    """The rows of the first date, in date order."""
-    rows = store.date_order(best(spark, d).where("user_id % 7 = 3"))
-    first = rows.agg(F.min("date").alias("first"))
-    return rows.join(F.broadcast(first), F.col("date") == F.col("first")).select("user_id", text("date"), "steps")
+    """The first 500 rows in order of date: the order decides which."""
+    return store.date_order(best(spark, d), "user_id").limit(500).select("user_id", text("date"), "steps")
 
 
 @query(
@@ -251,16 +288,16 @@ def transparency_report(spark, d):
 @query(
     f"""WITH {SHIFTED}, v AS (SELECT *, event_id * 37 % 300000 AS sec FROM z) SELECT event_id, CASE WHEN sec < 86400 THEN '' WHEN sec < 172800 THEN '1 day, ' ELSE CAST(sec // 86400 AS STRING) || ' days, ' END || CAST(sec % 86400 // 3600 AS STRING) || ':'
  || lpad(CAST(sec % 3600 // 60 AS STRING), 2, '0') || ':' || lpad(CAST(sec % 60 AS STRING), 2, '0') AS hms, strftime(t + to_hours(h), '%Y-%m-%d %H:%M:%S') AS local_time, CASE WHEN event_id % 5 <> 0 THEN CAST(CAST(t AS DATE) AS STRING) END AS loose_date,
- CASE WHEN event_id % 2 = 0 THEN strftime(t, '%Y-%m-%dT23:59:59Z') ELSE strftime(t, '%Y-%m-%d %H:%M:%S') END AS day_end, epoch_us(t) // 1000000 * 1000000000 AS zoned_nanos,
+ CASE WHEN event_id % 2 = 0 THEN strftime(t, '%Y-%m-%dT23:59:59Z') ELSE strftime(t, '%Y-%m-%d %H:%M:%S') END AS day_end, epoch_us(CASE WHEN event_id % 2 = 0 AND t >= TIMESTAMP '2024-10-27 01:00:00' AND t < TIMESTAMP '2024-10-27 02:00:00' THEN t - INTERVAL 1 HOUR ELSE t END) // 1000000 * 1000000000 AS zoned_nanos,
  CASE WHEN event_id % 2 = 0 THEN strftime(t, '%Y-%m-%d') ELSE strftime(t - INTERVAL 365 DAY, '%Y-%m-%d') END AS window_start, CASE WHEN event_id % 3 = 0 THEN event_id END AS json_value, CASE WHEN event_id % 3 <> 0 THEN 'text ' || CAST(event_id AS STRING) END AS json_text FROM v"""
 )
 def scalar_text(spark, d):
     """Durations, local times, loose dates, day bounds, zoned times, default windows and JSON values of all events."""
     k, t = F.col("event_id"), F.col("t")
     stamp = F.date_format(t, "yyyy-MM-dd HH:mm:ss")
-    # local texts of the day that repeats an hour are ambiguous
+    # a local text of the repeated hour means its first pass
     local = F.date_format(F.from_utc_timestamp(t, S.ZONE), "yyyy-MM-dd'T'HH:mm:ss")
-    zoned = S.loose_ts(F.when((k % 2 == 0) & (F.to_date(t) != "2024-10-27"), local).otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")), S.ZONE)
+    zoned = S.loose_ts(F.when(k % 2 == 0, local).otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")), S.ZONE)
     start, _ = S.default_window(F.when(k % 2 == 0, F.to_date(t).cast("timestamp")), F.lit(None).cast("timestamp"), t)
     value = S.as_json(F.when(k % 3 == 0, F.concat(F.lit('{"n": '), k.cast("string"), F.lit("}"))).otherwise(F.concat(F.lit("text "), k.cast("string"))), "n BIGINT")
     out = shifted(spark, d).select(

@@ -22,8 +22,10 @@ SELECT CAST(event_id AS BIGINT) AS event_id, ts, user_id,
        CASE CAST(event_id % 2 AS INT) WHEN 0 THEN 'gateway' ELSE 'sources' END AS layer
 FROM {events}
 """
+#: Purposes as clients write them: in any case and with blanks around.
 REQUESTS = f"""
-SELECT DISTINCT user_id, client_id AS client, coalesce(purpose, 'analytics') AS purpose, name AS tool FROM ({ACCESS_LOG}) AS a
+SELECT user_id, client, tool, CASE CAST(user_id % 5 AS INT) WHEN 1 THEN upper(lane) WHEN 2 THEN concat(' ', lane) WHEN 3 THEN concat(upper(left(lane, 1)), substr(lane, 2), '  ') ELSE lane END AS purpose
+FROM (SELECT DISTINCT user_id, client_id AS client, coalesce(purpose, 'analytics') AS lane, name AS tool FROM ({ACCESS_LOG}) AS a) AS q
 """
 #: Every case of the layers: a default alone, overridden by a client, by a tool, by both; redact lists replaced, also by an empty one; no rule at all.
 RULE_ROWS = (
@@ -42,9 +44,9 @@ RULE_ROWS = (
 )
 #: Example plans by average daily steps (below, tier, message, technique references, rationale).
 TIER_ROWS = (
-    (3000, "seedling", "Leave the house once before noon and walk to the next corner and back.", "1.4 Action planning|7.1 Prompts/cues", "A first fixed outing a day matters more than its length."),
-    (7000, "sapling", "Get off one stop early on the way home three times this week.", "1.2 Problem solving|8.1 Behavioral practice", "Steps tied to errands that happen anyway tend to stay."),
-    (None, "tree", "Pick one longer route for the weekend and invite somebody along.", "8.7 Graded tasks|10.4 Social reward", "The base is there, so variety and company are what is left to gain."),
+    (3000, "seedling", "Leave the house once before noon and walk to the next corner and back.", "5.1 Information about health consequences", "A first fixed outing a day matters more than its length."),
+    (7000, "sapling", "Get off one stop early on the way home three times this week.", "7.1 Prompts/cues|12.1 Restructuring the physical environment|8.3 Habit formation", "Steps tied to errands that happen anyway tend to stay."),
+    (None, "tree", "Pick one longer route for the weekend and invite somebody along.", "3.2 Social support (practical)|13.1 Identification of self as role model|6.2 Social comparison|15.3 Focus on past success", "The base is there, so variety and company are what is left to gain."),
 )
 
 

@@ -7,14 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceledger import schemas
+from paceledger.operators.audit import filter_audit, flatten_audit, recent_events
 from paceledger.operators.connectors import explode_registry
 from paceledger.operators.policy import flatten_policy
 from paceledger.operators.store import date_window
+from paceledger.sources import landing, versions
 
 
 def scan_activities(spark: SparkSession, path: str, start=None, end=None, descriptor: str | None = None) -> DataFrame:
-    """Raw activities, in an inclusive window of UTC dates, of one descriptor if given."""
-    rows = spark.read.schema(schemas.ACTIVITIES).json(path)
+    """Raw activities, in an inclusive window of UTC dates, of one descriptor if given.
+
+    Lines that aren't JSON are left out; ``landing.read_lines`` gives their text,
+    and ``landing.land`` keeps dumps by day and descriptor, so that a window
+    reads its own folders only.
+    """
+    rows = landing.read_lines(spark, path, schemas.ACTIVITIES)[0]
     if descriptor is not None:
         rows = rows.where(F.col("descriptor") == descriptor)
     day = rows.withColumn("_day", F.to_date(F.timestamp_millis("date")))
@@ -31,7 +38,7 @@ def scan_game_logs(spark: SparkSession, playthroughs: str, engagement: str, desc
 
 def scan_fit_points(spark: SparkSession, path: str, start_nanos: int | None = None, end_nanos: int | None = None) -> DataFrame:
     """Fit points, those whose start lies in [start_nanos, end_nanos] where bounds are given."""
-    rows = spark.read.schema(schemas.FIT_POINTS).json(path)
+    rows = landing.read_lines(spark, path, schemas.FIT_POINTS)[0]
     low = -(2**62) if start_nanos is None else start_nanos
     high = 2**62 if end_nanos is None else end_nanos
     if start_nanos is None and end_nanos is None:
@@ -40,8 +47,8 @@ def scan_fit_points(spark: SparkSession, path: str, start_nanos: int | None = No
 
 
 def scan_daily(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
-    """The daily store; the window reaches the Parquet scan."""
-    return date_window(spark.read.schema(schemas.DAILY).parquet(path), start, end)
+    """The daily store as it stands; of a window only its days' folders are read."""
+    return versions.read(spark, path, schemas.DAILY, start, end)
 
 
 def scan_registry(spark: SparkSession, path: str) -> DataFrame:
@@ -67,7 +74,44 @@ def scan_policy(spark: SparkSession, path: str, on_missing: str = "raise") -> Da
 
 def scan_audit(spark: SparkSession, *paths: str) -> DataFrame:
     """Audit events; malformed lines are skipped."""
-    return spark.read.schema(schemas.AUDIT).option("mode", "DROPMALFORMED").json(list(paths))
+    return _audit(spark, *paths).drop("day")
+
+
+def _audit(spark: SparkSession, *paths: str) -> DataFrame:
+    """Audit events with the ``day`` of their partition, where the log has such."""
+    rows = spark.read.schema(schemas.AUDIT).option("mode", "DROPMALFORMED").json(list(paths))
+    return rows if "day" in rows.columns else rows.withColumn("day", F.lit(None).cast("date"))
+
+
+def scan_log(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
+    """Flat events of a log by day, in an inclusive window of days; other days' files aren't read."""
+    return flatten_audit(date_window(_audit(spark, path), start, end, "day"))
+
+
+def first_day_needed(spark: SparkSession, path: str, n: int, **predicates) -> str | None:
+    """The day from which on a log by day has n events that meet the predicates: the newest 1, 2, 4, ... days are tried; None if all days are needed.
+
+    Days are folder names, which the driver lists.
+    """
+    folders = sorted((d[4:] for d in versions._names(spark, path) if d.startswith("day=") and d[4:] != versions.NO_DATE), reverse=True)
+    newest = 1
+    while newest <= len(folders):
+        some = filter_audit(scan_log(spark, path, start=folders[newest - 1]), **predicates)
+        if some.limit(n).count() == n:
+            return folders[newest - 1]
+        newest *= 2
+    return None
+
+
+def newest_events(spark: SparkSession, path: str, n: int = 50, most: int | None = None, **predicates) -> DataFrame:
+    """``query_events`` of a log by day, read from its newest days only.
+
+    Events without a day are the oldest. Equal times are in no fixed order, as in
+    ``query_events``.
+    """
+    n = max(1, n if most is None else min(n, most))
+    log = scan_log(spark, path, start=first_day_needed(spark, path, n, **predicates))
+    return recent_events(filter_audit(log, **predicates).drop("day"), n)
 
 
 def scan_audit_layers(spark: SparkSession, *paths: str) -> DataFrame:

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from paceledger import schemas
 from paceledger.operators import audit, store
-from paceledger.session import shared_dir
+from paceledger.session import shared_dir, ship_package
 
 LATE = "10 minutes"
+#: State of its own per key needs the store that keeps it on disk.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def stream_audit(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -21,11 +27,16 @@ def stream_audit(spark: SparkSession, path: str, files_per_batch: int | None = N
 
 
 def timed(events: DataFrame, late: str = LATE) -> DataFrame:
-    """ts as TIMESTAMP with a watermark; later events than that are dropped by the windows below."""
+    """ts as TIMESTAMP with a watermark; later events than that are dropped by the windows below. ``route_late`` keeps them."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
 def stream_denials(events: DataFrame, min_denies: int = 3, window: str = "1 hour", slide: str = "5 minutes") -> DataFrame:
+    """Windows in which a tool was denied to a client ``min_denies`` times or more.
+
+    In update mode an alert comes in the micro-batch that reaches the threshold,
+    and again whenever its count grows; ``merged`` keeps each alert's last state.
+    """
     denied = timed(events).where(F.col("error_code") == audit.DENIED)
     counts = denied.groupBy(F.window("ts", window, slide).alias("w"), "client_id", "name").agg(F.count("*").alias("n"))
     return counts.where(F.col("n") >= min_denies).select(F.unix_micros("w.start").alias("window_start"), "client_id", "name", "n")
@@ -49,10 +60,92 @@ def stream_redact(events: DataFrame, salt: str) -> DataFrame:
     return audit.seal(events, salt)
 
 
-def stream_latest(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.max_by(value, order).alias(f"latest_{value}"), F.max(order).alias(f"latest_{order}"))
+# ---- two layers -----------------------------------------------------------------------------------------------
+def stream_correlate(gateway: DataFrame, sources: DataFrame, within: str = "1 hour", late: str = LATE) -> DataFrame:
+    """Events of two layers with one corr_id at most ``within`` apart: (corr_id, gateway, sources), structs of the rows.
+
+    An outer join: an event whose other layer never comes has NULL there, and
+    comes out once the watermark has passed the time in which it could have come.
+    Both layers' state ends there too, so it is bounded by ``within`` and ``late``.
+    Events without a corr_id belong to no request and aren't reported.
+    """
+    span = F.expr(f"INTERVAL {within}")
+
+    def side(events: DataFrame, prefix: str) -> DataFrame:
+        events = timed(events.where("corr_id IS NOT NULL"), late)
+        return events.select(F.col("corr_id").alias(f"{prefix}_corr"), F.col("ts").alias(f"{prefix}_ts"), F.struct(*[c for c in events.columns if c != "corr_id"]).alias(prefix))
+
+    left, right = side(gateway, "gateway"), side(sources, "sources")
+    near = (F.col("sources_ts") >= F.col("gateway_ts") - span) & (F.col("sources_ts") <= F.col("gateway_ts") + span)
+    both = left.join(right, (F.col("gateway_corr") == F.col("sources_corr")) & near, "full_outer")
+    return both.select(F.coalesce("gateway_corr", "sources_corr").alias("corr_id"), "gateway", "sources")
+
+
+# ---- the newest value of each key -----------------------------------------------------------------------------
+class Newest(StatefulProcessor):
+    """Keeps the newest (time, value) of a key, until the watermark is ``ttl_ms`` past its last change, and emits a row for each change and one when it ends."""
+
+    def __init__(self, key: str, ts: str, value: str, state: T.StructType, ttl_ms: int) -> None:
+        self.key, self.ts, self.value, self.state, self.ttl_ms = key, ts, value, state, ttl_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", self.state)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        best = None
+        for part in rows:
+            top = part.sort_values(["event_us", self.value], na_position="first").iloc[-1]
+            found = (int(top["event_us"]), None if pd.isna(top[self.value]) else top[self.value])
+            best = found if best is None else max(best, found, key=_rank)
+        had = self.newest.get() if self.newest.exists() else None
+        if best is None or (had is not None and _rank(best) <= _rank((had[0], had[1]))):
+            return
+        changes = 1 + (had[2] if had is not None else 0)
+        self.newest.update((best[0], best[1], changes))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(best[0] // 1000 + self.ttl_ms)
+        yield self._row(key, best, changes, "changed")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.newest.exists():
+            had = self.newest.get()
+            self.newest.clear()
+            yield self._row(key, (had[0], had[1]), had[2], "expired")
 
+    def close(self) -> None:
+        pass
 
+    def _row(self, key, best: tuple, changes: int, event: str) -> pd.DataFrame:
+        return pd.DataFrame({self.key: [key[0]], f"latest_{self.value}": [best[1]], "latest_at": [best[0]], "changes": [changes], "event": [event]})
+
+
+def _rank(pair: tuple) -> tuple:
+    return (pair[0], pair[1] is not None, pair[1] if pair[1] is not None else 0)
+
+
+def stream_latest(rows: DataFrame, key: str, ts: str, value: str, ttl: int = 30 * 86400, late: str = "1 day") -> DataFrame:
+    """The value with the newest ``ts`` of each key: (key, latest value, latest_at in microseconds, changes, event).
+
+    One row per change, in update mode, and none for rows that are older than
+    what is known. A key's state ends once the watermark is ``ttl`` seconds past
+    its last change, with a row whose event is ``expired``; if the key comes again
+    it starts anew. So the state is bounded by the keys seen within that time.
+    Rows without a key or time are left out, equal times go by value.
+    """
+    spark = rows.sparkSession
+    ship_package(spark)
+    spark.conf.set(*STATE_STORE)
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    state = T.StructType([T.StructField("at", T.LongType()), T.StructField("value", kinds[value]), T.StructField("changes", T.LongType())])
+    out = T.StructType([T.StructField(key, kinds[key]), T.StructField(f"latest_{value}", kinds[value]), T.StructField("latest_at", T.LongType()), T.StructField("changes", T.LongType()), T.StructField("event", T.StringType())])
+    known = rows.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    known = known.select(key, ts, F.unix_micros(ts).alias("event_us"), value)
+    return known.groupBy(key).transformWithStateInPandas(statefulProcessor=Newest(key, ts, value, state, 1000 * ttl), outputStructType=out, outputMode="Update", timeMode="EventTime")
+
+
+# ---- sinks ----------------------------------------------------------------------------------------------------
 def stream_upsert_daily(rows: DataFrame, path: str, checkpoint: str):
     """Write each micro-batch through to the store. Batches replace by key with seq inside the batch, so a replay changes nothing."""
     from paceledger.sources import writers
@@ -64,21 +157,100 @@ def stream_upsert_daily(rows: DataFrame, path: str, checkpoint: str):
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def write_changes(stream: DataFrame, path: str, checkpoint: str, mode: str = "update"):
+    """A writer of what each micro-batch emits, one folder a batch: a batch that is repeated replaces its own folder and nothing else."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def read_changes(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows that ``write_changes`` wrote, with their ``batch``; none where no batch has been."""
+    empty = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("batch", T.LongType())]))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return empty
+    return spark.read.schema(empty.schema).parquet(path)
+
+
+def merged(changes: DataFrame, *keys: str, order: str = "batch") -> DataFrame:
+    """The last state of each key among changes."""
+    rest = [c for c in changes.columns if c not in (*keys, order)]
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_last")).select(*keys, "_last.*")
+
+
+def route_late(rows: DataFrame, path: str, checkpoint: str, late_s: int = 600, ts: str = "ts"):
+    """A writer that sends every row to ``path`` as on time or late, one folder a micro-batch; ``read_routed`` reads both.
+
+    A row is late if its time lies more than ``late_s`` seconds before the newest
+    of all earlier micro-batches, which is Spark's own watermark for it: a stateful
+    operator would drop it without a count. Rows without a time are late. Each
+    batch leaves the newest time so far beside its rows, so a batch that is
+    repeated finds the same watermark and replaces its own rows only.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        newest = F.lit(None).cast("timestamp")
+        if batch_id:
+            newest = F.lit(spark.read.schema("newest timestamp").parquet(f"{path}/newest/batch={batch_id - 1}").first()[0])
+        marked = batch.withColumn("late", is_late(F.col(ts).cast("timestamp"), newest, late_s))
+        marked.write.mode("overwrite").partitionBy("late").parquet(f"{path}/rows/batch={batch_id}")
+        written = spark.read.schema(marked.schema).parquet(f"{path}/rows/batch={batch_id}")
+        written.agg(F.greatest(F.max(F.col(ts).cast("timestamp")), newest).alias("newest")).coalesce(1).write.mode("overwrite").parquet(f"{path}/newest/batch={batch_id}")
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def is_late(ts: Column, newest: Column, late_s: int) -> Column:
+    return ts.isNull() | F.coalesce(ts < newest - F.make_interval(secs=F.lit(late_s)), F.lit(False))
+
+
+def read_routed(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows on time, late rows), each with the ``batch`` that brought it."""
+    kinds = T.StructType([*schema.fields, T.StructField("batch", T.LongType()), T.StructField("late", T.BooleanType())])
+    rows = spark.read.schema(kinds).parquet(f"{path}/rows")
+    return rows.where("NOT late").drop("late"), rows.where("late").drop("late")
+
+
+def late_counts(on_time: DataFrame, late: DataFrame) -> DataFrame:
+    """(batch, on_time, late): how many rows of each micro-batch went where."""
+    both = on_time.select("batch", F.lit(0).alias("late")).unionByName(late.select("batch", F.lit(1).alias("late")))
+    return both.groupBy("batch").agg(F.count_if(F.col("late") == 0).alias("on_time"), F.count_if(F.col("late") == 1).alias("late"))
+
+
+def folders(spark: SparkSession) -> str:
+    """A new folder in the shared storage, for a stream's output and checkpoint."""
+    return f"{shared_dir(spark)}/paceledger_{uuid.uuid4().hex}"
+
+
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all that is there now and return what it wrote.
 
     Executors write the rows to Parquet in the shared folder: append mode by the
-    file sink, complete mode as one table that each micro-batch replaces. In
-    append mode windows and sessions come out once the watermark has passed their
-    end, so those that are still open at the end of the data stay in the state.
+    file sink, update mode as one folder a micro-batch, whose number is the column
+    ``batch``, complete mode as one table that each micro-batch replaces. In append mode windows and sessions come out once the watermark has
+    passed their end, so those that are still open at the end of the data stay in
+    the state; in update mode they come out as they are.
     """
-    spark = stream.sparkSession
-    state = f"{shared_dir(spark)}/paceledger_{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True)
+    spark, path = stream.sparkSession, folders(stream.sparkSession)
     if mode == "append":
-        writer.format("parquet").option("path", f"{state}/rows").start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{state}/rows")
-    # a source without data makes no micro-batch
-    spark.createDataFrame([], stream.schema).write.parquet(f"{state}/rows")
-    writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{state}/rows")).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{state}/rows")
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+        writer.format("parquet").option("path", f"{path}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    if mode == "complete":
+        # a source without data makes no micro-batch
+        spark.createDataFrame([], stream.schema).write.parquet(f"{path}/rows")
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+        writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/rows")).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    write_changes(stream, f"{path}/rows", f"{path}/checkpoint", mode).start().awaitTermination()
+    return read_changes(spark, f"{path}/rows", stream.schema)
+
+
+def land(rows: DataFrame, parts: list[Column], path: str) -> None:
+    """Land the rows of each condition at ``path``, one after another, as a file stream with one file a batch will read them."""
+    for part in parts:
+        rows.where(part).coalesce(1).write.mode("append").parquet(path)

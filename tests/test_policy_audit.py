@@ -1,8 +1,11 @@
+import datetime as dt
 import json
 import os
+import re
 
 from pyspark.sql import functions as F
 
+from paceledger import schemas
 from paceledger.functions import redact as R
 from paceledger.operators import audit, connectors, games, policy
 from paceledger.plans import jobs
@@ -32,6 +35,32 @@ def test_tool_layer_overrides_client_layer(spark, tmp_path):
     assert got[("X", "coaching", "x")] == (True, [])
 
 
+def test_purposes_meet_in_any_case_and_with_blanks(spark, tmp_path):
+    """A denied purpose stays denied however it is written, and keeps its redact list; the request's text stays."""
+    written = ["modeling", "MODELING", " Modeling ", "\tmodeling\n"]
+    req = spark.createDataFrame([("X", p, "fetch") for p in written] + [("X", " ANALYTICS", "other"), ("X", None, "fetch"), ("X", "nothing", "fetch")], "client string, purpose string, tool string")
+    got = {r.purpose: r for r in policy.deny(policy.resolve_policy(req, rules(spark, tmp_path))).collect()}
+    assert all(not got[p].allow and got[p].error.code == "denied_by_policy" for p in written)
+    assert got[" ANALYTICS"].redact == ["records.kcal"] and got[" ANALYTICS"].error is None
+    assert got[None].error.code == got["nothing"].error.code == "bad_request"
+    # rules may be written in any case too; of two that then agree the denial holds
+    twice = spark.createDataFrame([("default", None, "Modeling", True, ["a"]), ("default", None, "modeling ", False, None), ("tool", "t", " ANALYTICS", None, ["x", "y"])], "layer string, key string, purpose string, allow boolean, redact array<string>")
+    one = {r.purpose: (r.allow, r.redact) for r in policy.resolve_policy(spark.createDataFrame([("c", "modeling", "t"), ("c", "analytics", "t")], "client string, purpose string, tool string"), twice).collect()}
+    assert one == {"modeling": (False, []), "analytics": (True, ["x", "y"])}
+    payloads = req.withColumn("records", F.array(F.struct(F.lit(5).alias("kcal"))))
+    masked = {r.purpose: (r.error and r.error.code, r.records[0].kcal) for r in policy.enforce_policy(payloads, rules(spark, tmp_path), ["records.kcal"]).collect()}
+    assert masked[" ANALYTICS"] == (None, R.TOKEN) and all(masked[p][0] == "denied_by_policy" for p in written)
+
+
+def test_rules_valid_in_time(spark):
+    at = lambda s: s and dt.datetime.fromisoformat(s)
+    kind = "layer string, key string, purpose string, allow boolean, redact array<string>, valid_from timestamp, valid_to timestamp"
+    rows = [("default", None, "analytics", True, ["a"], None, at("2024-01-10")), ("default", None, "analytics", False, None, at("2024-01-10"), None), ("tool", "t", "ANALYTICS", True, ["b"], at("2024-01-20"), at("2024-01-25")), ("tool", "t", "analytics", False, None, at("2024-01-22"), at("2024-01-23"))]
+    req = spark.createDataFrame([(i, "c", "Analytics", "t", at(s)) for i, s in enumerate(("2024-01-01", "2024-01-10", "2024-01-20", "2024-01-22 12:00:00", "2024-01-23", "2024-01-25", None))], "id int, client string, purpose string, tool string, ts timestamp")
+    got = {r.id: (r.allow, r.redact) for r in policy.explain_policy_at(req, spark.createDataFrame(rows, kind)).collect()}
+    assert got == {0: (True, ["a"]), 1: (False, []), 2: (True, ["b"]), 3: (False, []), 4: (True, ["b"]), 5: (False, []), 6: (True, [])}
+
+
 def test_missing_policy(spark, tmp_path):
     assert readers.scan_policy(spark, str(tmp_path / "none.json"), on_missing="allow").count() == 0
 
@@ -45,6 +74,16 @@ def test_redaction(spark):
     text = '{"token": "a\\"b", "x": {"API_KEY": 5, "keep": "token"}}'
     masked = spark.createDataFrame([(text,)], "t string").select(R.redact_json_keys(F.col("t")).alias("t")).first().t
     assert json.loads(masked) == {"token": R.TOKEN, "x": {"API_KEY": R.TOKEN, "keep": "token"}}
+    cases = {
+        '{"token": ["abc"], "api_key": {"v": "secret"}, "token ": "x"}': {"token": R.TOKEN, "api_key": R.TOKEN, "token ": R.TOKEN},
+        '[{"a": [[{"\\u0074oken": null, "b": "]}"}]]}]': [{"a": [[{"token": R.TOKEN, "b": "]}"}]]}],
+        '{"Authorization": " BEARER q", "n": 1.50}': {"Authorization": f"Bearer {R.TOKEN}", "n": 1.5},
+        "{}": {}, "5": 5, '"token"': "token",
+    }
+    rows = spark.createDataFrame([(t,) for t in [*cases, '{"token": "cut', "", "[" * 50_000, None]], "t string")
+    found = {r.t: r.m for r in rows.select("t", R.redact_json_keys(F.col("t")).alias("m")).collect()}
+    assert {t: json.loads(found[t]) for t in cases} == cases
+    assert [found['{"token": "cut'], found[""], found["[" * 50_000], found[None]] == [R.TOKEN] * 3 + [None]
 
 
 def test_subject_hash(spark):
@@ -87,7 +126,7 @@ def test_complete_results_are_files(spark, tmp_path):
     """Complete mode leaves its table in the shared folder, not in the driver; a source without rows gives none."""
     path = events(spark, tmp_path)
     stream = streams.stream_audit(spark, f"{path}/gateway")
-    got = streams.run_to_end(streams.stream_latest(stream, "client_id", "ts", "corr_id"), "complete")
+    got = streams.run_to_end(streams.stream_access_counts(stream), "complete")
     assert got.inputFiles() and got.count() == 2
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("paceledger_")]
     (tmp_path / "none").mkdir()
@@ -128,6 +167,10 @@ def test_subject_is_found_depth_first(spark):
     assert df.select(audit.find_user(df)).first()[0] == "deep"
     own = spark.sql("SELECT named_struct('a', named_struct('user_id', 'deep'), 'user_id', 5) AS args")
     assert own.select(audit.find_user(own)).first()[0] == "5"
+    loose = spark.sql("SELECT named_struct('a', 1, ' User_ID', 6) AS args, named_struct('m', map('x', 'y', ' USER_ID ', '8')) AS deep")
+    assert loose.select(audit.find_user(loose)).first()[0] == "6"
+    within = loose.select(F.col("deep").alias("args"))
+    assert within.select(audit.find_user(within)).first()[0] == "8"
     assert spark.sql("SELECT named_struct('a', 1) AS args").select(audit.find_user(spark.sql("SELECT named_struct('a', 1) AS args"))).first()[0] is None
 
 
@@ -201,3 +244,131 @@ def test_no_python_and_no_single_partition_window(spark, tiny):
         plan = QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
         assert not ("Window" in plan and "SinglePartition" in plan)
+
+
+def folder_filters(df):
+    """The conditions by which a scan leaves folders out before it opens a file."""
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    text = df._jdf.queryExecution().executedPlan().toString()
+    found = re.search(r"PartitionFilters: \[(.*?)\](?:, |$)", text)
+    assert found, text
+    return found[1]
+
+
+def batches(spark, folder, rows_of_batch, kind):
+    """Land each batch as a file of its own, to be read one a micro-batch."""
+    for rows in rows_of_batch:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(folder))
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_alert_comes_with_the_batch_that_reaches_the_threshold(spark, tmp_path):
+    kind = "ts timestamp, client_id string, name string, error_code string"
+    row = lambda minute: (dt.datetime(2025, 1, 1, 8, minute), "c", "n", "denied_by_policy")
+    stream = streams.stream_denials(batches(spark, tmp_path / "in", [[row(1)], [row(2), row(3)], [row(4)]], kind), slide="1 hour")
+    path, state = str(tmp_path / "out"), str(tmp_path / "state")
+    streams.write_changes(stream, path, state).start().awaitTermination()
+    changes = streams.read_changes(spark, path, stream.schema)
+    assert sorted((r.batch, r.n) for r in changes.collect() if r.n) == [(1, 3), (2, 4)]
+    # a batch that is repeated replaces its own rows
+    again = changes.where("batch = 2").drop("batch").collect()
+    spark.createDataFrame(again, stream.schema).write.mode("overwrite").parquet(f"{path}/batch=2")
+    assert [r.n for r in streams.merged(streams.read_changes(spark, path, stream.schema), "window_start", "client_id", "name").collect()] == [4]
+    streams.write_changes(stream, path, state).start().awaitTermination()
+    assert streams.read_changes(spark, path, stream.schema).count() == 2
+
+
+def test_late_rows_are_kept_apart(spark, tmp_path):
+    kind = "id int, ts timestamp"
+    at = lambda i, hour, minute=0: (i, dt.datetime(2025, 1, 1, hour, minute))
+    parts = [[at(1, 8), at(2, 12)], [at(3, 11, 55), at(4, 11, 40), (5, None)], [at(6, 9), at(7, 12, 30)], [at(8, 12, 20), at(9, 12, 19)]]
+    stream = batches(spark, tmp_path / "in", parts, kind)
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    streams.route_late(stream, out, state).start().awaitTermination()
+    on_time, late = streams.read_routed(spark, out, stream.schema)
+    # the first batch has no watermark before it; then 11:50 for two batches, then 12:20
+    assert sorted(r.id for r in on_time.collect()) == [1, 2, 3, 7, 8] and sorted(r.id for r in late.collect()) == [4, 5, 6, 9]
+    assert sorted(tuple(r) for r in streams.late_counts(on_time, late).collect()) == [(0, 2, 0), (1, 1, 2), (2, 1, 1), (3, 1, 1)]
+    streams.route_late(stream, out, state).start().awaitTermination()
+    assert streams.read_routed(spark, out, stream.schema)[0].count() == 5
+
+
+def test_newest_value_with_a_row_per_change(spark, tmp_path):
+    """Rows that are older than what is known change nothing; a restart goes on from the checkpoint; a key ends a while after its last change."""
+    kind = "k string, ts timestamp, v string"
+    at = lambda k, minute, v: (k, minute if minute is None else dt.datetime(2025, 1, 1) + dt.timedelta(minutes=minute), v)
+    stream = batches(spark, tmp_path / "in", [[at("a", 1, "x"), at("a", 3, "y"), at("b", 2, None)], [at("a", 2, "old"), at("b", 2, "z"), at(None, 1, "q"), at("c", None, "q")]], kind)
+    path, state = str(tmp_path / "out"), str(tmp_path / "state")
+    latest = streams.stream_latest(stream, "k", "ts", "v", ttl=3600, late="10 minutes")
+    run = lambda: streams.write_changes(latest, path, state).start().awaitTermination(120)
+    rows = lambda: sorted((r.batch, r.k, r.latest_v, r.changes, r.event) for r in streams.read_changes(spark, path, latest.schema).collect())
+    assert run()
+    first = [(0, "a", "y", 1, "changed"), (0, "b", None, 1, "changed"), (1, "b", "z", 2, "changed")]
+    assert rows() == first
+    batches(spark, tmp_path / "in", [[at("a", 50, "new")]], kind)
+    assert run() and rows()[3:] == [(2, "a", "new", 2, "changed")]
+    last = {r.k: r.latest_v for r in streams.merged(streams.read_changes(spark, path, latest.schema), "k").collect()}
+    batch = spark.read.schema(kind).parquet(str(tmp_path / "in")).where("k IS NOT NULL AND ts IS NOT NULL")
+    assert last == {r.k: r.v for r in batch.groupBy("k").agg(F.max_by("v", F.struct("ts", "v")).alias("v")).collect()}
+    # the watermark passes b's last change by more than an hour, and b comes again and starts anew; the others end after it
+    batches(spark, tmp_path / "in", [[at("d", 90, "d")], [at("e", 95, "e")], [at("b", 200, "back")]], kind)
+    assert run()
+    got = [r[1:] for r in rows()[4:]]
+    ended = [("a", "new", 2, "expired"), ("b", "z", 2, "expired"), ("d", "d", 1, "expired"), ("e", "e", 1, "expired")]
+    assert sorted(got) == sorted([*ended, ("b", "back", 1, "changed"), ("d", "d", 1, "changed"), ("e", "e", 1, "changed")])
+
+
+def test_two_layers_of_streams(spark, tmp_path):
+    kind = "ts timestamp, corr_id string, name string"
+    at = lambda c, hour, minute: (dt.datetime(2025, 1, 1, hour, minute), c, f"{c}{hour}")
+    gateway = batches(spark, tmp_path / "g", [[at("both", 8, 0), at("lone", 8, 1), at("far", 8, 2), (dt.datetime(2025, 1, 1, 8), None, "none")], [at("end", 20, 0)]], kind)
+    sources = batches(spark, tmp_path / "s", [[at("both", 8, 5), at("both", 8, 7), at("far", 9, 30), at("only", 8, 3)], [at("end", 20, 1)]], kind)
+    out = streams.run_to_end(streams.stream_correlate(gateway, sources, within="30 MINUTES"), "append")
+    got = [(r.corr_id, r.gateway and r.gateway.name, r.sources and r.sources.name) for r in out.collect() if r.corr_id != "end"]
+    want = [("both", "both8", "both8")] * 2 + [("lone", "lone8", None), ("far", "far8", None), ("far", None, "far9"), ("only", None, "only8")]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_newest_events_read_the_newest_days_only(spark, tmp_path):
+    path = str(tmp_path / "log")
+    one = lambda day, i, client: (f"2025-01-{day:02d}T0{i}:00:00Z", "tool", "n", client, False)
+    rows = [one(day, i, "a" if day % 2 else "b") for day in range(1, 21) for i in range(5)] + [(None, "tool", "n", "a", False)]
+    raw = spark.createDataFrame(rows, "ts string, kind string, name string, client_id string, ok boolean")
+    empty = spark.createDataFrame([], schemas.AUDIT)
+    writers.append_audit(raw.select(*[F.col(c) if c in raw.columns else F.lit(None).cast(empty.schema[c].dataType).alias(c) for c in empty.columns]), path, "salt")
+    assert readers.scan_audit(spark, path).count() == 101 and "day" not in readers.scan_audit(spark, path).columns
+    whole = audit.query_events(audit.flatten_audit(readers.scan_audit(spark, path)), 12, client_id="a")
+    got = readers.newest_events(spark, path, 12, client_id="a")
+    assert [r.ts for r in got.collect()] == [r.ts for r in whole.collect()]
+    assert readers.first_day_needed(spark, path, 12, client_id="a") == "2025-01-13" and readers.first_day_needed(spark, path, 5) == "2025-01-20"
+    assert readers.newest_events(spark, path, 500).count() == 101
+    window = readers.scan_log(spark, path, "2025-01-03", "2025-01-04")
+    assert folder_filters(window).count("day") >= 2 and window.count() == 10
+
+
+def test_fetch_gathers_only_what_is_asked(spark):
+    rec = spark.range(1000).select(F.lit("arena").alias("source"), F.col("id").alias("user_id"), F.lit("2025-01-01").cast("date").alias("date"), F.col("id").alias("steps"), F.lit(1.0).alias("kcalories"), F.lit("p").alias("player_id"))
+    chosen = spark.createDataFrame([(1, "arena", None), (2, "arena", "denied"), (3, "stepcloud", None), (4, None, None)], "user_id bigint, selected_source string, error string")
+    got = jobs.gathered(rec, chosen)
+    assert [(r._user, len(r._rows)) for r in got.collect()] == [(1, 1)]
+
+
+def test_whole_fetch_chain(spark, tmp_path):
+    """Store first, then the preferred live source, each with the reason it failed; one preferred row a day; what came live is stored."""
+    day = dt.date.fromisoformat
+    none = readers.scan_policy(spark, str(tmp_path / "none.json"), on_missing="allow")
+    req = [("r1", 1, "auto", "arena"), ("r2", 1, "auto", "stepcloud"), ("r3", 2, "auto", "arena"), ("r4", 3, "live", "arena"), ("r5", 9, "live", "arena"), ("r6", 2, "vault", "arena")]
+    requests = spark.createDataFrame([(i, u, "X", " Coaching", "t", p, m, None, None) for i, u, m, p in req], "request_id string, user_id bigint, client string, purpose string, tool string, prefer string, prefer_data string, start date, end date")
+    stored = spark.createDataFrame([(1, day("2025-01-01"), "arena", 10, 1.0, 5), (1, day("2025-01-01"), "stepcloud", 20, 1.0, 6), (1, day("2025-01-02"), "manual", 30, 1.0, 1), (2, day("2020-01-01"), "arena", 1, 1.0, 1)], "user_id bigint, date date, source string, steps bigint, kcalories double, inserted_at bigint")
+    live = spark.createDataFrame([("arena", 2, day("2025-01-03"), 7, 1.0, "p2"), ("stepcloud", 3, day("2025-01-03"), 8, 1.0, "p3")], "source string, user_id bigint, date date, steps bigint, kcalories double, player_id string")
+    users = spark.createDataFrame([(1,), (2,), (3,)], "user_id bigint")
+    resolved = spark.createDataFrame([(2, "walk", "arena", "A", "p", "tok"), (3, "walk", "arena", "A", "p", ""), (3, "walk", "stepcloud", "S", "p", "tok")], "user_id bigint, domain string, source string, connected_application string, player_id string, token string")
+    out = jobs.fetch_walk(requests, none, users, resolved, live, stored, live=("arena", "stepcloud"), as_of="2025-01-05", paths=[])
+    got = {r.request_id: r for r in out.collect()}
+    assert [r.steps for r in got["r1"].records] == [10, 30] and [r.steps for r in got["r2"].records] == [20, 30]
+    assert got["r3"].selected_source == "arena" and [r.steps for r in got["r3"].records] == [7]
+    assert got["r4"].selected_source == "stepcloud" and [(a.source, a.ok, a.error_code) for a in got["r4"].attempts] == [("arena", False, "missing_token"), ("stepcloud", True, None)]
+    assert got["r5"].error.code == "all_sources_failed" and {a.error_code for a in got["r5"].attempts} == {"unknown_user"} and got["r6"].error.code == "vault_empty"
+    path = str(tmp_path / "daily")
+    jobs.write_through(out, path, 9, ("arena", "stepcloud"))
+    assert sorted((r.user_id, r.source, r.steps) for r in readers.scan_daily(spark, path).collect()) == [(2, "arena", 7), (3, "stepcloud", 8)]
