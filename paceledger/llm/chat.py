@@ -17,9 +17,10 @@ JSON parser applies.
 Only DataFrame functions are used; each record is formatted where it lies.
 
 Nulls, empties, ties: null roles and texts are empty; an empty array of turns
-has no turns; invalid JSON, null, and a record that lacks a path of every mapping
-or has those of two have null layout and no turns, and ``quarantined`` returns
-them; JSON that the parser may have refused for its length raises an error; a
+has no turns; invalid JSON, null, a record that lacks a path of every mapping or
+has those of two, and one whose array holds anything but objects have null layout
+and no turns, and ``quarantined`` returns them; a message that lacks a field that
+others have is empty there; JSON that the parser may have refused for its length raises an error; a
 conversation is one record, so its rows meet in one task; rows with equal turn
 numbers are ordered by role and text. Input columns named layout, turns,
 formatted or loss_mask are replaced by the results.
@@ -71,25 +72,27 @@ MAPPINGS = (
 JSON_CHARS = 20_000_000
 
 
-def _names(shape: Column) -> Column:
-    """The field names of an OBJECT<...> (or ARRAY<OBJECT<...>>) shape, without those further inside."""
-    flat = F.regexp_replace(shape, "^(ARRAY<)?OBJECT<|>+$", "")
-    for _ in range(8):
-        flat = F.regexp_replace(flat, "<[^<>]*>?", "")
-    return F.transform(F.regexp_extract_all(flat, F.lit("(^|, )`?([^,:`]+)`?: "), 2), F.trim)
+def _has(value: Column, name: str) -> Column:
+    """True where an object has the field, whatever its value is."""
+    return F.try_variant_get(value, f"$.{name}", "variant").isNotNull()
 
 
 def known_paths(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
-    """Those nested field paths of a JSON record that a mapping refers to; NULL for invalid JSON."""
+    """Those nested field paths of a JSON record that a mapping refers to; none for invalid JSON.
+
+    The record's variant is asked for each path, so names are compared as they are.
+    An array with an element that isn't an object has a path of its own, which no
+    mapping has.
+    """
     v = F.try_parse_json(record)
-    top = _names(F.schema_of_variant(v))
-    parts = [F.array_intersect(top, F.array(*[F.lit(f) for f in dict.fromkeys(f for m in mappings for _, f in m.fields)]))] if any(m.fields for m in mappings) else []
+    none = F.array().cast("array<string>")
+    held = lambda condition, path: F.when(condition, F.array(F.lit(path))).otherwise(none)
+    parts = [held(_has(v, f), f) for f in dict.fromkeys(f for m in mappings for _, f in m.fields)]
     for name in dict.fromkeys(m.turns for m in mappings if m.turns):
-        inner = F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
-        wanted = dict.fromkeys(f for m in mappings if m.turns == name for f in (m.role, m.text))
-        held = F.array_intersect(F.when(inner.startswith("ARRAY<OBJECT<"), _names(inner)).otherwise(F.array().cast("array<string>")), F.array(*[F.lit(w) for w in wanted]))
-        found = F.concat(F.array(F.lit(f"{name}[]")), F.transform(held, lambda f: F.concat(F.lit(f"{name}[]."), f)))  # noqa: B023
-        parts.append(F.when(F.array_contains(top, name) & inner.startswith("ARRAY<"), found).otherwise(F.array().cast("array<string>")))
+        rows = F.try_variant_get(v, f"$.{name}", "array<variant>")
+        objects = F.forall(rows, lambda e: F.coalesce(F.schema_of_variant(e).startswith("OBJECT<"), F.lit(False)))
+        parts += [held(objects, f"{name}[]"), held(~objects, f"{name}[] of other things")]
+        parts += [held(F.exists(rows, lambda e: _has(e, w)), f"{name}[].{w}") for w in dict.fromkeys(f for m in mappings if m.turns == name for f in (m.role, m.text))]  # noqa: B023
     return F.array_sort(F.concat(*parts))
 
 

@@ -125,6 +125,15 @@ def test_chat_layouts(spark):
         ('{"prompt":"p"}', None, []),
         ('{"prompt":"p","completion":"c","messages":[{"role":"user","content":"x"}]}', None, []),
         ('{"messages":[{"role":"user"}]}', None, []),
+        ('{"messages":["a","b"]}', None, []),
+        ('{"messages":[{"role":"user","content":"x"},"junk"]}', None, []),
+        ('{"messages":[{"role":"user","content":"x"},null]}', None, []),
+        ('{"messages":[{"role":"user","content":"x"},7,[{"role":"user","content":"x"}]]}', None, []),
+        ('{"messages":null}', None, []),
+        ('{"messages":{"role":"user","content":"x"}}', None, []),
+        ('{"x, prompt: y":1,"completion":"a"}', None, []),
+        ('{"a>b, `prompt`: <x":{"y":"}"},"prompt":"p","completion":"c"}', "prompt_completion", ["p", "c"]),
+        ('{"messages":[{"role":"user","content":"x"},{"role":"assistant"}]}', "messages", ["x", ""]),
         ("[1,2]", None, []),
         ("not json", None, []),
         (None, None, []),
