@@ -87,28 +87,28 @@ def source_rank(source: Column, prefer: Column, prefer_data: Column, live: tuple
     return F.when(source == store, F.when(mode != "live", 1)).otherwise(F.when(mode != "vault", live_rank))
 
 
+TRIES = "array<struct<source:string,ok:boolean,n_records:bigint,error_code:string>>"
+
+
+def tries_of(candidates: DataFrame) -> DataFrame:
+    """(request_id, _tries, prefer, prefer_data): the outcomes of each request, one per source, as ``choose`` takes them."""
+    outcome = F.collect_list(F.struct("source", "ok", F.col("n_records").cast("bigint").alias("n_records"), "error_code")).cast(TRIES)
+    asked = [F.max(c).alias(c) for c in ("prefer", "prefer_data") if c in candidates.columns]
+    return candidates.groupBy("request_id").agg(outcome.alias("_tries"), *asked)
+
+
 def select_source(candidates: DataFrame, live: tuple[str, str], store: str = "vault") -> DataFrame:
     """Per request the first source that succeeds, from (request_id, prefer, prefer_data, source, ok, n_records, error_code).
 
     A store without records counts as failed; a live success without records
     still wins. ``attempts`` has what was tried up to it, in order.
     """
-    tried = candidates.withColumn("rank", source_rank(F.col("source"), F.col("prefer"), F.col("prefer_data"), live, store)).where("rank IS NOT NULL")
-    tried = tried.withColumn("good", F.col("ok") & ((F.col("source") != store) | (F.col("n_records") > 0)))
-    best = tried.groupBy("request_id").agg(
-        F.min(F.when(F.col("good"), F.struct("rank", "source")))["source"].alias("selected_source"),
-        F.min(F.when(F.col("good"), F.col("rank"))).alias("_rank"),
-        F.array_sort(F.collect_list(F.struct("rank", "source", F.col("good").alias("ok"), "error_code"))).alias("attempts"),
-        F.first("prefer_data").alias("_mode"),
-    )
-    made = F.filter("attempts", lambda a: F.col("_rank").isNull() | (a["rank"] <= F.col("_rank")))
-    mode = F.lower(F.trim(F.coalesce("_mode", F.lit("auto"))))
-    error = F.when(F.col("selected_source").isNull(), F.when(mode == "vault", "vault_empty").otherwise("all_sources_failed"))
-    return best.select("request_id", "selected_source", error.alias("error_code"), made.alias("attempts"))
+    rows = tries_of(candidates).withColumn("_chosen", choose(F.col("_tries"), F.col("prefer"), F.col("prefer_data"), live, store))
+    return rows.where(F.size("_chosen.attempts") > 0).select("request_id", "_chosen.selected_source", "_chosen.error_code", "_chosen.attempts")
 
 
 def choose(tries: Column, prefer: Column, prefer_data: Column, live: tuple[str, str], store: str = "vault") -> Column:
-    """``select_source`` inside a row: (selected_source, error_code, attempts) from an array of (source, ok, n_records, error_code)."""
+    """The choice inside a row: (selected_source, error_code, attempts) from an array of (source, ok, n_records, error_code)."""
     tried = F.transform(
         tries,
         lambda t: F.struct(source_rank(t["source"], prefer, prefer_data, live, store).alias("rank"), t["source"].alias("source"), (t["ok"] & ((t["source"] != store) | (t["n_records"] > 0))).alias("ok"), t["error_code"].alias("error_code")),

@@ -35,9 +35,8 @@ def fetch(decided: DataFrame, candidates: DataFrame, records: DataFrame, *, live
         decided = decided.withColumn("start", F.coalesce("start", F.date_sub(upper, days))).withColumn("end", upper)
     outer = decided.where("error IS NULL").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count_if(F.col("start").isNull()).alias("from_ever"), F.count_if(F.col("end").isNull()).alias("to_ever")).first()
     records = store.date_window(records, None if outer["from_ever"] else outer["start"], None if outer["to_ever"] else outer["end"])
-    tries = candidates.groupBy("request_id").agg(F.collect_list(F.struct("source", "ok", "n_records", "error_code")).alias("_tries"))
-    none = F.array().cast("array<struct<source:string,ok:boolean,n_records:bigint,error_code:string>>")
-    tries = tries.select("request_id", F.col("_tries").cast("array<struct<source:string,ok:boolean,n_records:bigint,error_code:string>>").alias("_tries"))
+    tries = connectors.tries_of(candidates).select("request_id", "_tries")
+    none = F.array().cast(connectors.TRIES)
     out = decided.join(tries, "request_id", "left").withColumn("_tries", F.coalesce("_tries", none))
     chosen = F.when(F.col("error").isNull(), connectors.choose(F.col("_tries"), F.col("prefer"), F.col("prefer_data"), live, store_name))
     out = out.withColumn("_chosen", chosen).drop("_tries")
@@ -191,6 +190,12 @@ def trace_report(events: DataFrame, corr_id: str) -> DataFrame:
     return audit.last_trace_rows(audit.project_trace(events.where(F.col("corr_id") == corr_id)))
 
 
+def trace_layers(layers: DataFrame, corr_id: str, order: str = "ts") -> DataFrame:
+    """One request's steps through all layers that logged it, from events of several layers: (n, layer, name, ok, layers)."""
+    whole = audit.correlate_layers(layers.where(F.col("corr_id") == corr_id), order)
+    return whole.select(F.posexplode("steps").alias("n", "s"), F.array_join("layers", ",").alias("layers")).select("n", "s.layer", "s.name", "s.ok", "layers")
+
+
 def ingest(activities: DataFrame, source: str, inserted_at: int, mode: str = "last") -> DataFrame:
     """Raw activities as daily rows, one per user, day and source: the last one written, or (mode="sum") their sum."""
     walks = store.pivot_activity_properties(activities)

@@ -894,9 +894,19 @@ def privacy_lanes(spark, d):
     return out.select("request_id", "purpose", "error_code", F.array_join("provenance_keys", ",").alias("provenance_keys"))
 
 
-@query(ctes("access_log") + f" SELECT name, count(*) AS n {DENIALS} AND client_id = 'AUDIT_APP' AND purpose = 'coaching' AND ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 2592000 SECOND GROUP BY name HAVING count(*) >= 3")
+WATCHED = f"{DENIALS} AND client_id = 'AUDIT_APP' AND purpose = 'coaching' AND ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 2592000 SECOND"
+
+
+@query(
+    ctes("access_log") + f""", d AS (SELECT name, event_id, corr_id, row_number() OVER (PARTITION BY name ORDER BY ts DESC) AS k, count(*) OVER (PARTITION BY name) AS n {WATCHED})
+ SELECT 'alert' AS part, name, max(n) AS n, CAST(NULL AS STRING) AS corr_id FROM d WHERE n >= 3 GROUP BY name UNION ALL SELECT 'evidence', name, k, corr_id FROM d WHERE n >= 3 AND k <= 5"""
+)
 def guardian(spark, d):
-    return jobs.guardian(view(spark, d, "access_log"), client_id="AUDIT_APP", purpose="coaching", as_of="2024-01-31 00:00:00", lookback_s=2592000)[0].select("name", "n")
+    """Alerts, and beside them the last denied calls of each alerting tool."""
+    log = view(spark, d, "access_log")
+    alerts, evidence = jobs.guardian(log, client_id="AUDIT_APP", purpose="coaching", as_of="2024-01-31 00:00:00", lookback_s=2592000)
+    shown = alerts.select(F.lit("alert").alias("part"), "name", "n", F.lit(None).cast("string").alias("corr_id"))
+    return shown.unionByName(evidence.select(F.lit("evidence").alias("part"), "name", F.col("n").cast("bigint").alias("n"), "corr_id"))
 
 
 @query(ctes("access_log") + " SELECT event_id, name AS tool, ms FROM access_log WHERE corr_id = 'c17' ORDER BY event_id DESC LIMIT 12")

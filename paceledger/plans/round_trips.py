@@ -248,7 +248,7 @@ def summary_order(spark, d):
     return audit.summary_order(audit.access_summary(view(spark, d, "access_log"), "event_id")).limit(10).select("tool", "purpose", "client", "calls", "last_at")
 
 
-@query(ctes("activity") + BEST + " SELECT user_id, CAST(date AS STRING) AS date, steps FROM (SELECT *, row_number() OVER (ORDER BY date, user_id) AS n FROM best) AS q WHERE n <= 500")
+@query(ctes("activity") + BEST + " SELECT user_id, CAST(date AS STRING) AS date, steps FROM (SELECT *, row_number() OVER (ORDER BY date, user_id) AS k FROM best) AS q WHERE k <= 500")
 def date_order(spark, d):
     """The first 500 rows in order of date: the order decides which."""
     return store.date_order(best(spark, d), "user_id").limit(500).select("user_id", text("date"), "steps")
@@ -267,12 +267,15 @@ def payload_stats(spark, d):
 
 
 @query(
-    ctes("access_log") + f""", w AS (SELECT * FROM access_log WHERE user_id % 50 = 7 AND user_id = (SELECT min(user_id) FROM access_log WHERE user_id % 50 = 7))
- SELECT 'access' AS part, name || '/' || coalesce(purpose, 'unknown') || '/' || client_id AS item, count(*) AS n FROM w WHERE starts_with(name, '{PREFIX}') AND name NOT IN ('{INTROSPECTION[0]}', '{INTROSPECTION[1]}') GROUP BY 1, 2
+    MATRIX.replace("WITH ", "WITH access_log AS (" + ctes("access_log")[len("WITH access_log AS (") : -1] + "), ", 1) + f""", w AS (SELECT * FROM access_log WHERE user_id = (SELECT min(user_id) FROM access_log WHERE user_id % 50 = 7)),
+ own AS (SELECT *, name || '/' || coalesce(purpose, 'unknown') || '/' || client_id AS item FROM w WHERE starts_with(name, '{PREFIX}') AND name NOT IN ('{INTROSPECTION[0]}', '{INTROSPECTION[1]}'))
+ SELECT 'access' AS part, item, count(*) AS n FROM own GROUP BY item
+ UNION ALL SELECT 'errors', item || '/' || error_code, count(*) FROM own WHERE NOT ok AND error_code IS NOT NULL GROUP BY 2
+ UNION ALL SELECT 'allowed', client || '/' || purpose || '/' || tool, CASE WHEN allow THEN 1 ELSE 0 END FROM resolved
  UNION ALL SELECT 'inventory', event_type, count(*) FROM events WHERE user_id = (SELECT min(user_id) FROM w) GROUP BY 1, 2"""
 )
 def transparency_report(spark, d):
-    """What is stored of one person, and who looked."""
+    """What is stored of one person, what is allowed, who looked, and with what errors."""
     events = view(spark, d, "access_log")
     events = events.withColumn("subject_hash", R.subject_hash(F.col("user_id"), SALT))
     subject = events.where("user_id % 50 = 7").agg(F.min("user_id").alias("u")).select(R.subject_hash(F.col("u"), SALT).alias("h")).first()["h"] or ""
@@ -280,8 +283,24 @@ def transparency_report(spark, d):
     r = view(spark, d, "requests")
     names = [r.select(c).distinct() for c in ("client", "purpose", "tool")]
     parts = jobs.transparency_report(events.withColumn("ts", F.col("event_id")), raw, view(spark, d, "rules"), *names, subject_hash=subject, salt=SALT, prefix=PREFIX, introspection=INTROSPECTION)
-    access = parts["access"].select(F.lit("access").alias("part"), F.concat_ws("/", "tool", "purpose", "client").alias("item"), F.col("calls").alias("n"))
-    return access.unionByName(parts["inventory"].select(F.lit("inventory").alias("part"), F.col("domain").alias("item"), F.col("n_records").alias("n")))
+    item = F.concat_ws("/", "tool", "purpose", "client")
+    row = lambda part, what, n: [F.lit(part).alias("part"), what.alias("item"), n.cast("bigint").alias("n")]
+    errors = parts["errors"].select("tool", "purpose", "client", F.explode("errors").alias("code", "n"))
+    return store.union_sources(
+        parts["access"].select(*row("access", item, F.col("calls"))),
+        errors.select(*row("errors", F.concat_ws("/", item, "code"), F.col("n"))),
+        parts["allowed"].select(*row("allowed", F.concat_ws("/", "client", "purpose", "tool"), F.col("allow").cast("int"))),
+        parts["inventory"].select(*row("inventory", F.col("domain"), F.col("n_records"))),
+    )
+
+
+@query(ctes("access_log") + " SELECT CAST(row_number() OVER (ORDER BY ts) - 1 AS INT) AS n, layer, name, ok, (SELECT string_agg(DISTINCT layer, ',' ORDER BY layer) FROM access_log WHERE corr_id = 'c17') AS layers FROM access_log WHERE corr_id = 'c17'")
+def trace_layers(spark, d):
+    """One request's way through the layers, from the folders of both logs."""
+    path, events = folder(spark, "layers"), _audit(spark, d)
+    for layer in ("gateway", "sources"):
+        events.where(F.col("layer") == layer).drop("layer").write.json(f"{path}/{layer}")
+    return jobs.trace_layers(readers.scan_audit_layers(spark, path).withColumn("at", F.col("request_id").cast("bigint")), "c17", "at")
 
 
 # ---- scalars ------------------------------------------------------------------------------------------------
