@@ -38,7 +38,10 @@ def evaluate(captures: DataFrame, feed: DataFrame, *, url: str = "url", day: str
     spells = intervals(feed)
     seen = hosted.where(F.col("host").isNotNull() & F.col("day").isNotNull()).select("host", "day").distinct()
     labels = F.split("host", "\\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    # parents with as many labels as some entry has: where no entry is a bare "com", no host is looked up there
+    depths = [r[0] for r in spells.select(F.size(F.split("entry", "\\."))).distinct().collect()]
+    levels = F.filter(F.sequence(F.lit(1), F.size(labels)), lambda i: (F.size(labels) - i + 1).isin(depths))
+    parents = F.transform(levels, lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
     candidates = seen.select("host", "day", F.explode(parents).alias("entry"))
     active = candidates.join(spells, "entry").where((F.col("since") <= F.col("day")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))
     verdicts = active.groupBy("host", "day").agg(F.max(F.struct(F.length("entry").alias("n"), "entry", "since")).alias("hit"))
