@@ -5,12 +5,13 @@ level, each about twice the one before, and only windows that repeat at one
 length are extended to the next, until no candidate survives or the length
 asked for is reached:
 
-* Level one has half the length asked for. Of its windows only the winnowed
-  ones count, the lowest hash of each run, chosen so that every window of the
-  length asked for holds at least one. That is a tenth of all windows, and two
-  equal long windows always hold equal ones.
-* Level two has the length asked for: all windows around a repeated one.
-* Further levels double that, if ``longest`` says so. They tell how long the
+* Level one has about FIRST_WORDS words, a half of a half of the length asked
+  for. Of its windows only the winnowed ones count, the lowest hash of each run,
+  chosen so that every window of the length asked for holds at least one. That
+  is one window in fourteen, and two equal long windows always hold equal ones.
+* The next levels double that up to the length asked for: all windows around a
+  repeated one of the level before.
+* Further levels double the length asked for, if ``longest`` says so. They tell how long the
   repeats are, and can't change which words repeats of ``min_words`` cover.
 
 To find repeats, windows meet by hash in one shuffle. Before it, each task
@@ -22,7 +23,8 @@ Results are exact but for collisions of 64-bit window hashes.
 
 Nulls, empties, ties: null text has no words; documents shorter than a window
 keep all words; a repeat inside one document counts; equal rows are documents
-of their own and repeat each other. Rows with null ids are treated alike. Input
+of their own and repeat each other. Rows with null ids are treated alike. A very
+long text is hashed as one slice in one task, about 100 bytes a word. Input
 columns named n_words, n_removed or kept_sha256 are replaced; others are kept.
 """
 
@@ -37,9 +39,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paceledger.llm import words
-from paceledger.session import materialize
+from paceledger.session import discard, materialize
 
 MIN_WORDS = 35
+#: Level one has at most so many words, unless half of the length asked for is less.
+FIRST_WORDS = 9
 #: Text that a task gathers before it settles its own repeats.
 BLOCK_BYTES = 8 << 20
 
@@ -163,9 +167,13 @@ def row_id(doc_id: Column) -> Column:
 def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, longest: int | None = None) -> list[tuple[int, DataFrame]]:
     """[(length, (doc_id, k, places))]: the repeated windows of ``min_words`` words and of each doubled length up to ``longest`` (0: until none survive)."""
     keyed = _keyed(docs, doc_id, text)
-    half = (min_words + 1) // 2
-    found = materialize(repeated(keyed, half, None, 0, min_words), "level-one")
-    found = materialize(repeated(keyed, min_words, found, half, min_words), "repeated")
+    ladder = [(min_words + 1) // 2, min_words]
+    while ladder[0] > FIRST_WORDS:
+        ladder.insert(0, (ladder[0] + 1) // 2)
+    found = materialize(repeated(keyed, ladder[0], None, 0, min_words), "level-one")
+    for have, want in zip(ladder, ladder[1:], strict=False):
+        before, found = found, materialize(repeated(keyed, want, found, have, min_words), "repeated")
+        discard(before)
     out, length = [(min_words, found)], min_words
     while longest is not None and (longest == 0 or 2 * length <= longest) and found.take(1):
         found = materialize(repeated(keyed, 2 * length, found, length, min_words), "longer")
