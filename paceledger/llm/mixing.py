@@ -8,7 +8,7 @@
    blocks in permuted order as long as they fit, ROUNDS times among those that may
    still fit. Blocks of more than 1 / GIANT of what is to be taken, as very long
    documents are, go first with the chance of any other block and else last. What then lacks to the target is filled with single documents, the
-   largest first: documents are taken whole or not at all, and the words taken
+   largest first, and a last one that goes beyond if that is nearer: documents are taken whole or not at all, and the words taken
    come as near as the documents allow.
 3. The quotas of all sources are split recursively between halves of the output
    shards: at each node of the tree the left half draws its blocks from the
@@ -161,17 +161,20 @@ def small(table: DataFrame) -> DataFrame:
 
 
 def fill(sized: DataFrame, rest: DataFrame) -> DataFrame:
-    """(source, key): of documents (source, key, size) those that fill ``rest`` (source, lack) best, the largest first that fits."""
+    """(source, key): of documents (source, key, size) those that fill ``rest`` (source, lack) best: the largest first that fits, and at last the least that doesn't if it comes nearer."""
     rest = small(rest.withColumnRenamed("source", "_source"))
-    fits = sized.where("size > 0").join(rest, sized["source"].eqNullSafe(rest["_source"])).where("size <= lack")
+    fits = sized.where("size > 0").join(rest, sized["source"].eqNullSafe(rest["_source"])).where("size < 2 * lack")
     # rows of one key are drawn together
-    fits = fits.groupBy("source", "key", "lack").agg(F.sum("size").alias("words")).where("words <= lack")
+    fits = fits.groupBy("source", "key", "lack").agg(F.sum("size").alias("words")).where("words < 2 * lack")
     of_class = Window.partitionBy("source", F.floor(F.log2("words"))).orderBy(F.xxhash64(F.lit("fill"), "key"), "key")
     few = fits.withColumn("_n", F.row_number().over(of_class)).where(F.col("_n") <= FILL_A_CLASS)
     every = few.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("words", "key")), asc=False).alias("docs"), F.max("lack").alias("lack"))
     none = F.struct(F.col("lack").cast("bigint").alias("left"), F.array().cast("array<bigint>").alias("keys"))
     take = lambda a, d: F.when(d["words"] <= a["left"], F.struct((a["left"] - d["words"]).alias("left"), F.concat(a["keys"], F.array(d["key"])).alias("keys"))).otherwise(a)
-    return every.select("source", F.explode(F.aggregate("docs", none, take)["keys"]).alias("key"))
+    every = every.withColumn("got", F.aggregate("docs", none, take))
+    over = F.array_min(F.filter("docs", lambda d: (d["words"] > F.col("got.left")) & ~F.array_contains("got.keys", d["key"])))
+    last = F.when(over["words"] - F.col("got.left") < F.col("got.left"), F.array(over["key"])).otherwise(F.array().cast("array<bigint>"))
+    return every.select("source", F.explode(F.concat("got.keys", last)).alias("key"))
 
 
 def chosen(blocks: DataFrame) -> DataFrame:

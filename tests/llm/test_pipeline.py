@@ -48,7 +48,11 @@ def test_stages(spark, tiny):
     before, after = seen["near_dedup"]
     assert sorted(r.doc_id for r in after) == sorted(i for i, v in brute_components([(r.doc_id, r.text) for r in before], 5).items() if v[2])
     before, after = seen["mix_sources"]
-    assert abs(sum(len(words_of(r.text)) for r in after) - sum(len(words_of(r.text)) for r in before)) <= 20
+    words = lambda rows: sum(len(words_of(r.text)) for r in rows)
+    # sources of a few documents each, taken whole
+    assert abs(words(after) - words(before)) <= words(before) / 25
+    whole = {(r.doc_id, r.text) for r in before}
+    assert all((r.doc_id, r.text) in whole for r in after)
     from tokenizers import Tokenizer
 
     from paceledger.llm import bpe
