@@ -12,7 +12,8 @@ third of all captures meets the list once a day, and the verdicts return on
 Nulls, empties, ties: a null or unparsable URL or null day is never blocked and
 has null entry; of several feed rows of one entry and date, "delisted" holds;
 repeated captures are each returned; feed rows with null entry or date are void.
-Feed entries are compared in lower case without final dots. Input columns named
+Feed entries are compared in lower case without final dots. A very long URL is
+matched by one pattern where it lies, in linear time. Input columns named
 host, blocked, entry or since are replaced by the results.
 """
 
