@@ -67,7 +67,7 @@ def land(spark: SparkSession, folder: str, out: str, checkpoint: str, schema: st
 
 def scan_landed(spark: SparkSession, out: str, schema: str = schemas.ACTIVITIES, start=None, end=None, descriptor: str | None = None) -> DataFrame:
     """Landed rows in an inclusive window of days, of one descriptor if given; other folders aren't read."""
-    if not versions._names(spark, f"{out}/rows"):
+    if not versions.names_in(spark, f"{out}/rows"):
         return spark.createDataFrame([], schema)
     rows = spark.read.schema(f"{schema}, batch BIGINT, day DATE").option("basePath", f"{out}/rows").parquet(f"{out}/rows")
     if descriptor is not None:
@@ -77,6 +77,6 @@ def scan_landed(spark: SparkSession, out: str, schema: str = schemas.ACTIVITIES,
 
 def broken(spark: SparkSession, out: str) -> DataFrame:
     """(batch, file, line, reason) of all that was refused."""
-    if not versions._names(spark, f"{out}/broken"):
+    if not versions.names_in(spark, f"{out}/broken"):
         return spark.createDataFrame([], BROKEN)
     return spark.read.schema(BROKEN).option("basePath", f"{out}/broken").parquet(f"{out}/broken").select("batch", "file", "line", "reason")

@@ -93,7 +93,7 @@ def first_day_needed(spark: SparkSession, path: str, n: int, **predicates) -> st
 
     Days are folder names, which the driver lists.
     """
-    folders = sorted((d[4:] for d in versions._names(spark, path) if d.startswith("day=") and d[4:] != versions.NO_DATE), reverse=True)
+    folders = sorted((d[4:] for d in versions.names_in(spark, path) if d.startswith("day=") and d[4:] != versions.NO_DATE), reverse=True)
     newest = 1
     while newest <= len(folders):
         some = filter_audit(scan_log(spark, path, start=folders[newest - 1]), **predicates)

@@ -24,7 +24,7 @@ LIST = "date DATE, version BIGINT"
 NO_DATE = "__HIVE_DEFAULT_PARTITION__"
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
+def names_in(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none where it isn't there."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -33,8 +33,8 @@ def _names(spark: SparkSession, path: str) -> list[str]:
 
 def numbers(spark: SparkSession, path: str) -> list[int]:
     """The committed versions, oldest first."""
-    found = [n for n in _names(spark, f"{path}/versions") if n.startswith("v=")]
-    return sorted(int(n[2:]) for n in found if "_SUCCESS" in _names(spark, f"{path}/versions/{n}"))
+    found = [n for n in names_in(spark, f"{path}/versions") if n.startswith("v=")]
+    return sorted(int(n[2:]) for n in found if "_SUCCESS" in names_in(spark, f"{path}/versions/{n}"))
 
 
 def current(spark: SparkSession, path: str) -> int | None:
@@ -65,11 +65,11 @@ def publish(rows: DataFrame, path: str, write, keep_days: DataFrame | None = Non
     the days that stay where they are; days that ``rows`` holds take their place.
     """
     spark = rows.sparkSession
-    version = max([0, *(int(n[2:]) for n in _names(spark, f"{path}/versions") if n.startswith("v="))]) + 1
+    version = max([0, *(int(n[2:]) for n in names_in(spark, f"{path}/versions") if n.startswith("v="))]) + 1
     folder = f"{path}/data/version={version}"
     remove(spark, folder)
     write(rows, folder)
-    written = [n[5:] for n in _names(spark, folder) if n.startswith("date=")]
+    written = [n[5:] for n in names_in(spark, folder) if n.startswith("date=")]
     new = spark.createDataFrame([(None if d == NO_DATE else d, version) for d in written], "date STRING, version BIGINT").withColumn("date", F.col("date").cast("date"))
     if keep_days is not None:
         taken = new.select(F.col("date").alias("_d"))
@@ -85,12 +85,12 @@ def clear(spark: SparkSession, path: str, keep: int = 2) -> None:
     wanted = {(r["version"], str(r["date"] or NO_DATE)) for v in kept for r in days(spark, path, v).collect()}
     for v in known[:-keep]:
         remove(spark, f"{path}/versions/v={v}")
-    for name in _names(spark, f"{path}/data"):
+    for name in names_in(spark, f"{path}/data"):
         v = int(name.split("=")[1])
         if v > max(kept, default=0):
             continue
-        for day in _names(spark, f"{path}/data/{name}"):
+        for day in names_in(spark, f"{path}/data/{name}"):
             if day.startswith("date=") and (v, day[5:]) not in wanted:
                 remove(spark, f"{path}/data/{name}/{day}")
-        if not any(day.startswith("date=") for day in _names(spark, f"{path}/data/{name}")):
+        if not any(day.startswith("date=") for day in names_in(spark, f"{path}/data/{name}")):
             remove(spark, f"{path}/data/{name}")
