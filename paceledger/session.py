@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -31,8 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-#: The tables that are being gathered by each open ``scratch``, innermost last.
-_scopes: list[list[DataFrame]] = []
+class _Scopes(threading.local):
+    """The tables that are being gathered by each open ``scratch`` of a thread, innermost last."""
+
+    def __init__(self) -> None:
+        self.open: list[list[DataFrame]] = []
+
+
+_scopes = _Scopes()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -52,7 +59,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._paceledger_path = path
-    for scope in _scopes[-1:]:
+    for scope in _scopes.open[-1:]:
         scope.append(table)
     return table
 
@@ -78,7 +85,7 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """
     made: list[DataFrame] = []
     kept: list[DataFrame] = []
-    _scopes.append(made)
+    _scopes.open.append(made)
 
     def keep(table: DataFrame) -> DataFrame:
         kept.append(table)
@@ -87,7 +94,7 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        _scopes.remove(made)
+        _scopes.open.pop()
         discard(*[t for t in made if all(t is not k for k in kept)])
 
 
