@@ -1,23 +1,29 @@
 """Exact top-k search by MaxScore over sharded postings.
 
 A vector's components are a document's terms with integer impacts. Rows are
-dealt into shards of about SHARD_ROWS; queries into blocks; both are packed
-into one row each and every block meets every shard by an equi-join on the
-shard. In a shard each query runs MaxScore:
+dealt into shards of about SHARD_ROWS, one partition each; a shard's partition
+gets its rows first and every query after them, as plain rows, so nothing is
+broadcast or packed and a task holds one shard and one block of queries. Blocks
+of up to BLOCK_QUERIES queries run MaxScore together, over the shard's rows in
+steps by ascending id:
 
 * a term's bound is the highest contribution that any row of the shard can get
   from it (contributions below zero bound to zero);
-* terms with small bounds, together below the k-th score found so far, are
-  non-essential: rows outside the postings of all essential terms (the rows to
-  which one of those contributes more than zero) can't reach that score;
-* rows in essential postings get their essential terms' sums, then the other
-  terms are probed, largest bound first, while the row is still competitive.
-
-The first threshold comes from the rows with the highest impacts on the
-query's strongest terms. Shards return their k best, ties to smaller ids, and
-the shards' results are merged. Nothing is approximate: a query whose sums may
-reach 2^53 is scored in whole numbers against all rows of the shard, and sums
-that may leave 64 bits, or components of 2^53 and more, raise an error.
+* a query's floor is the k-th score it has found in the steps so far; a later
+  row must be above it, as at equal scores the smaller id is first;
+* terms with small bounds, together not above the floor of any query of the
+  block, are non-essential: rows that get nothing from the essential terms can't
+  pass the floor;
+* all rows of a step get their essential terms' sums; while many of them are
+  still competitive (sum and bounds left above the floor) the strongest terms
+  left are added for all, then the rest is probed for the competitive ones only.
+
+Shards return their k best, ties to smaller ids, and the shards' results are
+merged. Nothing is approximate: impacts and scores are whole numbers that
+floating point holds (single where the sums stay below 2^23, else double), a
+query whose sums may reach 2^52 is scored in 64-bit integers against all rows of
+the shard, and sums that may leave 64 bits, or components of 2^53 and more,
+raise an error.
 
 Nulls, empties, ties: vectors that are null or empty or hold null or non-finite
 values, and rows with null id, take no part; a query meets vectors of its own
@@ -29,124 +35,129 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paceledger.session import materialize
 
-SHARD_ROWS = 4096
+SHARD_ROWS = 8192
 BLOCK_QUERIES = 512
+#: Rows of a block's first step, which finds the first floors, and of the later ones.
+FIRST_ROWS = 256
+STEP_ROWS = 2048
 PROBE = 8
-SEEDS = 48
+#: With fewer competitive rows than this share the rest is probed row by row.
+FEW = 1 / 64
+#: With more than this share, as in the first step, each query's k best of the step are picked before hits are merged.
+MANY = 1 / 8
 
-
-def packed(rows: DataFrame, key: str) -> DataFrame:
-    """One row (key, dim, ids, values) per group of about the same bounded number of rows (key, dim, id, v)."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["id"].to_numpy(np.int64).tobytes()
-        values = np.stack(pdf["v"].to_numpy()).astype(np.float64).tobytes() if pdf["dim"].iloc[0] else b""
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "dim": [pdf["dim"].iloc[0]], "ids": [ids], "values": [values]})
-
-    return rows.select(key, "dim", "id", "v").groupBy(key, "dim").applyInPandas(pack, f"{key} bigint, dim int, ids binary, values binary")
+Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 class Shard:
-    """Impact-ordered postings of one shard."""
+    """Rows of one shard by ascending id, and their terms' highest and lowest impacts."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], values[order]
-        self.terms = np.ascontiguousarray(self.rows.T)
-        self.high, self.low = self.terms.max(axis=1), self.terms.min(axis=1)
-        ranked = np.argsort(self.terms, axis=1, kind="stable")
-        n = min(SEEDS, len(ids))
-        self.top, self.bottom = ranked[:, -n:], ranked[:, :n]
-
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows, higher score first, then smaller id."""
-        largest = float(np.abs(query) @ np.maximum(np.abs(self.high), np.abs(self.low)))
-        if largest >= 2**53:
-            return self.exact(query, own, k, largest)
-        bound = np.maximum(0.0, np.maximum(query * self.high, query * self.low))
-        by_bound = np.argsort(bound, kind="stable")
-        strongest = by_bound[-4:]
-        seeds = np.unique(np.concatenate([(self.top if query[t] > 0 else self.bottom)[t] for t in strongest]))
-        seeds = seeds[self.ids[seeds] != own]
-        scores = self.rows[seeds] @ query
-        floor = np.partition(scores, -k)[-k] if len(scores) >= k else -np.inf
-        upto = np.cumsum(bound[by_bound])
-        split = int(np.searchsorted(upto, floor, side="left")) if floor > -np.inf else 0
-        weak, essential = by_bound[:split], by_bound[split:]
-        if split and not len(essential):
-            essential, weak = by_bound[-1:], by_bound[:-1]
-        if split:
-            postings = np.zeros(len(self.ids), dtype=bool)
-            for t in essential[::-1]:
-                postings |= self.terms[t] * query[t] > 0
-                if postings.all():
-                    break
-            rows = np.flatnonzero(postings & (self.ids != own))
-        else:
-            rows = np.flatnonzero(self.ids != own)
-        partial = np.zeros(len(rows))
-        rest = np.concatenate([essential[::-1], weak[::-1]])
-        left = bound.sum()
-        for j in range(0, len(rest), PROBE):
-            terms = rest[j : j + PROBE]
-            partial += query[terms] @ self.terms[terms[:, None], rows] if len(rows) < len(self.ids) // 2 else (query[terms] @ self.terms[terms])[rows]
-            left -= bound[terms].sum()
-            stay = partial + left >= floor
-            if not stay.all():
-                rows, partial = rows[stay], partial[stay]
-            if len(rows) >= k:
-                # what the remaining terms can take away at most
-                lost = np.minimum(0.0, np.minimum(query * self.high, query * self.low))[rest[j + PROBE :]].sum()
-                floor = max(floor, np.partition(partial, -k)[-k] + lost)
-        best = np.lexsort((self.ids[rows], -partial))[:k]
-        return self.ids[rows[best]], partial[best]
-
-
-    def exact(self, query: np.ndarray, own: int, k: int, largest: float) -> tuple[np.ndarray, np.ndarray]:
-        """All rows' scores in 64-bit whole numbers."""
+        self.high, self.low = self.rows.max(axis=0), self.rows.min(axis=0)
+        self.terms: dict[type, np.ndarray] = {}
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> Hits:
+        """(position of the query, id, score) of each query's k best rows."""
+        largest = np.abs(queries) @ np.maximum(np.abs(self.high), np.abs(self.low))
+        fits = largest < 2**52
+        found = [self.exact(i, queries[i], int(own[i]), k, float(largest[i])) for i in np.flatnonzero(~fits)]
+        if fits.any():
+            at, ids, scores = self.scan(queries[fits], own[fits], k, np.float32 if largest[fits].max() < 2**23 else np.float64)
+            found.append((np.flatnonzero(fits)[at], ids, scores))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def scan(self, queries: np.ndarray, own: np.ndarray, k: int, kind: type) -> Hits:
+        """MaxScore for a block of queries, with impacts as ``kind``."""
+        if kind not in self.terms:
+            self.terms[kind] = np.ascontiguousarray(self.rows.T, dtype=kind)
+        dim, n = queries.shape[1], len(self.ids)
+        bound = np.maximum(0.0, np.maximum(queries * self.high, queries * self.low))
+        order = np.argsort(-bound.sum(axis=0), kind="stable")
+        left = np.zeros((len(queries), dim + 1))  # the bounds of the terms from each place on
+        left[:, :dim] = np.cumsum(bound[:, order[::-1]], axis=1)[:, ::-1]
+        impacts = queries[:, order].astype(kind)
+        floor = np.full(len(queries), -np.inf)
+        best: Hits = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        begin, end = 0, min(n, max(FIRST_ROWS, 2 * k))
+        while begin < end:
+            below = (left <= floor[:, None]).all(axis=0)
+            used = int(below.argmax()) if below.any() else dim
+            partial = impacts[:, :used] @ self.terms[kind][order[:used], begin:end]
+            first, last = (np.searchsorted(self.ids[begin:end], own, side=x) for x in ("left", "right"))
+            for i in np.flatnonzero(first < last):
+                partial[i, first[i] : last[i]] = -np.inf
+            stay = partial > (floor - left[:, used])[:, None].astype(kind)
+            while used < dim and np.count_nonzero(stay) > FEW * stay.size:
+                more = slice(used, used + PROBE)
+                partial += impacts[:, more] @ self.terms[kind][order[more], begin:end]
+                used = min(dim, used + PROBE)
+                stay = partial > (floor - left[:, used])[:, None].astype(kind)
+            if used == dim and np.count_nonzero(stay) > MANY * stay.size:
+                top = np.zeros_like(stay)
+                np.put_along_axis(top, np.argsort(-partial, axis=1, kind="stable")[:, :k], True, axis=1)
+                stay &= top
+            at, row = np.divmod(np.flatnonzero(stay), end - begin)
+            scores = partial[at, row].astype(np.float64)
+            rest = order[used:]
+            if len(rest):
+                scores += np.einsum("ij,ij->i", queries[at[:, None], rest], self.rows[begin + row[:, None], rest])
+            above = scores > floor[at]
+            at, ids, scores = (np.concatenate(x) for x in zip(best, (at[above], self.ids[begin + row[above]], scores[above]), strict=True))
+            by = np.lexsort((ids, -scores, at))
+            place = np.arange(len(by)) - np.searchsorted(at[by], at[by], side="left")
+            by, place = by[place < k], place[place < k]
+            best = at[by], ids[by], scores[by]
+            floor[best[0][place == k - 1]] = best[2][place == k - 1]
+            begin, end = end, min(n, end + STEP_ROWS)
+        return best[0], best[1], best[2].astype(np.int64)
+
+    def exact(self, at: int, query: np.ndarray, own: int, k: int, largest: float) -> Hits:
+        """One query, with all rows' scores in 64-bit whole numbers."""
         if largest >= 2**62:
             raise OverflowError(f"a score of query {own} may not fit into 64 bits")
         rows = np.flatnonzero(self.ids != own)
         scores = self.rows[rows].astype(np.int64) @ query.astype(np.int64)
         best = np.lexsort((self.ids[rows], -scores))[:k]
-        return self.ids[rows[best]], scores[best]
+        return np.full(len(best), at), self.ids[rows[best]], scores[best]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) from (id bigint, v array<double> of whole numbers)."""
-    rows = materialize(vectors.withColumn("q", is_query).withColumn("dim", F.size("v")), "vectors")
-    counts = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
-    n_shards = max(1, -(-counts["n"] // SHARD_ROWS))
-    n_blocks = max(1, -(-counts["q"] // BLOCK_QUERIES))
-    shards = packed(rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(n_shards))), "shard")
-    blocks = packed(rows.where("q").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks))), "block")
-    blocks = blocks.select("dim", F.col("ids").alias("qids"), F.col("values").alias("qvalues"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_shards - 1).cast("bigint"))).alias("shard"))
-    met = shards.join(blocks, ["shard", "dim"]).select("shard", "dim", "ids", "values", "qids", "qvalues")
+    rows = materialize(vectors.withColumn("q", is_query).withColumn("dim", F.size("v")), "vectors").where("dim > 0 AND id IS NOT NULL")
+    n_shards = max(1, -(-rows.count() // SHARD_ROWS))
+    shard = F.pmod(F.xxhash64("id", "v"), F.lit(n_shards)).cast("int").alias("shard")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard")
+    dealt = rows.select(shard, F.lit(False).alias("asks"), "dim", "id", "v").union(rows.where("q").select(every, F.lit(True), "dim", "id", "v"))
+    met = dealt.repartitionById(n_shards, "shard").sortWithinPartitions("dim", "asks").select("asks", "dim", "id", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, shard = None, None
+        at, held, shard = None, [], None
         for batch in batches:
-            for i in range(batch.num_rows):
-                key, dim = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                if at != (key, dim):
-                    values = np.frombuffer(batch.column(3)[i].as_buffer(), np.float64).reshape(-1, dim)
-                    at, shard = (key, dim), Shard(np.frombuffer(batch.column(2)[i].as_buffer(), np.int64), values)
-                qids = np.frombuffer(batch.column(4)[i].as_buffer(), np.int64)
-                queries = np.frombuffer(batch.column(5)[i].as_buffer(), np.float64).reshape(-1, dim)
-                found = [shard.search(q, int(own), k) for own, q in zip(qids, queries, strict=True)]
-                counts = [len(ids) for ids, _ in found]
-                ids = np.concatenate([f for f, _ in found]) if found else np.zeros(0, np.int64)
-                scores = np.concatenate([s.astype(np.int64) for _, s in found]) if found else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, counts)), pa.array(ids), pa.array(scores, pa.int64())], names=["query_id", "vec_id", "score"])
-
-    hits = met.where("dim > 0").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+            asks, dims = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((asks[1:] != asks[:-1]) | (dims[1:] != dims[:-1])) + 1), len(dims)]
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                dim = int(dims[begin])
+                ids = batch.column(2)[begin:end].to_numpy()
+                values = batch.column(3)[begin:end].flatten().to_numpy().reshape(-1, dim)
+                if not asks[begin]:
+                    at, held, shard = dim, [*(held if at == dim else []), (ids, values)], None
+                elif at == dim:
+                    shard = shard or Shard(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held = []
+                    for i in range(0, len(ids), BLOCK_QUERIES):
+                        own = ids[i : i + BLOCK_QUERIES]
+                        asked, found, scores = shard.search(values[i : i + BLOCK_QUERIES], own, k)
+                        yield pa.RecordBatch.from_arrays([pa.array(own[asked]), pa.array(found), pa.array(scores)], names=["query_id", "vec_id", "score"])
+
+    hits = met.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     merged = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(merged).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -637,6 +637,45 @@ def test_top_k_of_large_components(spark):
             maxscore.top_k(maxscore.whole_numbers(wild), F.col("id") == 0).collect()
 
 
+def test_top_k_sends_queries_as_rows(spark, monkeypatch):
+    """Shards and queries meet in one shuffle of rows: a join's table of all pairs of shards and blocks was broadcast, beyond the driver's memory at 615,384 vectors."""
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", 20)
+    data = [(i, [float(i % 7), float(i % 11) - 5]) for i in range(300)]
+    found = maxscore.top_k(spark.createDataFrame(data, "id bigint, v array<double>"), F.col("id") % 50 == 0)
+    for r in found.where("rank = 1").collect():
+        q = data[r.query_id][1]
+        assert (-r.score, r.vec_id) == min((-sum(a * b for a, b in zip(q, v)), i) for i, v in data if i != r.query_id)
+    assert found.count() == 6 * 5
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("kind", ["plain", "sparse", "copies", "positive", "repeated ids", "double", "whole"])
+def test_shard_search(kind):
+    """Blocks of queries get what brute force gets, over all steps of a shard."""
+    rng = np.random.default_rng(len(kind))
+    n, dim, k = 5000, 20, 5
+    x = np.floor(rng.normal(0, {"double": 2.0**14, "whole": 2.0**24}.get(kind, 100.0), (n, dim)))
+    ids = rng.permutation(n).astype(np.int64)
+    if kind == "sparse":
+        x[rng.random(x.shape) < 0.9] = 0
+    elif kind == "copies":
+        x[rng.integers(0, n, n)] = x[0]
+    elif kind == "positive":
+        x = np.abs(x)
+    elif kind == "repeated ids":
+        ids = rng.integers(0, n, n)
+    some = rng.integers(0, n, 90)
+    at, found, scores = maxscore.Shard(ids, x).search(x[some], ids[some], k)
+    for j, i in enumerate(some):
+        whole = x.astype(np.int64) @ x[i].astype(np.int64)
+        best = [p for p in sorted(zip((-whole).tolist(), ids.tolist())) if p[1] != ids[i]][:k]
+        assert sorted(zip((-scores[at == j]).tolist(), found[at == j].tolist())) == best
+    one = maxscore.Shard(ids[:3], x[:3]).search(x[:1], ids[:1], k)
+    assert len(one[0]) == len(set(ids[1:3]) - {ids[0]})
+
+
 # ---- 10 -----------------------------------------------------------------------------------------------------
 def brute_base(text):
     w = words_of(text)
